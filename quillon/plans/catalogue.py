@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import network_queries, response_queries
+
+QUERIES: dict = response_queries.QUERIES | network_queries.QUERIES
+ORACLES: dict = response_queries.ORACLES | network_queries.ORACLES
