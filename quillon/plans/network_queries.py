@@ -2,5 +2,479 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numeric import edge_width, subnetwork_edge_width
+from ..operators import annotate, graph, integrate, network, response, similarity, spatial, statistics
+from . import bindings as b
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None, **tables: str):
+    """Register a query under its function's name; sql may name the given tables."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            head = ", ".join(f"{k} AS {v}" for k, v in tables.items())
+            ORACLES[f.__name__] = f"WITH RECURSIVE {head} {sql}" if head else sql
+        return f
+
+    return keep
+
+
+Spark = SparkSession
+P = {"pathways": b.PATHWAYS}
+PNE = P | {"nodes": b.NODES, "edges": b.EDGES}
+SOURCE, INHIBITORY, RELAY = network.SOURCE, network.INHIBITORY, network.RELAY
+
+
+def parts(s: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = b.pathways(s, d)
+    return rows, b.nodes(rows), network.edges(rows)
+
+
+# --- connection tables
+
+
+@query(f"SELECT source, middle, target, step2 FROM pathways WHERE step2 BETWEEN 40 AND 90 AND NOT (middle_class = '{INHIBITORY}' AND target_class = '{SOURCE}')", **P)
+def pathway_filter(s: Spark, d: str) -> DataFrame:
+    return network.by_types(network.by_strength(b.pathways(s, d), 40, 90), lateral=False).select("source", "middle", "target", "step2")
+
+
+@query(f"SELECT CASE WHEN middle_class = '{INHIBITORY}' THEN 'lateral_inhibition' WHEN middle_class = '{RELAY}' THEN 'relay_feedback' ELSE 'other' END AS pathway_type, count(*) AS n FROM pathways GROUP BY 1", **P)
+def pathway_types(s: Spark, d: str) -> DataFrame:
+    return network.type_counts(b.pathways(s, d))
+
+
+@query("SELECT count(*) AS n, avg(step2) AS mean, median(step2) AS median, min(step2) AS min, max(step2) AS max, stddev_samp(step2) AS std FROM pathways", **P)
+def pathway_summary(s: Spark, d: str) -> DataFrame:
+    return network.summary(b.pathways(s, d))
+
+
+@query(f"""SELECT t AS threshold, count(*) FILTER (step2 >= t) AS n, count(*) FILTER (step2 >= t) * 100.0::DOUBLE / count(*) AS pct, count(*) FILTER (step2 >= t AND middle_class = '{INHIBITORY}') AS n_lateral
+    FROM pathways CROSS JOIN (SELECT unnest([1, 5, 10, 20, 50, 100, 200]) AS t) GROUP BY t""", **P)
+def threshold_ladder(s: Spark, d: str) -> DataFrame:
+    return network.threshold_ladder(b.pathways(s, d))
+
+
+@query("SELECT class, count(*) AS n, count(region) AS n_regional FROM nodes GROUP BY class", **PNE)
+def node_classes(s: Spark, d: str) -> DataFrame:
+    rows = b.pathways(s, d)
+    return b.nodes(rows).groupBy("class").agg(F.count("*").alias("n"), F.count("region").alias("n_regional"))
+
+
+_TWO_HOP = """(SELECT a.src AS source, a.dst AS middle, c.dst AS target, a.weight AS step1, c.weight AS step2, n.region AS source_region, t.region AS target_region, m.class AS middle_class
+    FROM edges a JOIN edges c ON a.dst = c.src JOIN nodes n ON a.src = n.id JOIN nodes t ON c.dst = t.id JOIN nodes m ON a.dst = m.id WHERE n.region = 'NATION_3' AND n.id LIKE 'c%')"""
+
+
+def _paths(s: Spark, d: str, to: str | None = None) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.two_hop(edges, nodes, region="NATION_3", to_region=to)
+
+
+@query("SELECT source, middle, target, step1, step2 FROM paths", **PNE, paths=_TWO_HOP)
+def two_hop_paths(s: Spark, d: str) -> DataFrame:
+    return _paths(s, d).filter("source like 'c%'").select("source", "middle", "target", "step1", "step2")
+
+
+@query("SELECT source, middle, target, step2 FROM paths WHERE target_region = 'NATION_7'", **PNE, paths=_TWO_HOP)
+def paths_between(s: Spark, d: str) -> DataFrame:
+    return _paths(s, d, "NATION_7").select("source", "middle", "target", "step2")
+
+
+@query("SELECT source_region AS src, target_region AS dst, sum(step2)::BIGINT AS weight FROM pathways WHERE source_region != target_region GROUP BY ALL", **P)
+def region_graph(s: Spark, d: str) -> DataFrame:
+    rows = b.pathways(s, d)
+    targets = rows.select(F.col("target").alias("id"), F.lit(SOURCE).alias("class"), F.col("target_region").alias("region")).distinct()
+    return network.region_graph(rows, targets)
+
+
+_STRENGTHS = """(SELECT n.region AS src_region, t.region AS dst_region, count(*) AS n_paths, sum(c.weight)::BIGINT AS strength
+    FROM edges a JOIN edges c ON a.dst = c.src JOIN nodes n ON a.src = n.id JOIN nodes t ON c.dst = t.id GROUP BY ALL)"""
+
+
+@query("SELECT * FROM st", **PNE, st=_STRENGTHS)
+def region_strengths(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.region_strengths(edges, nodes).withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
+@query("""SELECT id, class, in_degree, out_degree, in_degree + out_degree AS degree FROM (SELECT id, class, (SELECT count(*) FROM edges WHERE dst = id) AS in_degree, (SELECT count(*) FROM edges WHERE src = id) AS out_degree FROM nodes)
+    ORDER BY degree DESC, id LIMIT 25""", **PNE)
+def degree_hubs(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.hubs(edges, nodes, 25)
+
+
+@query("""SELECT n_nodes, n_edges, (n_edges / n_nodes)::DOUBLE AS mean_in, (n_edges / n_nodes)::DOUBLE AS mean_out, max_in, max_out, mean_weight, median_weight, std_weight, min_weight, max_weight
+    FROM (SELECT count(*) AS n_nodes FROM nodes), (SELECT count(*) AS n_edges, avg(weight) AS mean_weight, median(weight) AS median_weight, stddev_pop(weight) AS std_weight, min(weight) AS min_weight, max(weight) AS max_weight FROM edges),
+    (SELECT max(n) AS max_in FROM (SELECT count(*) AS n FROM edges GROUP BY dst)), (SELECT max(n) AS max_out FROM (SELECT count(*) AS n FROM edges GROUP BY src))""", **PNE)
+def network_stats(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.statistics(edges, nodes)
+
+
+@query("""SELECT middle_class, count(*) AS n_paths, count(DISTINCT middle) AS n_middles, count(DISTINCT target) AS n_targets, avg(step2) AS mean, median(step2) AS median, sum(step2)::BIGINT AS total, max(step2) AS max FROM paths GROUP BY middle_class""", **PNE, paths=_TWO_HOP)
+def single_source(s: Spark, d: str) -> DataFrame:
+    return network.path_statistics(_paths(s, d).filter("source like 'c%'"))
+
+
+@query("SELECT target_region, count(*) AS n_paths FROM paths GROUP BY target_region", **PNE, paths=_TWO_HOP)
+def targets_by_region(s: Spark, d: str) -> DataFrame:
+    return network.targets_by_region(_paths(s, d).filter("source like 'c%'"))
+
+
+@query("""SELECT *, s12 / n12::DOUBLE AS mean12, s21 / n21::DOUBLE AS mean21, n12 / greatest(n21, 1)::DOUBLE AS count_ratio, s12 / greatest(s21, 1)::DOUBLE AS strength_ratio, (s12 - s21) / (s12 + s21)::DOUBLE AS asymmetry
+    FROM (SELECT sum(n_paths) FILTER (src_region = 'NATION_3')::BIGINT AS n12, sum(n_paths) FILTER (src_region = 'NATION_7')::BIGINT AS n21, sum(strength) FILTER (src_region = 'NATION_3')::BIGINT AS s12, sum(strength) FILTER (src_region = 'NATION_7')::BIGINT AS s21
+        FROM st WHERE (src_region, dst_region) IN (('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3')))""", **PNE, st=_STRENGTHS)
+def pair_compare(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.compare(network.region_strengths(edges, nodes), "NATION_3", "NATION_7")
+
+
+@query("""SELECT middle, middle_class, bool_or(t) AS there, bool_or(NOT t) AS back FROM (SELECT a.dst AS middle, m.class AS middle_class, n.region = 'NATION_3' AS t FROM edges a JOIN edges c ON a.dst = c.src JOIN nodes n ON a.src = n.id JOIN nodes t ON c.dst = t.id JOIN nodes m ON a.dst = m.id
+    WHERE (n.region, t.region) IN (('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3'))) GROUP BY ALL""", **PNE)
+def shared_middles(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.shared_middles(network.two_hop(edges, nodes, region="NATION_3", to_region="NATION_7"), network.two_hop(edges, nodes, region="NATION_7", to_region="NATION_3"))
+
+
+@query("""SELECT a, b, sum(f)::BIGINT AS forward, sum(g)::BIGINT AS backward, (sum(f) - sum(g)) / (sum(f) + sum(g))::DOUBLE AS asymmetry FROM (SELECT src_region AS a, dst_region AS b, strength AS f, 0 AS g FROM st WHERE src_region != dst_region
+    UNION ALL SELECT dst_region, src_region, 0, strength FROM st WHERE src_region != dst_region) GROUP BY a, b""", **PNE, st=_STRENGTHS)
+def asymmetry(s: Spark, d: str) -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    return network.asymmetry(network.region_strengths(edges, nodes))
+
+
+@query(f"""SELECT count(*) AS n_paths, sum(step2)::BIGINT AS total, avg(step2) AS mean, median(step2) AS median, max(step2) AS max, min(step2) AS min, count(DISTINCT middle) FILTER (middle_class = '{INHIBITORY}') AS n_inhibitory,
+    count(DISTINCT middle) FILTER (middle_class = '{RELAY}') AS n_relay, 2 AS shortest FROM (SELECT * FROM paths ORDER BY step2 DESC, source, middle, target LIMIT 500)""", **PNE, paths=_TWO_HOP)
+def path_search_stats(s: Spark, d: str) -> DataFrame:
+    return network.search_statistics(_paths(s, d).filter("source like 'c%'"), 500)
+
+
+@query(f"SELECT middle, count(DISTINCT target_region) AS n_regions, count(DISTINCT target) AS n_targets FROM paths WHERE middle_class = '{INHIBITORY}' GROUP BY middle", **PNE, paths=_TWO_HOP)
+def hub_intermediates(s: Spark, d: str) -> DataFrame:
+    return network.hub_middles(_paths(s, d).filter("source like 'c%'"))
+
+
+@query("SELECT src, dst, weight, round(ln(1 + weight) * 0.5, 8) AS width, round(0.5 + 3 * log10(weight + 1), 8) AS sub_width FROM r WHERE weight >= (SELECT median(weight) FROM r)", r=b.REGIONS)
+def displayed_edges(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    cut = int(r.agg(F.ceil(F.median("weight"))).first()[0])
+    kept, _ = network.displayed(r, graph.vertices(r), cut)
+    return kept.select("src", "dst", "weight", F.round(edge_width(F.col("weight")), 8).alias("width"), F.round(subnetwork_edge_width(F.col("weight")), 8).alias("sub_width"))
+
+
+# --- graph algorithms, on the graph of nations
+
+
+_VERTICES = "(SELECT src AS id FROM r UNION SELECT dst FROM r)"
+_REACH = """(SELECT id AS src, id AS node, 0 AS dist FROM v UNION SELECT d.src, r.dst, d.dist + 1 FROM dd d JOIN r ON d.node = r.src WHERE d.dist < 12)"""
+_DIST = "(SELECT src, node, min(dist) AS dist FROM dd GROUP BY ALL)"
+G = {"r": b.REGIONS, "v": _VERTICES, "dd": _REACH, "dist": _DIST}
+_UNDIRECTED = "(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM r WHERE src != dst)"
+_AROUND = "(SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
+U = {"r": b.REGIONS, "u": _UNDIRECTED, "w": _AROUND}
+
+
+@query("SELECT dist, count(*) AS n FROM dist GROUP BY dist", **G)
+def bfs_lengths(s: Spark, d: str) -> DataFrame:
+    return graph.path_lengths(graph.distances(b.regions(s, d)))
+
+
+@query("SELECT array_to_string(p, '>') AS path FROM (SELECT p, len(p) AS n FROM walk WHERE spot = 9) WHERE n = (SELECT min(len(p)) FROM walk WHERE spot = 9)", r=b.REGIONS,
+    walk="(SELECT 0 AS spot, [0] AS p UNION ALL SELECT r.dst, list_append(p, r.dst) FROM walk JOIN r ON spot = r.src WHERE len(p) < 5 AND NOT list_contains(p, r.dst) AND spot != 9)")
+def shortest_paths(s: Spark, d: str) -> DataFrame:
+    return graph.shortest_paths(b.regions(s, d), 0, 9).select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
+
+
+@query("""SELECT x AS id, count(*) AS degree, coalesce(any_value(t), 0) AS triangles, CASE WHEN count(*) > 1 THEN coalesce(any_value(t), 0) * 2.0::DOUBLE / (count(*) * (count(*) - 1)) ELSE 0 END AS coefficient FROM w
+    LEFT JOIN (SELECT p.x AS id, count(*) // 2 AS t FROM w p JOIN w q ON p.x = q.x AND p.y != q.y JOIN w z ON z.x = p.y AND z.y = q.y GROUP BY p.x) c ON c.id = w.x GROUP BY x""", **U)
+def clustering_coeff(s: Spark, d: str) -> DataFrame:
+    return graph.clustering(b.regions(s, d))
+
+
+@query("""SELECT (2 + (EXISTS (SELECT 1 FROM r WHERE src = b AND dst = a))::INT + (EXISTS (SELECT 1 FROM r WHERE src = c AND dst = b))::INT + (EXISTS (SELECT 1 FROM r WHERE src = c AND dst = a))::INT)::BIGINT AS n_edges, count(*) AS n
+    FROM (SELECT p.src AS a, p.dst AS b, q.dst AS c FROM r p JOIN r q ON p.dst = q.src WHERE p.src != q.dst AND NOT EXISTS (SELECT 1 FROM r z WHERE z.src = p.src AND z.dst = q.dst)) GROUP BY 1""", r=b.REGIONS)
+def motifs(s: Spark, d: str) -> DataFrame:
+    return graph.motifs(b.regions(s, d))
+
+
+@query("SELECT id, min(c) AS component FROM (SELECT id, c FROM reach) GROUP BY id", **U, v=_VERTICES, reach="(SELECT id, id AS c FROM v UNION SELECT w.y, c FROM reach JOIN w ON reach.id = w.x)")
+def components(s: Spark, d: str) -> DataFrame:
+    return graph.components(b.regions(s, d))
+
+
+@query("SELECT n AS n_nodes, m AS n_edges, m / (n * (n - 1))::DOUBLE AS density FROM (SELECT count(*) AS m FROM r), (SELECT count(*) AS n FROM v)", **G)
+def density(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.density(r, graph.vertices(r))
+
+
+@query("SELECT v.id, coalesce(round(n::DOUBLE / s * n / ((SELECT count(*) FROM v) - 1), 8), 0) AS score FROM v LEFT JOIN (SELECT node, count(*) AS n, sum(dist) AS s FROM dist WHERE dist > 0 GROUP BY node) ON node = v.id", **G)
+def closeness(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.closeness(r, graph.vertices(r)).withColumn("score", F.round("score", 8))
+
+
+@query()
+def betweenness(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.betweenness(r, graph.vertices(r))
+
+
+@query()
+def eigenvector(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.eigenvector(r, graph.vertices(r))
+
+
+@query("SELECT id, score FROM (SELECT id, ((SELECT count(*) FROM r WHERE src = id) + (SELECT count(*) FROM r WHERE dst = id)) / ((SELECT count(*) FROM v) - 1)::DOUBLE AS score FROM v) QUALIFY score >= quantile_cont(score, 0.9) OVER ()", **G)
+def hub_percentile(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.hubs(r, graph.vertices(r))
+
+
+@query()
+def label_propagation(s: Spark, d: str) -> DataFrame:
+    return graph.label_propagation(b.regions(s, d))
+
+
+@query()
+def greedy_communities(s: Spark, d: str) -> DataFrame:
+    return graph.greedy_communities(b.regions(s, d))
+
+
+@query("""SELECT round(sum(own / m2 - (dd / m2) ** 2), 8) AS q FROM (SELECT c1, sum(weight) AS dd, sum(CASE WHEN c1 = c2 THEN weight ELSE 0 END) AS own, sum(sum(weight)) OVER () AS m2 FROM
+    (SELECT x % 5 AS c1, y % 5 AS c2, weight FROM (SELECT src AS x, dst AS y, weight FROM r UNION ALL SELECT dst, src, weight FROM r)) GROUP BY c1)""", r=b.REGIONS)
+def modularity(s: Spark, d: str) -> DataFrame:
+    r = b.regions(s, d)
+    return graph.modularity(r, graph.vertices(r).withColumn("community", F.col("id") % 5)).select(F.round("q", 8).alias("q"))
+
+
+# --- responses against connections
+
+
+_MATRIX = f"(SELECT src_region, dst_region, sum(w)::BIGINT AS weight FROM (SELECT n.region AS src_region, t.region AS dst_region, c.weight AS w FROM edges a JOIN edges c ON a.dst = c.src JOIN nodes n ON a.src = n.id JOIN nodes t ON c.dst = t.id JOIN nodes m ON a.dst = m.id WHERE m.class = '{INHIBITORY}') GROUP BY ALL)"
+_CHANNELS = "(SELECT x.channel AS c1, y.channel AS c2, max(weight) AS weight FROM mx JOIN mp x ON x.region = src_region JOIN mp y ON y.region = dst_region GROUP BY ALL)"
+M = PNE | {"mp": b.MAPPING, "mx": _MATRIX, "cm": _CHANNELS}
+
+
+def _matrix(s: Spark, d: str, kind: str = "inhibitory") -> DataFrame:
+    _, nodes, edges = parts(s, d)
+    if kind != "all":
+        edges = _over(edges, nodes, integrate.KINDS[kind])
+    return network.region_strengths(edges, nodes).select("src_region", "dst_region", F.col("strength").alias("weight"))
+
+
+def _over(edges: DataFrame, nodes: DataFrame, middle_class: str) -> DataFrame:
+    """Edges into or out of the middles of a class."""
+    own = nodes.filter(F.col("class") == middle_class).select("id")
+    return edges.join(own, edges.src == own.id, "left_semi").unionByName(edges.join(own, edges.dst == own.id, "left_semi"))
+
+
+@query("SELECT a.n AS src_region, c.n AS dst_region, coalesce(weight, 0) AS weight FROM (SELECT n_name AS n FROM nation) a CROSS JOIN (SELECT n_name AS n FROM nation) c LEFT JOIN mx ON a.n = src_region AND c.n = dst_region", **M)
+def connectivity_matrix(s: Spark, d: str) -> DataFrame:
+    names = [r.n_name for r in b.table(s, d, "nation").select("n_name").collect()]
+    return integrate.dense(_matrix(s, d), names, "src_region", "dst_region")
+
+
+@query("SELECT * FROM cm", **M)
+def connectivity_renamed_max(s: Spark, d: str) -> DataFrame:
+    return integrate.by_channel(_matrix(s, d), b.mapping(s, d))
+
+
+@query("SELECT source_region AS src_region, target_region AS dst_region, sum(step2)::BIGINT AS weight FROM paths GROUP BY ALL", **PNE, paths=_TWO_HOP)
+def connectivity_of_region(s: Spark, d: str) -> DataFrame:
+    return integrate.connectivity(_paths(s, d).filter("source like 'c%'"))
+
+
+def _tuning(s: Spark, d: str) -> DataFrame:
+    dense = b.dense(s, d).filter("channel < 20").withColumn("channel", F.concat(F.lit("ch"), "channel"))
+    return integrate.tuning_and_connection(similarity.channel_correlations(dense), integrate.by_channel(_matrix(s, d), b.mapping(s, d)))
+
+
+_PAIRS = """(SELECT c1, c2, covar_pop(x.response, y.response) / (stddev_pop(x.response) * stddev_pop(y.response)) AS r, any_value(weight) AS weight
+    FROM rr x JOIN rr y ON x.item = y.item AND x.channel < y.channel JOIN cm ON c1 = x.channel AND c2 = y.channel WHERE weight > 0 GROUP BY c1, c2)"""
+T = M | {"rr": f"(SELECT item, 'ch' || channel AS channel, response FROM {b.DENSE} WHERE channel < 20)", "pairs": _PAIRS}
+
+
+@query("SELECT c1, c2, round(r, 8) AS r, weight FROM pairs", **T)
+def tuning_vs_connectivity(s: Spark, d: str) -> DataFrame:
+    return _tuning(s, d).withColumn("r", F.round("r", 8))
+
+
+@query("SELECT round(covar_pop(r, weight) / (stddev_pop(r) * stddev_pop(weight)), 8) AS r, count(*) AS n FROM pairs", **T)
+def pearson(s: Spark, d: str) -> DataFrame:
+    return statistics.pearson(_tuning(s, d), "r", "weight").withColumn("r", F.round("r", 8))
+
+
+@query("SELECT round(covar_pop(a, z) / (stddev_pop(a) * stddev_pop(z)), 8) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS z FROM lineitem)")
+def spearman(s: Spark, d: str) -> DataFrame:
+    return statistics.spearman(b.table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 8))
+
+
+@query("""SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(k) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u, (SELECT coalesce(sum(t * t * t - t), 0)::BIGINT FROM (SELECT count(*) AS t FROM lineitem GROUP BY l_quantity)) AS ties
+    FROM (SELECT l_returnflag = 'R' AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS k FROM lineitem)""")
+def mannwhitney_u(s: Spark, d: str) -> DataFrame:
+    return statistics.mann_whitney(b.table(s, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R")
+
+
+@query("SELECT round((avg(l_discount) FILTER (l_returnflag = 'R') - avg(l_discount) FILTER (l_returnflag != 'R')) / sqrt((var_pop(l_discount) FILTER (l_returnflag = 'R') + var_pop(l_discount) FILTER (l_returnflag != 'R')) / 2), 8) AS d FROM lineitem")
+def cohen_d(s: Spark, d: str) -> DataFrame:
+    return statistics.cohen_d(b.table(s, d, "lineitem"), "l_discount", F.col("l_returnflag") == "R").select(F.round("d", 8).alias("d"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def linear_fit(s: Spark, d: str) -> DataFrame:
+    return statistics.linear_fit(b.table(s, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query("SELECT c_custkey AS id, c_acctbal > (SELECT median(c_acctbal) FROM customer) AS upper FROM customer")
+def median_split(s: Spark, d: str) -> DataFrame:
+    return statistics.median_split(b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), "c_acctbal").select("id", "upper")
+
+
+@query("""SELECT c1, c2, coalesce(a.k > 0.2, false) OR coalesce(z.k > 0.2, false) AS specialist, coalesce(a.k < -0.2, false) OR coalesce(z.k < -0.2, false) AS generalist FROM pairs LEFT JOIN kk a ON a.channel = c1 LEFT JOIN kk z ON z.channel = c2""",
+    **T, kk="(SELECT channel, kurtosis_pop(response) AS k FROM rr GROUP BY channel)")
+def specialist_split(s: Spark, d: str) -> DataFrame:
+    dense = b.dense(s, d).filter("channel < 20").withColumn("channel", F.concat(F.lit("ch"), "channel"))
+    scaled = response.tuning(dense).withColumn("kurtosis", F.when(F.col("kurtosis") > 0.2, 21.0).when(F.col("kurtosis") < -0.2, -1.0).otherwise(1.0))
+    return statistics.specialists(_tuning(s, d), scaled).select("c1", "c2", "specialist", "generalist")
+
+
+_ACTIVE = "(SELECT channel, response FROM rr WHERE item = 3 AND response > 0)"
+_SUB = "(SELECT c1, c2, weight, x.response AS r1, y.response AS r2 FROM cm JOIN act x ON x.channel = c1 JOIN act y ON y.channel = c2 WHERE c1 < c2 AND weight > 0)"
+
+
+def _sub(s: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    active = b.dense(s, d).filter("item = 3 and channel < 20 and response > 0").select(F.concat(F.lit("ch"), "channel").alias("channel"), "response")
+    return active, integrate.subnetwork(active, integrate.by_channel(_matrix(s, d), b.mapping(s, d)))
+
+
+@query("SELECT * FROM sub", **T, act=_ACTIVE, sub=_SUB)
+def subnetwork(s: Spark, d: str) -> DataFrame:
+    return _sub(s, d)[1]
+
+
+@query("""SELECT n_nodes, n_edges, 2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)) AS density, mean_degree, max_degree, hub, mean_weight, median_weight, max_weight FROM
+    (SELECT count(*) AS n_nodes, avg(k) AS mean_degree, max(k) AS max_degree, arg_min(channel, (-k, channel)) AS hub FROM (SELECT channel, (SELECT count(*) FROM sub WHERE channel IN (c1, c2)) AS k FROM act)),
+    (SELECT count(*) AS n_edges, avg(weight) AS mean_weight, median(weight) AS median_weight, max(weight) AS max_weight FROM sub)""", **T, act=_ACTIVE, sub=_SUB)
+def subnetwork_statistics(s: Spark, d: str) -> DataFrame:
+    active, edges = _sub(s, d)
+    return integrate.subnetwork_statistics(edges, active)
+
+
+_REC = "(SELECT x.item, c1, c2, weight, least(x.response, y.response) AS score FROM cm JOIN rr x ON x.channel = c1 JOIN rr y ON y.channel = c2 AND x.item = y.item WHERE c1 < c2 AND weight >= 10 AND x.response > 0.15 AND y.response > 0.15)"
+
+
+@query("SELECT item, count(*) AS n_pairs, sum(weight)::BIGINT AS total_weight, max(weight) AS max_weight, avg(weight) AS mean_weight, round(avg(score), 8) AS mean_score FROM rec GROUP BY item", **T, rec=_REC)
+def recommend_items(s: Spark, d: str) -> DataFrame:
+    dense = b.dense(s, d).filter("channel < 20").withColumn("channel", F.concat(F.lit("ch"), "channel"))
+    rows = integrate.recommended(integrate.by_channel(_matrix(s, d), b.mapping(s, d)), dense, 10, 0.15)
+    return integrate.recommendation_totals(rows).withColumn("mean_score", F.round("mean_score", 8))
+
+
+@query("""SELECT count(*) AS n_connected, 190::BIGINT AS n_pairs, count(*) * (100.0::DOUBLE / 190) AS rate_pct, min(weight) AS min_weight, median(weight) AS median_weight, avg(weight) AS mean_weight, max(weight) AS max_weight, count(*) FILTER (weight < 10) AS n_weak,
+    count(*) FILTER (weight >= 10 AND weight < 5000) AS n_medium, count(*) FILTER (weight >= 5000 AND weight < 10000) AS n_strong, count(*) FILTER (weight >= 10000) AS n_very_strong FROM cm WHERE c1 < c2 AND weight > 0""", **M)
+def pair_diagnostics(s: Spark, d: str) -> DataFrame:
+    return integrate.pair_diagnostics(integrate.by_channel(_matrix(s, d), b.mapping(s, d)), 20, (10, 5000, 10000))
+
+
+@query("SELECT channel, mapped, CASE WHEN NOT mapped THEN CASE WHEN n > 0 THEN 'HIGH' ELSE 'LOW' END END AS priority FROM (SELECT 'ch' || channel AS channel, channel < 20 AS mapped, count(*) FILTER (response > 0.25) AS n FROM r GROUP BY channel)", r=b.DENSE)
+def map_coverage(s: Spark, d: str) -> DataFrame:
+    counts = b.dense(s, d).groupBy(F.concat(F.lit("ch"), "channel").alias("channel")).agg(F.count_if(F.col("response") > 0.25).alias("n_tested"))
+    return integrate.map_coverage(counts, b.mapping(s, d))
+
+
+@query("SELECT DISTINCT 'ch' || channel AS channel FROM r WHERE channel < 20", r=b.DENSE)
+def mapped_channels(s: Spark, d: str) -> DataFrame:
+    dense = b.dense(s, d).withColumn("channel", F.concat(F.lit("ch"), "channel"))
+    return integrate.mapped_channels(dense, b.mapping(s, d), b.table(s, d, "nation").select(F.col("n_name").alias("region")))
+
+
+# --- labels and space
+
+
+@query("SELECT root_id, label, p AS pattern FROM l CROSS JOIN (SELECT unnest(['red', 'Brand#1\\b', 'PROMO$']) AS p) WHERE regexp_matches(label, '(?i)' || p)", l=b.LABELS)
+def label_search(s: Spark, d: str) -> DataFrame:
+    return annotate.search(b.labels(s, d), ["red", r"Brand#1\b", "PROMO$", "("]).select("root_id", "label", "pattern")
+
+
+_PATTERNS = {"one": r"\bBrand#1\d*\b", "promo": r"\bpromo\b", "ring": r"\bring\b"}
+
+
+@query("SELECT root_id, 'one' AS class FROM l WHERE regexp_matches(label, '(?i)\\bBrand#1\\d*\\b') UNION ALL SELECT root_id, 'promo' FROM l WHERE regexp_matches(label, '(?i)\\bpromo\\b') UNION ALL SELECT root_id, 'ring' FROM l WHERE regexp_matches(label, '(?i)\\bring\\b')", l=b.LABELS)
+def class_extract(s: Spark, d: str) -> DataFrame:
+    return annotate.classes(b.labels(s, d), ["one", "promo", "ring", "none"], _PATTERNS).select("root_id", "class")
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest([regexp_extract(label, '((?i)\\bBrand#1\\d*\\b)', 1), regexp_extract(label, '((?i)\\bpromo\\b)', 1), regexp_extract(label, '((?i)\\bring\\b)', 1)]) AS name FROM l) WHERE name != '' GROUP BY name", l=b.LABELS)
+def unique_tokens(s: Spark, d: str) -> DataFrame:
+    return annotate.names_in(b.labels(s, d), list(_PATTERNS.values()))
+
+
+@query("SELECT root_id, label FROM l WHERE root_id IN ('5', '77', '1999')", l=b.LABELS)
+def labels_by_root(s: Spark, d: str) -> DataFrame:
+    return annotate.by_root(b.labels(s, d), [5, "77", 1999]).select("root_id", "label")
+
+
+_CELLS = "(SELECT n.channel, l.* FROM l JOIN (VALUES ('ring'), ('widget'), ('Brand#2'), ('ECONOMY')) n(channel) ON regexp_matches(label, '(?i)' || n.channel))"
+
+
+def _cells(s: Spark, d: str) -> DataFrame:
+    names = s.range(1).select(F.explode(F.array(*map(F.lit, ("ring", "widget", "Brand#2", "ECONOMY")))).alias("channel"))
+    return annotate.cells_of(b.labels(s, d), names)
+
+
+@query("SELECT channel, count(*) AS n_cells, count(x) AS n_positioned, avg(x) AS mean_x, round(avg(y), 6) AS mean_y, avg(z) AS mean_z FROM c GROUP BY channel", l=b.LABELS, c=_CELLS)
+def channel_to_cells(s: Spark, d: str) -> DataFrame:
+    return annotate.channel_cells(_cells(s, d)).withColumn("mean_y", F.round("mean_y", 6))
+
+
+@query("""SELECT 5::BIGINT AS n_channels, count(*) AS n_mapped, sum(n)::BIGINT AS n_cells, avg(n) AS mean_cells, count(*) FILTER (k > 0) AS n_positioned, count(*) / 5.0::DOUBLE AS rate FROM (SELECT channel, count(*) AS n, count(x) AS k FROM c GROUP BY channel)""", l=b.LABELS, c=_CELLS)
+def mapping_statistics(s: Spark, d: str) -> DataFrame:
+    names = s.range(1).select(F.explode(F.array(*map(F.lit, ("ring", "widget", "Brand#2", "ECONOMY", "nothing")))).alias("channel"))
+    return annotate.mapping_statistics(annotate.channel_cells(_cells(s, d)), names)
+
+
+@query("SELECT x, y, z, channel, intensity FROM c JOIN (VALUES ('ring', 0.4::DOUBLE), ('Brand#2', -0.2::DOUBLE)) r(name, intensity) ON channel = name WHERE x IS NOT NULL", l=b.LABELS, c=_CELLS)
+def spatial_activation(s: Spark, d: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(1).alias("item"), F.lit(c).alias("channel"), F.lit(v).cast("double").alias("response")) for c, v in (("ring", 0.4), ("Brand#2", -0.2), ("widget", 0.0), ("ECONOMY", None))])
+    return annotate.activation_map(_cells(s, d), s.range(1).select(F.inline(rows)), 1)
+
+
+@query("SELECT DISTINCT unnest([trim(p_brand), trim(p_type)]) AS name FROM part")
+def distinct_names(s: Spark, d: str) -> DataFrame:
+    return annotate.distinct_names(b.table(s, d, "part").select(F.col("p_brand").alias("glom_a"), F.col("p_type").alias("Receptor"), "p_size"))
+
+
+@query("""SELECT map_id, count(*) AS n, round(avg(intensity), 8) AS mean_intensity, max(intensity) AS max_intensity, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z,
+    round(sum(x * intensity) / sum(intensity), 8) AS center_x, round(sum(y * intensity) / sum(intensity), 8) AS center_y, round(sum(z * intensity) / sum(intensity), 8) AS center_z FROM p GROUP BY map_id""", p=b.POINTS)
+def centroids(s: Spark, d: str) -> DataFrame:
+    return spatial.summary(b.points(s, d)).withColumns({c: F.round(c, 8) for c in ("mean_intensity", "center_x", "center_y", "center_z")})
+
+
+@query("SELECT n, n_near, n_near / n::DOUBLE AS overlap FROM (SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM p o WHERE map_id = 2 AND (a.x - o.x) ** 2 + (a.y - o.y) ** 2 + (a.z - o.z) ** 2 < 0.0036)) AS n_near FROM p a WHERE map_id = 1)", p=b.POINTS)
+def radius_overlap(s: Spark, d: str) -> DataFrame:
+    p = b.points(s, d)
+    return spatial.overlap(p.filter("map_id = 1"), p.filter("map_id = 2"), 0.06)
+
+
+@query("""SELECT least(floor((x - lx) * 10 / (hx - lx)), 9)::INT AS bin_a, least(floor((y - ly) * 10 / (hy - ly)), 9)::INT AS bin_b, round(avg(intensity), 8) AS mean_intensity, count(*) AS n FROM p, (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p) GROUP BY ALL""", p=b.POINTS)
+def heatmap(s: Spark, d: str) -> DataFrame:
+    return spatial.heat_map(b.points(s, d), bins=10).withColumn("mean_intensity", F.round("mean_intensity", 8))
+
+
+@query("SELECT item, intensity FROM p WHERE intensity >= 0.2", p=b.POINTS)
+def point_threshold(s: Spark, d: str) -> DataFrame:
+    return spatial.above(b.points(s, d), 0.2).select("item", "intensity")
+
+
+@query()
+def kmeans(s: Spark, d: str) -> DataFrame:
+    return spatial.clusters(b.points(s, d), 4).select("item", "cluster")
