@@ -4,13 +4,13 @@ Words are lower-cased in A-Z and parted by every other ASCII character that is n
 `span` consecutive words of a benchmark item; an item of fewer words, but not none, is one window. For a block of the
 benchmark (whose size is bounded, so that it can be sent to all tasks):
 
-1. The documents with each of the block's words are counted. A window with a word that no document has cannot occur.
-2. The rarest word of each window that is left is an anchor. Documents with an anchor are indexed: their postings, the
-   places of each of the block's words, are written as a table. (Documents without one cannot have a window.)
-3. The anchors' posting lists, moved back by their places in the items, are joined with the items: that gives the
-   alignments of items to documents that may match.
-4. For each alignment the lists of the item's other words, moved likewise, are intersected, rarest first. Runs of
-   `span` places are exact phrases; with `slop` a word may also stand that far from its place (proximity matches).
+1. The documents with each of the block's words are counted. A window with a word that no document has cannot occur;
+   the words of the others are put in order, rarest first.
+2. The index is written: for each document the places of the block's words (its posting lists), and the windows whose
+   words it all has, found from each window's rarest word on. Documents without such a window need no lists. Lists
+   stay with their document, so that a word of a third of all documents is never brought to one place.
+3. For each window of a document the lists, each moved back by its word's place in the window, are intersected, rarest
+   first. What is left are exact phrases; with `slop` a word may also stand that far from its place (proximity).
 
 A benchmark of more than a block is taken in blocks, each with its own passes over the documents. Null texts have no
 words. Items with a null id hit words but are not listed. Repeated items count once, repeated documents each.
@@ -19,6 +19,8 @@ words. Items with a null id hit words but are not listed. Repeated items count o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,51 +41,64 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of the benchmark: its vocabulary, and its items as word numbers."""
+    """A block of the benchmark: its vocabulary, and its items' windows as word numbers."""
 
     def __init__(self, texts: list[str | None], span: int = SPAN):
-        self.span, self.number = span, {}
-        self.items = [np.array([self.number.setdefault(w, len(self.number)) for w in words(t)], np.int64) for t in texts]
-
-    def windows(self, i: int) -> range:
-        """First places of item i's windows."""
-        n = len(self.items[i])
-        return range(max(1, n - self.span + 1) if n else 0)
+        self.number: dict[bytes, int] = {}
+        windows, self.item, self.size = [], [], []
+        for i, text in enumerate(texts):
+            own = [self.number.setdefault(w, len(self.number)) for w in words(text)]
+            for s in range(max(1, len(own) - span + 1) if own else 0):
+                window = own[s : s + span]
+                windows.append(window + [window[0]] * (span - len(window)))
+                self.item.append(i)
+                self.size.append(len(window))
+        self.windows = np.array(windows, np.int64).reshape(-1, span)
 
     def choose(self, documents: np.ndarray) -> None:
-        """Keep the windows whose words all occur, and take each one's rarest word as an anchor; documents: with each word."""
-        self.documents = documents
-        self.open: list[np.ndarray] = []
-        anchors = set()
-        for i, item in enumerate(self.items):
-            alive = np.zeros(len(item), bool)
-            for s in self.windows(i):
-                own = documents[item[s : s + self.span]]
-                if own.all():
-                    alive[s : s + self.span] = True
-                    anchors.add((int(item[s + own.argmin()]), i, int(s + own.argmin())))
-            self.open.append(alive)
-        self.anchors = sorted(anchors)
-        number = {n: w for w, n in self.number.items()}
-        self.anchor_words = {number[t] for t, _, _ in self.anchors}
-        alive_terms = {int(t) for item, alive in zip(self.items, self.open) for t in item[alive]}
-        self.indexed = {w: n for w, n in self.number.items() if n in alive_terms}
-
-    def matches(self, i: int, start: int, postings: dict[int, np.ndarray], slop: int) -> tuple[bool, np.ndarray]:
-        """Whether item i, its first word at `start`, has a window there, and the places that its windows' words take."""
-        item, alive = self.items[i], self.open[i]
-        found = np.full(len(item), -1)
-        for at in sorted(np.flatnonzero(alive), key=lambda k: self.documents[item[k]]):
-            own = postings.get(int(item[at]))
-            if own is None:
+        """Keep the windows whose words all occur, by their rarest word; documents: those with each word."""
+        counts = documents[self.windows]
+        alive = np.flatnonzero(counts.all(1))
+        order = np.argsort(counts[alive], axis=1, kind="stable")
+        rarest = self.windows[alive, order[:, 0]]
+        by = np.argsort(rarest, kind="stable")
+        self.windows, self.order = self.windows[alive[by]], order[by]
+        self.item, self.size = np.array(self.item, np.int64)[alive[by]], np.array(self.size, np.int64)[alive[by]]
+        #: windows first[t] to first[t + 1] have t for their rarest word
+        self.first = np.searchsorted(rarest[by], np.arange(len(documents) + 1))
+        self.rare_first = np.take_along_axis(self.windows, self.order, 1)
+
+    def held(self, terms: np.ndarray) -> np.ndarray:
+        """Windows whose words are all among terms (distinct)."""
+        begin, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+        found = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        present = np.zeros(len(self.first), bool)
+        present[terms] = True
+        for k in range(1, self.windows.shape[1]):
+            if not len(found):
+                break
+            found = found[present[self.rare_first[found, k]]]
+        return found
+
+    def matches(self, w: int, terms: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
+        """(match, word): the places that window w's words take, from lists sorted by word, then place."""
+        own, starts, found = self.windows[w][: self.size[w]], None, {}
+        for k in self.order[w]:
+            if k >= len(own):
+                continue
+            a, b = np.searchsorted(terms, [own[k], own[k] + 1])
+            moved = places[a:b] - k
+            if starts is None:
+                starts, found[k] = moved, places[a:b]
                 continue
-            near = own[max(0, np.searchsorted(own, start + at - slop)) : np.searchsorted(own, start + at + slop, "right")]
-            if len(near):
-                found[at] = near[np.abs(near - start - at).argmin()]
-        width = min(self.span, len(item))
-        runs = np.convolve(found >= 0, np.ones(width, int), "valid") == width
-        hit = np.convolve(runs, np.ones(width, int)) > 0
-        return bool(runs.any()), found[hit]
+            after = np.minimum(np.searchsorted(moved, starts), len(moved) - 1)
+            ahead = np.maximum(after - 1, 0)
+            near = np.where(np.abs(moved[ahead] - starts) <= np.abs(moved[after] - starts), ahead, after)
+            ok = np.abs(moved[near] - starts) <= slop
+            starts, found = starts[ok], {i: x[ok] for i, x in found.items()} | {k: places[a:b][near[ok]]}
+            if not len(starts):
+                break
+        return np.stack(list(found.values()), 1)
 
 
 def document_counts(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
@@ -108,81 +123,72 @@ def document_counts(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFrame:
-    """(row, id, n_words, postings) of every document, row a hash of its id and text; postings only for documents with an anchor."""
-    sent = docs.sparkSession.sparkContext.broadcast((frozenset(items.anchor_words), items.indexed))
+    """(row, id, n_words, windows, terms, places) of every document, row a hash of its id and text. terms and places are the posting lists one after the other, only where a window has all its words."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def make():
-        anchors, number = sent.value
+        items = sent.value
+        get, nothing = items.number.get, repeat(-1)
 
         def row(row, key, text):
             own = words(text)
-            if anchors.isdisjoint(own):
-                yield row, key, len(own), []
-                return
-            terms = np.fromiter((number.get(w, -1) for w in own), np.int64, len(own))
-            places = np.argsort(terms, kind="stable")
-            found, first = np.unique(terms[places], return_index=True)
-            yield row, key, len(own), [{"term": int(t), "places": p} for t, p in zip(found, np.split(places.astype(np.int32), first[1:])) if t >= 0]
+            terms = np.fromiter(map(get, own, nothing), np.int64, len(own))
+            places = np.flatnonzero(terms >= 0)
+            terms = terms[places]
+            by = np.argsort(terms, kind="stable")
+            terms, places = terms[by], places[by]
+            windows = items.held(terms[np.flatnonzero(np.diff(terms, prepend=-1))])
+            if len(windows):
+                yield row, key, len(own), windows, terms, places
+            else:
+                yield row, key, len(own), [], [], []
 
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.xxhash64(id_col, text_col).alias("row"), id_col, text_col)
-    return written(map_rows(docs, docs.columns, f"row bigint, id {kind}, n_words bigint, postings array<struct<term:int,places:array<int>>>", make), "postings")
-
-
-def alignments(indexed: DataFrame, items: Items) -> DataFrame:
-    """(row, starts array<struct<item, start>>): the anchors' posting lists, moved back by their places in the items."""
-    spark = indexed.sparkSession
-    anchors = spark.createDataFrame(items.anchors or [(-1, -1, 0)], "term int, item int, place int")
-    lists = indexed.select("row", F.inline("postings")).join(F.broadcast(anchors), "term")
-    starts = lists.select("row", "item", F.explode(F.transform("places", lambda p: p - F.col("place"))).alias("start"))
-    return starts.groupBy("row").agg(F.collect_set(F.struct("item", "start")).alias("starts"))
+    return written(map_rows(docs, docs.columns, f"row bigint, id {kind}, n_words bigint, windows array<int>, terms array<int>, places array<int>", make), "postings")
 
 
-def hits_of_block(docs: DataFrame, benchmark: list, id_col: str, text_col: str, span: int, slop: int) -> tuple[DataFrame, DataFrame]:
-    """(row, id, n_words) of every document, and (row, id, hit places, item ids) of those with a match."""
+def hits_of_block(docs: DataFrame, benchmark: list, id_col: str, text_col: str, span: int, slop: int) -> DataFrame:
+    """(row, id, n_words, places, items) of every document."""
     items = Items([r.text for r in benchmark], span)
     items.choose(document_counts(docs, text_col, items))
     indexed = index(docs, id_col, text_col, items)
-    both = indexed.select("row", "id", "postings").join(alignments(indexed.filter("size(postings) > 0"), items), "row")
     sent = docs.sparkSession.sparkContext.broadcast((items, [r.item_id for r in benchmark]))
 
     def make():
         items, ids = sent.value
 
-        def row(row, key, postings, starts):
-            lists = {p["term"]: np.array(p["places"]) for p in postings}
-            found, places = set(), []
-            for s in starts:
-                ok, own = items.matches(s["item"], s["start"], lists, slop)
-                if ok:
-                    found.add(ids[s["item"]])
-                    places.append(own)
-            if places:
-                yield row, key, np.unique(np.concatenate(places)), [str(i) for i in found if i is not None]
+        def row(row, key, n_words, windows, terms, places):
+            found, hit = set(), []
+            terms, places = np.array(terms, np.int64), np.array(places, np.int64)
+            for w in windows:
+                if len(own := items.matches(w, terms, places, slop)):
+                    found.add(ids[items.item[w]])
+                    hit.append(own.ravel())
+            yield row, key, n_words, np.unique(np.concatenate(hit)) if hit else [], sorted(str(i) for i in found if i is not None)
 
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
-    hits = map_rows(both, ["row", "id", "postings", "starts"], f"row bigint, id {kind}, places array<int>, items array<string>", make)
-    return indexed.select("row", "id", "n_words"), hits
+    return map_rows(indexed, indexed.columns, f"row bigint, id {kind}, n_words bigint, places array<int>, items array<string>", make)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, slop: int = 0, block: int = BLOCK) -> DataFrame:
     """(id, n_words, places array<int>, items array<string>) of each document: the places of its hit words, ascending, and the items with a window in it, sorted."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
     blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block
-    every, hits = None, None
+    parts = []
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        rows, found = hits_of_block(docs, own, id_col, text_col, span, slop)
-        every = rows if every is None else every
-        hits = found if hits is None else hits.unionByName(found)
-    hits = hits.groupBy("row", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hits = hits.withColumnsRenamed({"row": "hit_row", "id": "hit_id"})
-    out = every.join(hits, (F.col("row") == F.col("hit_row")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        parts.append(hits_of_block(docs, own, id_col, text_col, span, slop))
+    found = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:  # a document comes once from each block; repeated rows of it are dealt out again
+        union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        found = found.groupBy("row", "id").agg(F.first("n_words").alias("n_words"), union("places"), union("items"), (F.count("*") / blocks).cast("int").alias("copies"))
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return found.select(F.col("id").alias(id_col), "n_words", "places", "items")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
