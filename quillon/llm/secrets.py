@@ -27,7 +27,10 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Hexadecimal digits of the usual digests.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Z]?[a-z]+([A-Z_/=+-]?[a-z]+)*[0-9]{0,4}|[A-Z]+([_/=+-][A-Z]+)*[0-9]{0,4}|[0-9_/=+-]+|[A-Za-z_-]+")
+#: UUIDs; words and camel or snake case of parts of two letters or more; capitals; numbers.
+IDENTIFIER = re.compile(
+    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Z]?[a-z]{2,}([A-Z_/=+-]?[a-z]{2,})*[_-]?[0-9]{0,4}|[A-Z]+([_/=+-][A-Z]+)*[_-]?[0-9]{0,4}|[0-9_/=+-]+|[_/=+-]+"
+)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
