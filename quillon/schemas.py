@@ -18,5 +18,4 @@ PATHWAY_FILE = _struct(
 PATHWAY_NAMES = dict(zip(PATHWAY_FILE.names, "source source_label source_region middle middle_type middle_class target target_type target_class step1 step2".split()))
 REGION_MATRIX_FILE = _struct(source_glom=S, target_glom=S, synapse_count_step2=I)
 LABELS = _struct(root_id=S, label=S, supervoxel_id=S, x=D, y=D, z=D)
-MAPPING_FILE = _struct(door_name=S, flywire_glomerulus=S, cell_type=S, source=S, confidence=S, notes=S)
 ALIAS_FILE = _struct(common_name=S, inchikey=S, alternative_names=S)

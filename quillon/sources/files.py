@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numeric import number
 from ..operators.network import by_strength, by_types
-from ..schemas import ALIAS_FILE, MAPPING_FILE, PATHWAY_FILE, PATHWAY_NAMES, REGION_MATRIX_FILE
+from ..schemas import ALIAS_FILE, PATHWAY_FILE, PATHWAY_NAMES, REGION_MATRIX_FILE
 
 FORMATS = ("parquet", "csv", "npy")
 
@@ -151,16 +151,16 @@ def load_labels(spark: SparkSession, path: str, spread: int | None = None) -> Da
     return out if spread is None else out.repartition(spread)
 
 
-def load_mapping(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
-    """(channel, region, ..., row_ord): the named file, else the complete table of the folder, else the older one."""
-    for at in [path] if path else [f"{folder}/door_to_flywire_mapping_complete.csv", f"{folder}/door_to_flywire_mapping.csv"]:
+def load_mapping(spark: SparkSession, candidates: list[str], channel: str | None = None, region: str | None = None) -> DataFrame:
+    """(channel, region, ..., row_ord) from the first of the files that exists; by default their first two columns are the channel and its region."""
+    for at in candidates:
         if exists(spark, at):
-            names = spark.read.csv(at, header=True).columns
             own = spark.read.csv(at, header=True)
-            if missing := [c for c in MAPPING_FILE.names[:2] if c not in names]:
+            named = (channel or own.columns[0], region or own.columns[1])
+            if missing := [c for c in named if c not in own.columns]:
                 raise ValueError(f"{at} lacks the columns {', '.join(missing)}")
-            return numbered(own).withColumnsRenamed({"door_name": "channel", "flywire_glomerulus": "region"})
-    raise FileNotFoundError(f"no mapping table in {folder}")
+            return numbered(own).withColumnsRenamed(dict(zip(named, ("channel", "region"))))
+    raise FileNotFoundError(f"none of {', '.join(candidates)} exists")
 
 
 def load_aliases(spark: SparkSession, candidates: list[str]) -> DataFrame:

@@ -186,6 +186,12 @@ def test_files(spark, path, tmp_path):
     assert config.synapse("LN")["effect"] == "inhibitory" and config.parameters(spark).count() == 3
     (tmp_path / "m.csv").write_text("source_glom,target_glom,synapse_count_step2\na,b,3\na,,4\n")
     assert files.load_region_matrix(spark, str(tmp_path / "m.csv")).count() == 1
+    (tmp_path / "map.csv").write_text("name,place,notes\nOr1a,ORN_A,x\nOr2a,ORN_B,\n")
+    names = files.load_mapping(spark, [str(tmp_path / "none.csv"), str(tmp_path / "map.csv")])
+    assert {(r.channel, r.region) for r in names.collect()} == {("Or1a", "ORN_A"), ("Or2a", "ORN_B")}
+    (tmp_path / "names.csv").write_text("common_name,inchikey,alternative_names\nCO2,K1,\"carbon dioxide,dry ice\"\n,K2,\n")
+    aliases = files.load_aliases(spark, [str(tmp_path / "names.csv")])
+    assert {r.key: (r["name"], r.synonyms) for r in aliases.collect()} == {"K1": ("CO2", "carbon dioxide;dry ice"), "K2": ("K2", "")}
     assert files.missing_files(spark, str(tmp_path), {"m": "m.csv", "n": "n.csv"}) == {"m": True, "n": False}
 
 
