@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.numeric import correlation, ratio
 
 
-def average_rank(pairs: DataFrame, column: str, name: str, within: list[str] | None = None) -> DataFrame:
-    """Rank of each value, tied ones sharing their mean rank.
+def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the rank of each value of a numeric column, tied ones sharing their mean rank.
 
-    Values are counted first, so what is ordered in one place is one row a distinct value, not one a row.
+    Values are counted, then cut into ranges of about equal size: a range is ranked in its own task, and starts from the
+    sum of the ranges before it. Only the ranges' bounds, as many as shuffle partitions, are known to the driver.
     """
-    within = within or []
-    counts = pairs.groupBy(*within, column).agg(F.count("*").alias("ties"))
-    below = Window.partitionBy(*within).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("ties").over(below), F.lit(0)) + (F.col("ties") + 1) / 2.0).drop("ties")
-    return pairs.join(ranks, [*within, column])
+    counts = rows.groupBy(column).agg(F.count("*").alias("ties"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(counts.select(F.col(column).cast("double")).approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)))
+    part = sum(((F.col(column) > b).cast("int") for b in bounds), F.lit(0)).alias("part")
+    counts = counts.select("*", part)
+    totals = counts.groupBy("part").agg(F.sum("ties").alias("total"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    ahead = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
+    below = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0)))
+    ranks = inside.join(F.broadcast(ahead), "part").select(column, (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias(name))
+    return rows.join(ranks, column)
 
 
 def pearson(pairs: DataFrame, x: str, y: str) -> DataFrame:
