@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, written
+from .suffixes import BASE, INVERSE, LETTERS, powers
 
 #: Labelled texts of a language to fit on; rounds of fitting; share of the counts over all languages; longest piece.
-PER_LANGUAGE, ROUNDS, SHARED, LONGEST = 5000, 3, 0.02, 16
-#: Bytes of a word up to which products can't underflow, so that many words are scored at once.
-SHORT = 30
+PER_LANGUAGE, ROUNDS, SHARED, LONGEST = 5000, 3, 0.02, 12
+#: Bytes of a word up to which many words are scored at once; bytes of text that are scored at once.
+SHORT, CHUNK = 64, 3 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -41,70 +42,113 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+class Vocabulary:
+    """The pieces that don't go over a word's start, found by polynomial hash."""
+
+    def __init__(self, path: str, bits: int = 18):
+        with open(path, "rb") as lines:
+            pieces = {base64.b64decode(x.split()[0]) for x in lines}
+        self.pieces = sorted({p for p in pieces if len(p) <= LONGEST and b" " not in p[1:]} | {bytes([i]) for i in range(256)})
+        self.none, self.shift = len(self.pieces), np.uint64(64 - bits)
+        h = np.array([(LETTERS[np.frombuffer(p, np.uint8)] * powers(BASE, LONGEST)[: len(p)]).sum() for p in self.pieces], np.uint64)
+        self.key, self.id, self.shared = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.none, np.int32), np.zeros(1 << bits, bool)
+        slot, (_, first) = self.slot(h), np.unique(self.slot(h), return_index=True)
+        self.key[slot[first]], self.id[slot[first]] = h[first], first
+        # pieces whose slot is taken stand in a sorted list
+        rest = np.setdiff1d(np.arange(len(h)), first)
+        self.shared[slot[rest]] = True
+        rest = rest[np.argsort(h[rest])]
+        self.more_keys, self.more_ids = h[rest], rest.astype(np.int32)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9FB21C651E98DF25)) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or none."""
+        slot = self.slot(h)
+        same = self.key[slot] == h
+        out = np.where(same, self.id[slot], self.none)
+        if len(open_ := np.flatnonzero(self.shared[slot] & ~same)):
+            at = np.minimum(np.searchsorted(self.more_keys, h[open_]), len(self.more_keys) - 1)
+            out[open_] = np.where(self.more_keys[at] == h[open_], self.more_ids[at], self.none)
+        return out
+
+
 @lru_cache(maxsize=1)
-def vocabulary(path: str) -> tuple[dict[bytes, int], int]:
-    """Starts of pieces -> the piece's number, or -1; the number of pieces. Pieces don't go over a word's start."""
-    with open(path, "rb") as lines:
-        pieces = sorted({p for p in (base64.b64decode(x.split()[0]) for x in lines) if len(p) <= LONGEST and b" " not in p[1:]} | {bytes([i]) for i in range(256)})
-    starts: dict[bytes, int] = {}
-    for i, p in enumerate(pieces):
-        for k in range(1, len(p)):
-            starts.setdefault(p[:k], -1)
-        starts[p] = i
-    return starts, len(pieces)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTERS[data] * powers(BASE, len(data))[: len(data)], out=out[1:])
+    return out
 
 
 class Lattice:
-    """The pieces of many short words, by where they end."""
-
-    def __init__(self, words: list[bytes], starts: dict[bytes, int]):
-        row, begin, end, piece = [], [], [], []
-        for w, word in enumerate(words):
-            for s in range(len(word)):
-                for e in range(s + 1, min(len(word), s + LONGEST) + 1):
-                    found = starts.get(word[s:e])
-                    if found is None:
-                        break
-                    if found >= 0:
-                        row.append(w)
-                        begin.append(s)
-                        end.append(e)
-                        piece.append(found)
-        self.lengths = np.array([len(w) for w in words])
-        edges = np.array([row, begin, end, piece])
-        self.edges = edges[:, np.lexsort((edges[0], edges[2]))]
-        self.by_begin = edges[:, np.lexsort((edges[0], edges[1]))]
-        self.longest = int(self.lengths.max(initial=0))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(word, place, column of p): probability of the first bytes of a word."""
-        a = np.zeros((len(self.lengths), self.longest + 1, p.shape[1]))
-        a[:, 0] = 1
-        row, begin, end, piece = self.edges
-        bounds = np.searchsorted(end, np.arange(1, self.longest + 2))
+    """The pieces of many words, by the place where they end and by their length. Words are ordered from the longest on."""
+
+    def __init__(self, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, known: Vocabulary):
+        self.order = np.argsort(-size, kind="stable")
+        start, self.size = start[self.order], size[self.order]
+        self.longest = int(size.max(initial=0))
+        back = powers(INVERSE, len(prefix))
+        self.steps = []  # (end, piece's length, words that are long enough, pieces)
         for e in range(1, self.longest + 1):
-            own = slice(bounds[e - 1], bounds[e])
-            if own.start < own.stop:
-                first = np.flatnonzero(np.diff(row[own], prepend=-1))
-                a[row[own][first], e] = np.add.reduceat(a[row[own], begin[own]] * p[piece[own]], first)
-        return a
+            own = start[: np.searchsorted(-self.size, -e, "right")] + e
+            for k in range(1, min(e, LONGEST) + 1):
+                self.steps.append((e, k, len(own), known.find((prefix[own] - prefix[own - k]) * back[own - k])))
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the first bytes of each word, (place, word, column of p), and the logarithm by which each place of a word is scaled, (place, word). The last row of p is for no piece."""
+        a = np.zeros((self.longest + 1, len(self.size), p.shape[1]))
+        scale = np.zeros((self.longest + 1, len(self.size)))
+        a[0] = 1
+        for e, k, n, piece in self.steps:
+            if k == 1:
+                scale[e, :n] = scale[e - 1, :n]
+            shift = scale[e - k, :n] - scale[e, :n]
+            part = a[e - k, :n] * p[piece]
+            a[e, :n] += part * np.exp(shift)[:, None] if e > LONGEST else part
+            if k == min(e, LONGEST) and e % LONGEST == 0:
+                top = a[e, :n].max(1)
+                a[e, :n] /= top[:, None]
+                scale[e, :n] += np.log(top)
+        return a, scale
+
+    def log_probabilities(self, p: np.ndarray) -> np.ndarray:
+        """(word, column of p), in the order that the words were given."""
+        a, scale = self.forward(p)
+        every = np.arange(len(self.size))
+        out = np.empty((len(self.size), p.shape[1]))
+        out[self.order] = np.log(a[self.size, every]) + scale[self.size, every][:, None]
+        return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected count of each piece under p (one column), each word counting weight times."""
-        a = self.forward(p[:, None])[:, :, 0]
+        a, scale = self.forward(p[:, None])
+        a, every, weight = a[:, :, 0], np.arange(len(self.size)), weight[self.order]
+        end = scale[self.size, every]
         b = np.zeros_like(a)
-        every = np.arange(len(self.lengths))
-        b[every, self.lengths] = 1
-        row, begin, end, piece = self.by_begin
-        bounds = np.searchsorted(begin, np.arange(self.longest + 1))
-        for s in range(self.longest - 1, -1, -1):
-            own = slice(bounds[s], bounds[s + 1])
-            if own.start < own.stop:
-                first = np.flatnonzero(np.diff(row[own], prepend=-1))
-                sums = np.add.reduceat(p[piece[own]] * b[row[own], end[own]], first)
-                b[row[own][first], s] += sums
-        each = a[row, begin] * p[piece] * b[row, end] / a[row, self.lengths[row]] * weight[row]
-        return np.bincount(piece, each, len(p))
+        b[self.size, every] = 1 / a[self.size, every]
+        counts = np.zeros(len(p))
+        for e, k, n, piece in reversed(self.steps):
+            # b is scaled against a, so that a * b is the share of segmentations through a place
+            part = p[piece] * b[e, :n] * np.exp(scale[e - k, :n] - scale[e, :n])
+            b[e - k, :n] += part
+            counts += np.bincount(piece, a[e - k, :n] * part * weight[:n], len(p))
+        return counts
+
+
+def padded(p: np.ndarray) -> np.ndarray:
+    """p with a row of zeros for no piece."""
+    return np.concatenate([p, np.zeros((1, *p.shape[1:]))])
+
+
+def lattice_of(words: list[bytes], known: Vocabulary) -> Lattice:
+    data = np.frombuffer(b" " + b" ".join(words), np.uint8)
+    size = np.array([len(w) + 1 for w in words])
+    return Lattice(prefix_hashes(data), np.cumsum(size) - size, size, known)
 
 
 @dataclass
@@ -115,65 +159,71 @@ class Model:
     ranks_path: str
 
 
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_TO_SPACE = bytes(32 if _WHITE[i] else i for i in range(256))
+
+
 class Scorer:
-    """Log-probabilities of words in each language, kept for words seen."""
-
-    def __init__(self, model: Model, keep: int = 400_000):
-        self.starts, _ = vocabulary(model.ranks_path)
-        self.model, self.keep = model, keep
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.scores, self.n = np.zeros((1024, len(self.model.languages))), 0
-
-    def learn(self, words: set[bytes]) -> None:
-        ordered = sorted(words, key=len)
-        lettered = [w for w in ordered if LETTER.search(w.decode(errors="replace"))]
-        silent = words.difference(lettered)
-        short = [w for w in lettered if len(w) < SHORT]
-        found = [np.zeros((len(silent), self.scores.shape[1]))]
-        for i in range(0, len(short), 2000):
-            lattice = Lattice([b" " + w for w in short[i : i + 2000]], self.starts)
-            a = lattice.forward(self.model.p)
-            found.append(np.log(a[np.arange(len(a)), lattice.lengths]))
-        found += [self.long(b" " + w)[None] for w in lettered[len(short) :]]
-        new = np.concatenate(found)
-        for i, w in enumerate([*silent, *lettered]):
-            self.at[w] = self.n + i
-        while self.n + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.n : self.n + len(new)] = new
-        self.n += len(new)
+    """Log-probabilities of texts in each language; equal words of a chunk of texts are scored once."""
+
+    def __init__(self, model: Model):
+        self.known, self.p = vocabulary(model.ranks_path), padded(model.p)
 
     def long(self, word: bytes) -> np.ndarray:
-        """The same for one word of any length; the last places' probabilities are scaled as it goes."""
-        p, scale = self.model.p, np.zeros(len(self.model.languages))
-        last = [np.ones_like(scale)]  # of places e-LONGEST to e-1
-        for e in range(1, len(word) + 1):
-            now = np.zeros_like(scale)
-            for back in range(1, min(LONGEST, e) + 1):
-                found = self.starts.get(word[e - back : e], -1)
-                if found >= 0:
-                    now = now + last[-back] * p[found]
-            last = [*last[-LONGEST + 1 :], now]
-            if now.max() < 1e-100:
-                up = 1 / now
-                scale, last = scale - np.log(up), [x * up for x in last]
+        """One word of any length."""
+        n, zero = len(word), self.p.shape[1]
+        prefix = prefix_hashes(np.frombuffer(word, np.uint8))
+        back = powers(INVERSE, n + 1)
+        piece = np.full((n + 1, LONGEST), self.known.none)
+        for k in range(1, min(n, LONGEST) + 1):
+            piece[k:, LONGEST - k] = self.known.find((prefix[k:] - prefix[:-k]) * back[: n + 1 - k])
+        last, scale = np.zeros((LONGEST, zero)), 0.0
+        last[-1] = 1
+        for e in range(1, n + 1):
+            now = (last * self.p[piece[e]]).sum(0)
+            last = np.concatenate([last[1:], now[None]])
+            if e % LONGEST == 0:
+                top = now.max()
+                last /= top
+                scale += np.log(top)
         return np.log(last[-1]) + scale
 
+    def words(self, data: bytes, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """(word, language) of words in data, each with the space before it. Words without a letter score 0."""
+        out = np.zeros((len(starts), self.p.shape[1]))
+        letters = np.concatenate([[0], np.cumsum(_LETTER[np.frombuffer(data, np.uint8)])])
+        lettered = letters[ends] > letters[starts]
+        for i in np.flatnonzero(~lettered):
+            lettered[i] = bool(LETTER.search(data[starts[i] : ends[i]].decode(errors="replace")))
+        size = ends - starts + 1
+        short = np.flatnonzero(lettered & (size <= SHORT))
+        short = short[np.argsort(size[short], kind="stable")]
+        for i in range(0, len(short), 20_000):
+            own = short[i : i + 20_000]
+            out[own] = Lattice(prefix, starts[own] - 1, size[own], self.known).log_probabilities(self.p)
+        for i in np.flatnonzero(lettered & (size > SHORT)):
+            out[i] = self.long(data[starts[i] - 1 : ends[i]])
+        return out
+
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """(text, language): log-probability."""
-        out = np.zeros((len(texts), len(self.model.languages)))
-        words = [(t or "").encode().split() for t in texts]
-        if len(self.at) > self.keep:
-            self.forget()
-        new = {w for own in words for w in own if w not in self.at}
-        if new:
-            self.learn(new)
-        for i, own in enumerate(words):
-            if own:
-                out[i] = self.scores[np.fromiter(map(self.at.__getitem__, own), np.int64, len(own))].sum(0)
+        out = np.zeros((len(texts), self.p.shape[1]))
+        encoded = [(t or "").encode() for t in texts]
+        data = (b" " + b" ".join(encoded)).translate(_TO_SPACE)
+        bytes_ = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(bytes_ == 32, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return out
+        prefix = prefix_hashes(bytes_)
+        h = (prefix[ends] - prefix[starts]) * powers(INVERSE, len(data))[starts]
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        scores = self.words(data, starts[first], ends[first], prefix)
+        begin = np.cumsum([1, *(len(e) + 1 for e in encoded)])  # of each text in data
+        bounds = np.searchsorted(starts, begin)
+        own = np.flatnonzero(bounds[1:] > bounds[:-1])
+        out[own] = np.add.reduceat(scores[inverse], bounds[own])
         return out
 
 
@@ -201,7 +251,7 @@ def fit(labelled: DataFrame, ranks_path: str | None = None, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     table = written(chosen.mapInArrow(words, ddl).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    _, size = vocabulary(path)
+    size = vocabulary(path).none
     p = np.full((size, len(languages)), 1 / size)
     for _ in range(rounds):
         p = mixed_counts(expected_counts(table, languages, p, path))
@@ -214,16 +264,16 @@ def expected_counts(table: DataFrame, languages: list[str], p: np.ndarray, path:
     schema, sent = arrow_schema(ddl), table.sparkSession.sparkContext.broadcast(p)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, size = vocabulary(path)
-        sums = np.zeros((size, len(languages)))
+        known, p = vocabulary(path), padded(sent.value)
+        sums = np.zeros((known.none, len(languages)))
         for b in batches:
             langs = np.array(b.column(0).to_pylist())
             for k, lang in enumerate(languages):
                 own = np.flatnonzero(langs == lang)
-                for i in range(0, len(own), 2000):
-                    part = b.take(pa.array(own[i : i + 2000]))
-                    lattice = Lattice([b" " + w for w in part.column(1).to_pylist()], starts)
-                    sums[:, k] += lattice.expected(sent.value[:, k], part.column(2).to_numpy().astype(float))
+                if len(own):
+                    part = b.take(pa.array(own))
+                    lattice = lattice_of(part.column(1).to_pylist(), known)
+                    sums[:, k] += lattice.expected(p[:, k], part.column(2).to_numpy().astype(float))[:-1]
         piece, lang = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lang, piece, sums[piece, lang]), schema.types)], schema=schema)
 
@@ -239,6 +289,19 @@ def mixed_counts(counts: np.ndarray) -> np.ndarray:
     return (1 - SHARED) * own + SHARED * (shared / shared.sum())[:, None]
 
 
+def chunks(column: pa.Array) -> Iterator[list[str | None]]:
+    """The column's texts, about CHUNK characters at a time."""
+    own, size = [], 0
+    for text in column:
+        own.append(text.as_py())
+        size += len(own[-1] or "")
+        if size >= CHUNK:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df with the predicted language and its posterior probability (all languages alike before) as two more columns; columns of these names are replaced."""
     keep = [c for c in df.columns if c not in (lang_out, score_out)]
@@ -252,8 +315,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
         languages = sent.value.languages
         for b in batches:
             langs, scores = [], []
-            for i in range(0, b.num_rows, 200):
-                texts = b.column(at).slice(i, 200).to_pylist()
+            for texts in chunks(b.column(at)):
                 for text, x in zip(texts, scorer.texts(texts) if languages else texts):
                     if languages and text and LETTER.search(text):
                         best = int(x.argmax())
@@ -273,7 +335,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """docs with lang_pred and score, fitted on its own rows that are labelled, have an id and aren't held out."""
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lang_out: str = "lang_pred", score_out: str = "score", **options) -> DataFrame:
+    """docs with the predicted language and its score, fitted on its own rows that are labelled, have an id and aren't held out."""
     model = fit(docs.filter(~held_out(id_col) & F.col(id_col).isNotNull()), None, id_col, text_col, lang_col, **options)
-    return predict(docs, model, text_col)
+    return predict(docs, model, text_col, lang_out, score_out)

@@ -39,13 +39,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i for i < n at least, modulo 2**64; kept up to a million."""
+    """base**i for i < n at least, modulo 2**64; kept up to four million."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         known = np.full(max(n, 1 << 17), base, np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)
-        if n <= 1 << 20:
+        if n <= 4 << 20:
             _powers[base] = known
     return known
 

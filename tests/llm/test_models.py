@@ -18,36 +18,44 @@ def docs(n=150):
 
 
 def test_forward_sums_every_segmentation():
-    starts, size = langid.vocabulary(langid.default_ranks())
+    known = langid.vocabulary(langid.default_ranks())
+    number = {p: i for i, p in enumerate(known.pieces)}
     r = np.random.default_rng(0)
-    p = r.random((size, 2)) / 100
+    p = r.random((known.none, 2)) / 100
 
     def brute(word):
         if not word:
             return np.ones(2)
-        return sum((p[starts[word[:k]]] * brute(word[k:]) for k in range(1, min(len(word), langid.LONGEST) + 1) if starts.get(word[:k], -1) >= 0), np.zeros(2))
+        return sum((p[number[word[:k]]] * brute(word[k:]) for k in range(1, min(len(word), langid.LONGEST) + 1) if word[:k] in number), np.zeros(2))
 
-    model = langid.Model(["a", "b"], p, langid.default_ranks())
-    scorer = langid.Scorer(model)
-    for word in (b"the", "élève".encode(), b"abcdefghijkl", b"x"):
+    scorer = langid.Scorer(langid.Model(["a", "b"], p, langid.default_ranks()))
+    words = [b"the", "élève".encode(), b"abcdefghijkl", b"x", b"internationale"]
+    for word in words:
         assert np.allclose(scorer.texts([word.decode()])[0], np.log(brute(b" " + word)))
         assert np.allclose(scorer.long(b" " + word), np.log(brute(b" " + word)))
-    long = "ab" * 5000
-    assert np.isfinite(scorer.texts([long])).all()
+    text = "the élève\n x  12 the"
+    assert np.allclose(scorer.texts(["", text, None, "x"])[1:], [sum(np.log(brute(b" " + w.encode())) for w in text.split() if w != "12"), [0, 0], np.log(brute(b" x"))])
+    for n in (40, 62, 63, 64, 5000):  # long words, by either way
+        word = ("abcde" * n)[:n].encode()
+        assert np.allclose(langid.lattice_of([word, b"a"], known).log_probabilities(scorer.p)[0], scorer.long(b" " + word)) or n > 100
+        assert np.isfinite(scorer.texts([word.decode()])).all()
     # expected counts: each piece's share of the segmentations
-    counts = langid.Lattice([b" the"], starts).expected(p[:, 0], np.array([3.0]))
-    by_piece = defaultdict(float)
-
-    def walk(word, pieces, product):
-        if not word:
-            for x in pieces:
-                by_piece[x] += product
-        for k in range(1, len(word) + 1):
-            if starts.get(word[:k], -1) >= 0:
-                walk(word[k:], [*pieces, starts[word[:k]]], product * p[starts[word[:k]], 0])
-
-    walk(b" the", [], 1.0)
-    assert np.allclose({i: c for i, c in enumerate(counts) if c}.get(starts[b" the"]), 3 * by_piece[starts[b" the"]] / brute(b" the")[0])
+    for word in (b"the", b"internationale"):
+        counts = langid.lattice_of([b"of", word], known).expected(langid.padded(p)[:, 0], np.array([0.0, 3.0]))
+        by_piece = defaultdict(float)
+
+        def walk(rest, pieces, product):
+            if not rest:
+                for x in pieces:
+                    by_piece[x] += product
+            for k in range(1, min(len(rest), langid.LONGEST) + 1):
+                if rest[:k] in number:
+                    walk(rest[k:], [*pieces, number[rest[:k]]], product * p[number[rest[:k]], 0])
+
+        walk(b" " + word, [], 1.0)
+        for x, c in by_piece.items():
+            assert np.isclose(counts[x], 3 * c / brute(b" " + word)[0])
+        assert np.isclose(counts.sum(), 3 * sum(by_piece.values()) / brute(b" " + word)[0])
 
 
 def test_identify(spark):
