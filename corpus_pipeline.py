@@ -15,10 +15,18 @@ from quillon.llm.common import table, written
 SURE = 0.5
 
 
+def new_name(docs: DataFrame, name: str) -> str:
+    """name, longer until docs has no such column."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without a letter, or between languages, go."""
-    found = langid.identify(docs)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(docs.columns)
+    lang, score = new_name(docs, "lang_pred"), new_name(docs, "score")
+    found = langid.identify(docs, lang_out=lang, score_out=score)
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= SURE)).select(docs.columns)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
