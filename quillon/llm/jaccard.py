@@ -14,12 +14,13 @@ Two texts link when 100 * |A & B| >= percent * |A | B| for their sets A, B of di
   as many counts as it has nodes outside its largest class. Each block yields a spanning forest of its links.
 * Connected classes come from alternating large-star and small-star rounds over written tables.
 
-Hashes have 64 bits; words are told apart by xxHash64. Null texts and texts without words have the empty set and no
+Words and n-grams are told apart by hashes of 64 bits. Null texts and texts without words have the empty set and no
 links. Documents with a null id are returned but link with nothing. Repeated rows are documents with equal sets.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_rows, ordered, written
 from .fingerprints import mixed
+from .suffixes import BASE, INVERSE, LETTERS, powers
 
 #: Words of an n-gram; least similarity in per cent.
 N, PERCENT = 4, 85
@@ -40,29 +42,43 @@ PAIRED, HOT = 32, 2000
 BLOCK = 1 << 20
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets all words when it has too many."""
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1 << 20
+WHITE = re.compile(rb"[\t-\r ]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word, by differences of prefix polynomial hashes."""
+    b = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
+    start, end = edges[::2], edges[1::2]
+    prefix = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(LETTERS[b] * powers(BASE, len(b))[: len(b)], out=prefix[1:])
+    return mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(b))[start])
 
 
-def ngram_set(text: str | None, known: WordHashes, n: int = N) -> np.ndarray:
+def pieces(data: bytes) -> Iterator[bytes]:
+    """data cut before white space, each piece about PIECE bytes long."""
+    start = 0
+    while len(data) - start > PIECE and (cut := WHITE.search(data, start + PIECE)):
+        yield data[start : cut.start()]
+        start = cut.start()
+    yield data[start:]
+
+
+def ngram_set(text: str | None, n: int = N) -> np.ndarray:
     """Distinct n-gram hashes, ascending. A-Z are lower-cased; words are parted by ASCII white space."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    data = (text or "").encode().lower()
+    h = word_hashes(data) if len(data) <= PIECE else np.concatenate([word_hashes(p) for p in pieces(data)])
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    width = min(n, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - width + 1 + i])
-    return np.unique(out)
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least(size, percent: int = PERCENT):
@@ -94,10 +110,10 @@ def count_table(docs: DataFrame, text_col: str, n: int = N, bits: int = TABLE_BI
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, salt = WordHashes(), np.zeros(1 << bits, np.uint32), 0
+        counts, salt = np.zeros(1 << bits, np.uint32), 0
         for b in batches:
             for text in b.column(0):
-                if len(h := ngram_set(text.as_py(), known, n)):
+                if len(h := ngram_set(text.as_py(), n)):
                     np.add.at(counts, bucket(h, bits), 1)
                     salt = int(h[0]) % 16
         for i, part in enumerate(counts.reshape(-1, width)):
@@ -139,10 +155,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, n
     bits = int(np.log2(len(table)))
 
     def make():
-        known, counts = WordHashes(), sent.value
+        counts = sent.value
 
         def row(key, text):
-            h = ngram_set(text, known, n)
+            h = ngram_set(text, n)
             of = counts[bucket(h, bits)]
             order = np.lexsort((h, of))[: len(h) - least(len(h), percent) + 1] if len(h) else []
             yield key, len(h), signature(h), signed(h[order]), int((of[order] < hot).sum())
@@ -207,7 +223,7 @@ def candidate_groups(nodes: DataFrame, percent: int, paired: int) -> DataFrame:
     schema = arrow_schema(ddl)
     pairs = cold.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: candidate_batches(batches, schema, percent, paired), ddl)
     hot = nodes.filter("n_cold < size(tokens)").select(F.explode(F.expr("slice(tokens, n_cold + 1, size(tokens) - n_cold)")).alias("token"), "sig", "n")
-    first = hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("a"))
+    first = written(hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("a")), "hot")
     hot = hot.join(first, "token").filter("sig != a.sig").select(F.col("a.sig").alias("a"), F.col("sig").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("need"))
     both = pairs.unionByName(hot).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     return both.filter("common >= need").select("a", "b", "n_a", "n_b")
@@ -250,10 +266,8 @@ def links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, id_col: str, tex
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, "id").select("text", "sig", "groups")
 
     def make():
-        known = WordHashes()
-
         def row(text, sig, groups):
-            h = ngram_set(text, known, n)
+            h = ngram_set(text, n)
             if signature(h) == sig:  # else another row with the same id
                 data = h.tobytes()
                 for g in groups:
@@ -331,5 +345,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     of = found.join(smallest, found.node == smallest.sig)
     roots = of.groupBy("root").agg(F.min("id").alias("component_id"))
     of = smallest.join(found.join(roots, "root"), smallest.sig == found.node, "left").select("sig", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.select("id", "n", "sig").join(of, "sig", "left")
+    # written, so that both sides of the join are dealt for it, and Spark can split a set that many documents have
+    out = rows.select("id", "n", "sig").join(written(of, "classes"), "sig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
