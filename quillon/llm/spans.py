@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, written
 
 WIDTH = 3
 END = re.compile(r"[.!?][ \t\n\r\f\v]+|\n[ \t\n\r\f\v]*")
@@ -55,6 +55,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     rows = map_rows(docs, ["row", id_col, text_col], f"a bigint, b bigint, row bigint, id {kind}, place int", make)
     first = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "row", "place"))
     first = rows.groupBy("a", "b").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").drop("n")
+    first = written(first, "repeated")  # so that both sides of the join are dealt for it, and Spark can split a hot form
     again = rows.join(first, ["a", "b"]).filter((F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place")))
     return again.groupBy("row").agg(F.collect_set("place").alias("places"))
 
