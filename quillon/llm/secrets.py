@@ -1,8 +1,10 @@
 """Secrets in texts: three patterns, and strings that a tokenizer's vocabulary can hardly shorten.
 
 Natural words, identifiers and numbers take few tokens for their length; random strings take many. A string of at
-least RUN characters is a secret when it has at most RATIO characters a token, unless it is a digest, an identifier or
-a part of a pattern's match. A null text is empty. Spans are in code points, their end exclusive.
+least RUN characters is a secret when it has at most RATIO characters a token, unless it is a digest, a UUID, a number,
+an identifier of words or a part of a pattern's match. A part of an identifier is a word when it has at most WORD
+letters, or in lower case is one token or has more than RATIO characters a token. A null text is empty. Spans are in code points,
+their end exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .common import map_rows
 KINDS = ("assign", "access", "hex", "random")
 #: A random string: least length, most characters a token.
 RUN, RATIO = 20, 2.0
+#: Letters up to which any part of an identifier counts as a word.
+WORD = 3
 
 # The three patterns and what a match must have.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,10 +31,11 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Hexadecimal digits of the usual digests.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-#: UUIDs; words and camel or snake case of parts of two letters or more; capitals; numbers.
-IDENTIFIER = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[A-Z]?[a-z]{2,}([A-Z_/=+-]?[a-z]{2,})*[_-]?[0-9]{0,4}|[A-Z]+([_/=+-][A-Z]+)*[_-]?[0-9]{0,4}|[0-9_/=+-]+|[_/=+-]+"
-)
+#: UUIDs; numbers.
+PLAIN = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/=+-]+")
+#: Camel or snake case of parts of two letters or more; capitals. Each part but the first begins with a capital or a separator, so a string has one reading only.
+IDENTIFIER = re.compile(r"[A-Z]?[a-z]{2,}([A-Z_/=+-][a-z]{2,})*[_-]?[0-9]{0,4}|[A-Z]+([_/=+-][A-Z]+)*[_-]?[0-9]{0,4}")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
@@ -56,8 +61,14 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(found)
 
+    def is_word(self, part: str) -> bool:
+        n = 1 if len(part) <= WORD else len(self.codec.encode(part.lower()))
+        return n == 1 or len(part) > self.ratio * n
+
     def is_random(self, s: str) -> bool:
-        if IDENTIFIER.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
+        if PLAIN.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
+            return False
+        if IDENTIFIER.fullmatch(s) and all(self.is_word(p) for p in PART.findall(s)):
             return False
         return len(s) <= self.ratio * len(self.codec.encode(s))
 

@@ -65,6 +65,17 @@ def test_secrets(spark):
     assert row.n_assign == 2 and row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest() and row.spans.startswith("assign:0:")
 
 
+def test_random_letters():
+    scanner = secrets.Scanner(secrets.default_ranks())
+    letters = "qzxkvjwpmnbtrdlfghscyewq"
+    for s in (letters, letters.upper(), letters.capitalize(), f"{letters}_12", "qzxkvj_wpmnbt_rdlfgh_scyewq", "QZXKV-JWPMN-BTRDL-FGHSC", "qzxkvjWpmnbtRdlfghScyewq"):
+        assert scanner.scan(f"see {s} here") == [(4, 3, 4 + len(s))], s
+    for s in ("MAX_HTTP_URL_LEN_IN_DB_V2", "internationalization_of_words", "SOME_LONG_CONSTANT_NAME_HERE", "COUNTERREVOLUTIONARIES", "getValueOfFirstItemInList", "1234567890123456789012", "_" * 30):
+        assert not scanner.scan(f"see {s} here"), s
+    for n in (60, 50_000):  # neither ended before
+        scanner.scan("a" * n + "12345")
+
+
 def test_redact(spark):
     rows = {r.doc_id: r.text for r in secrets.redact(table(spark, [(0, 'a token="123456789" b', "x", 1), (1, "clean", "x", 1), (2, None, "x", 1)])).collect()}
     assert rows == {0: 'a [SECRET]" b', 1: "clean", 2: None}
