@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, written
 
-WIDTH = 3
+WIDTH = 2
 END = re.compile(r"[.!?][ \t\n\r\f\v]+|\n[ \t\n\r\f\v]*")
 
 

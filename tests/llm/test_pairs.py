@@ -173,3 +173,20 @@ def test_spans(spark):
     found = {x.doc_id: (x.text, x.n_sentences, x.n_removed) for x in spans.remove(table(spark, docs)).collect()}
     assert found[0] == (docs[0], 5, 0) and found[1] == (b, 4, 0) and found[2] == ("More.", 4, 3) and found[3][2] == 0
     assert found[4] == ("", 0, 0) and found[6] == ("", 4, 4) and found[7] == ("Four. ", 5, 4)
+
+
+def test_spans_of_planted_passages(spark):
+    """Passages of over 50 words with two whole sentences inside, and with one of three sentences changed in the copy."""
+    r = random.Random(8)
+
+    def sentence(n):
+        return " ".join(f"v{r.randrange(10**6)}" for _ in range(n)) + ". "
+
+    two, three = [sentence(28), sentence(27)], [sentence(20), sentence(19), sentence(21)]
+    docs = [sentence(9) + "".join(two) + sentence(7), sentence(5) + "".join(three) + sentence(8)]
+    head, tail, other = sentence(6), sentence(9), sentence(21)
+    docs += [f"{head}so {''.join(two)}{tail}", f"{head}{''.join(two)}and {tail}", f"{head}{three[0]}{three[1]}{other}{tail}"]
+    found = {x.doc_id: (x.text, x.n_removed) for x in spans.remove(table(spark, docs)).collect()}
+    assert found[0] == (docs[0], 0) and found[1] == (docs[1], 0)
+    assert found[2] == (docs[2], 0)  # only one whole sentence: out of reach of spans of sentences
+    assert found[3] == (f"{head}and {tail}", 2) and found[4] == (f"{head}{other}{tail}", 2)
