@@ -7,7 +7,8 @@ probabilities come from expectation-maximisation on the labelled texts: a forwar
 expected count of each piece, and those are mixed with the counts over all languages.
 
 Fitting takes at most about `per_language` labelled texts of each language, chosen by a hash of their id: that bound
-is a parameter, and is all that limits it. A null text, one without a letter, and any text where nothing could be
+is a parameter, and is all that limits it. Words of any length count; one of over PART bytes is counted in parts of at
+most so many, cut between characters. A null text, one without a letter, and any text where nothing could be
 learned is `und` with score 0.
 """
 
@@ -32,6 +33,8 @@ from .suffixes import BASE, INVERSE, LETTERS, powers
 PER_LANGUAGE, ROUNDS, SHARED, LONGEST = 5000, 3, 0.02, 12
 #: Bytes of a word up to which many words are scored at once; bytes of text that are scored at once.
 SHORT, CHUNK = 64, 3 << 20
+#: Bytes of a word up to which it is fitted whole; places of words that are fitted at once, beside those of short words.
+PART, PLACES = 4096, 1 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -145,9 +148,34 @@ def padded(p: np.ndarray) -> np.ndarray:
     return np.concatenate([p, np.zeros((1, *p.shape[1:]))])
 
 
+def parts_of(word: bytes) -> list[bytes]:
+    """The word with the space before it; a longer one than PART cut between characters."""
+    word, out = b" " + word, []
+    while len(word) > PART:
+        at = next((i for i in range(PART, PART - 4, -1) if word[i] & 0xC0 != 0x80), PART)
+        out.append(word[:at])
+        word = word[at:]
+    return [*out, word]
+
+
+def fitted_together(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in size: all short ones, then longer ones of like size, so that no lattice gets large."""
+    yield np.flatnonzero(size <= SHORT)
+    order = np.argsort(size, kind="stable")
+    order, i = order[size[order] > SHORT][::-1], 0
+    while i < len(order):
+        n = max(1, PLACES // int(size[order[i]]))
+        yield order[i : i + n]
+        i += n
+
+
 def lattice_of(words: list[bytes], known: Vocabulary) -> Lattice:
-    data = np.frombuffer(b" " + b" ".join(words), np.uint8)
-    size = np.array([len(w) + 1 for w in words])
+    return lattice_of_parts([b" " + w for w in words], known)
+
+
+def lattice_of_parts(parts: list[bytes], known: Vocabulary) -> Lattice:
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(w) for w in parts])
     return Lattice(prefix_hashes(data), np.cumsum(size) - size, size, known)
 
 
@@ -245,8 +273,8 @@ def fit(labelled: DataFrame, ranks_path: str | None = None, id_col: str = "doc_i
         for b in batches:
             found: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                found.update((lang, w) for w in text.as_py().encode().split() if len(w) < SHORT)
-            rows = [(lang, w, n) for (lang, w), n in found.items() if LETTER.search(w.decode(errors="replace"))]
+                found.update((lang, w) for w in text.as_py().encode().split())
+            rows = [(lang, x, n) for (lang, w), n in found.items() if LETTER.search(w.decode(errors="replace")) for x in parts_of(w)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -272,8 +300,11 @@ def expected_counts(table: DataFrame, languages: list[str], p: np.ndarray, path:
                 own = np.flatnonzero(langs == lang)
                 if len(own):
                     part = b.take(pa.array(own))
-                    lattice = lattice_of(part.column(1).to_pylist(), known)
-                    sums[:, k] += lattice.expected(p[:, k], part.column(2).to_numpy().astype(float))[:-1]
+                    words, weight = part.column(1).to_pylist(), part.column(2).to_numpy().astype(float)
+                    for some in fitted_together(np.array([len(w) for w in words])):
+                        if len(some):
+                            lattice = lattice_of_parts([words[i] for i in some], known)
+                            sums[:, k] += lattice.expected(p[:, k], weight[some])[:-1]
         piece, lang = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lang, piece, sums[piece, lang]), schema.types)], schema=schema)
 

@@ -83,6 +83,32 @@ def test_prediction_does_not_see_labels(spark):
     assert math.isclose(float(a.p.sum(0)[0]), 1)
 
 
+def test_long_words_are_fitted(spark):
+    r, letters = random.Random(4), {"p": "的一是不了人我在有他这中", "q": "のにはをたがでてとしれさ"}
+    rows = [(i, "".join(r.choice(letters[k]) for _ in range(r.choice([30, 60, 90]))), k, None) for i in range(60) for k in [r.choice("pq")]]
+    rows += [(100 + i, r.choice(["one two", "one three"]), "p", None) for i in range(5)]
+    assert all(len(t.encode()) >= langid.SHORT for i, t, _, _ in rows if i < 100)
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    scorer = langid.Scorer(model)
+    x = scorer.texts(["".join(r.choice(letters[k]) for _ in range(8)) for k in "pq"])
+    assert x[0, 0] > x[0, 1] + 5 and x[1, 1] > x[1, 0] + 5
+
+
+def test_parts_of_long_words():
+    known = langid.vocabulary(langid.default_ranks())
+    size = np.array([len(x) for x in known.pieces])
+    for word in ("的一是不" * 3000, "x" * 4095, "x" * 4096, "y" * 63, "né" * 9000):
+        parts = langid.parts_of(word.encode())
+        assert b"".join(parts) == b" " + word.encode() and all(len(x) <= langid.PART and x.decode() for x in parts)
+    words = [b" " + w for w in (b"abc", "的一是不".encode() * 30, b"z" * 63, b"the" * 900)]
+    seen = list(langid.fitted_together(np.array([len(w) for w in words])))
+    assert sorted(np.concatenate(seen)) == [0, 1, 2, 3]
+    p = np.full(known.none, 1 / known.none)
+    for some in seen:  # each byte is in one piece of each segmentation
+        counts = langid.lattice_of_parts([words[i] for i in some], known).expected(langid.padded(p[:, None])[:, 0], np.ones(len(some)))[:-1]
+        assert np.isclose(counts @ size, sum(len(words[i]) for i in some))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {0}</title><style>p {{}}</style></head><body><header>Site</header><nav><ul><li><a href="/">Home {0}</a></ul></nav>
 <!-- ad --><div class="ad">Buy {0}</div><div id="cookie-notice">We use cookies</div>{1}<aside>side</aside><form><input><label>Mail</label></form>
 <section class="comments"><p>Reader {0}</p></section><footer>&copy; us</footer><script>if (a < b) "</p>";</script></body></html>"""
