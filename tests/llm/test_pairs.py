@@ -170,23 +170,62 @@ def test_suffix_order():
 def test_spans(spark):
     a, b = "One thing here. Two things there! Three of them? ", "First of all.\nThen more.  And then.\n\nLast"
     docs = ["Start. " + a + "End.", b, a.upper() + "More.", "x. y. z.", None, "", b, "Four. " + b]
-    found = {x.doc_id: (x.text, x.n_sentences, x.n_removed) for x in spans.remove(table(spark, docs)).collect()}
+    found = {x.doc_id: (x.text, x.n_sentences, x.n_removed) for x in spans.remove(table(spark, docs), least=1).collect()}
     assert found[0] == (docs[0], 5, 0) and found[1] == (b, 4, 0) and found[2] == ("More.", 4, 3) and found[3][2] == 0
     assert found[4] == ("", 0, 0) and found[6] == ("", 4, 4) and found[7] == ("Four. ", 5, 4)
+    assert all(x.n_removed == 0 for x in spans.remove(table(spark, docs)).collect())  # too few words
+
+
+def brute_spans(texts, width=spans.WIDTH, least=spans.LEAST):
+    """Word by word: (kept text, sentences, removed sentences) of each text, in the order of their ids."""
+    seen, out = set(), []
+    for text in texts:
+        found = list(re.finditer(r"[^ \t\n\r\f\v]+", text or ""))
+        own = [re.sub("[A-Z]", lambda m: m[0].lower(), m[0]) for m in found]
+        bounds = [m.start() for m in found[1:]] + [len(text or "")]
+        stop = [w[-1] in ".!?" or "\n" in text[m.end() : b] or b == len(text) for w, m, b in zip(own, found, bounds)]
+        places = [-1] + [i for i, s in enumerate(stop) if s]
+        ends = []
+        for i, w in enumerate(own):
+            chosen = hashlib.md5(w.encode()).hexdigest()[0] in "0123"
+            if stop[i] or chosen and all(abs(i - p) >= 8 for p in places):
+                ends.append(i + 1)
+        cuts, gone = [0, *ends], set()
+        for s in range(len(ends)):
+            for e in range(s + width, len(cuts)):
+                if cuts[e] - cuts[s] >= least:
+                    form = tuple(own[cuts[s] : cuts[e]])
+                    if form in seen:
+                        gone |= set(range(s, e))
+                    seen.add(form)
+                    break
+        edges = [0, *(bounds[e - 1] for e in ends)]
+        kept = "".join(text[edges[k] : edges[k + 1]] for k in range(len(ends)) if k not in gone) if ends else text or ""
+        out.append((kept, len(ends), len(gone)))
+    return out
+
+
+def test_spans_by_brute_force(spark, texts):
+    r = random.Random(12)
+    flat = [" ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(52, 140))) for _ in range(12)]  # passages without a stop
+    docs = texts + [f"{prose(r, r.randrange(40))} {r.choice(flat)} {prose(r, r.randrange(40))}" for _ in range(60)]
+    docs += ["  \n lead. in  " + flat[0], "e\u0301t\u00e9 \u00a0nbsp\u2003wide " * 30, "e\u0301t\u00e9 \u00a0nbsp\u2003wide " * 30, "x" * 300_000 + " y " * 500, " \n ", "\u0130 " * 60]
+    found = sorted(spans.remove(table(spark, docs).repartition(5)).collect())
+    assert [(x.text, x.n_sentences, x.n_removed) for x in found] == brute_spans(docs)
 
 
 def test_spans_of_planted_passages(spark):
-    """Passages of over 50 words with two whole sentences inside, and with one of three sentences changed in the copy."""
+    """Passages of over 50 words are found whether or not they have stops, and wherever they stand in a sentence."""
     r = random.Random(8)
+    word = lambda: f"v{r.randrange(10**6)}"
+    docs = []
+    for k in range(200):
+        passage = " ".join(word() + r.choice(["", "", "", "", ".", ","] if k % 2 else [""]) for _ in range(r.randrange(51, 80)))
+        docs += [" ".join(word() for _ in range(r.randrange(30))) + f" {passage} " + " ".join(word() for _ in range(r.randrange(30))) for _ in range(2)]
+    found = {x.doc_id: x.n_removed for x in spans.remove(table(spark, docs)).collect()}
+    assert sum(found[i] > 0 for i in range(1, 400, 2)) >= 190 and not any(found[i] for i in range(0, 400, 2))
+
 
-    def sentence(n):
-        return " ".join(f"v{r.randrange(10**6)}" for _ in range(n)) + ". "
-
-    two, three = [sentence(28), sentence(27)], [sentence(20), sentence(19), sentence(21)]
-    docs = [sentence(9) + "".join(two) + sentence(7), sentence(5) + "".join(three) + sentence(8)]
-    head, tail, other = sentence(6), sentence(9), sentence(21)
-    docs += [f"{head}so {''.join(two)}{tail}", f"{head}{''.join(two)}and {tail}", f"{head}{three[0]}{three[1]}{other}{tail}"]
-    found = {x.doc_id: (x.text, x.n_removed) for x in spans.remove(table(spark, docs)).collect()}
-    assert found[0] == (docs[0], 0) and found[1] == (docs[1], 0)
-    assert found[2] == (docs[2], 0)  # only one whole sentence: out of reach of spans of sentences
-    assert found[3] == (f"{head}and {tail}", 2) and found[4] == (f"{head}{other}{tail}", 2)
+def test_spans_leave_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1, "y"), (2, None, "x", 1, "y")], "Doc_ID int, TEXT string, text2 string, row int, places string")
+    assert sorted(spans.remove(docs, "Doc_ID", "TEXT").collect()) == [(1, "a b", 1, 0), (2, "", 0, 0)]
