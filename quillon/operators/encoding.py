@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cumulated, quantile
+
 #: Output units, share kept, share of connections, deviation of weights.
 UNITS, SPARSITY, CONNECTED, DEVIATION = 2000, 0.05, 0.5, 0.1
 
 
 def uniform(*keys: Column | str, seed: int = 42) -> Column:
     """A number in (0, 1) that only depends on the keys and the seed."""
-    return (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digest = F.md5(F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def normal(*keys: Column | str, seed: int = 42) -> Column:
@@ -44,8 +47,7 @@ def above(activation: DataFrame, threshold: float | None = None, sparsity: float
     """Activations above the threshold; by default the percentile over all items that leaves a share of `sparsity`."""
     if threshold is not None:
         return activation.filter(F.col("activation") > threshold)
-    cut = activation.agg(F.percentile("activation", F.lit(1 - sparsity)).alias("cut"))
-    return activation.join(F.broadcast(cut)).filter("activation > cut").drop("cut")
+    return activation.filter(F.col("activation") > F.lit(quantile(activation, "activation", 1 - sparsity)).cast("double"))
 
 
 def sparse_code(response: DataFrame, channels: DataFrame, units: int = UNITS, sparsity: float = SPARSITY, seed: int = 42) -> DataFrame:
@@ -86,8 +88,13 @@ def augmented(code: DataFrame, copies: int = 5, kinds: tuple[str, ...] = NOISES,
 
 
 def split(items: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """items (item, ...) with `train`: exactly int(n * share) of the distinct ids, in the order of a hash."""
+    """items (item, ...) with `train`: exactly int(n * share) of the distinct ids, in the order of a hash, then of the id.
+
+    Hashes are ranked in ranges, so no task sees more than its part of the ids.
+    """
     ids = items.select("item").distinct().withColumn("h", uniform("item", seed=seed))
-    n = ids.count()
-    cut = ids.orderBy("h", "item").limit(int(n * share)).select("item", F.lit(True).alias("train"))
+    ahead = cumulated(ids, "h").select("h", "below")
+    within = F.row_number().over(Window.partitionBy("h").orderBy("item"))  # over the ids of one hash
+    n = int(ids.count() * share)
+    cut = ids.join(ahead, "h").select("item", (F.col("below") + within <= n).alias("train"))
     return items.join(cut, "item", "left").withColumn("train", F.coalesce("train", F.lit(False)))

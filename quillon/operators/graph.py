@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 from ..sources.tables import written
 from .network import degrees
+from .ranges import quantile
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -205,8 +206,7 @@ def centrality(edges: DataFrame, nodes: DataFrame, method: str = "degree") -> Da
 
 def above_percentile(scores: DataFrame, percent: float = 90.0, column: str = "score") -> DataFrame:
     """Rows at or above the linearly interpolated percentile."""
-    cut = scores.agg(F.percentile(column, F.lit(percent / 100)).alias("cut"))
-    return scores.join(F.broadcast(cut)).filter(F.col(column) >= F.col("cut")).drop("cut")
+    return scores.filter(F.col(column) >= F.lit(quantile(scores, column, percent / 100)).cast("double"))
 
 
 def hubs(edges: DataFrame, nodes: DataFrame, node_class: str | None = None, method: str = "degree", percent: float = 90.0) -> DataFrame:

@@ -69,11 +69,11 @@ def threshold_ladder(pathways: DataFrame, thresholds=(1, 5, 10, 20, 50, 100, 200
 
 
 def nodes(pathways: DataFrame) -> DataFrame:
-    """(id, class, label, region): sources before middles before targets; of several rows a source's last counts, else the first."""
+    """(id, class, label, region): sources before middles before targets; of several rows a source's last counts, else the first. Targets have the region of a column target_region, if there is one."""
     def side(prio, i, c, label, region, sign):
         return pathways.select(F.col(i).alias("id"), F.col(c).alias("class") if c != SOURCE else F.lit(SOURCE).alias("class"), F.col(label).alias("label"), (F.col(region) if region else F.lit(None).cast("string")).alias("region"), F.struct(F.lit(prio), sign * F.col("row_ord")).alias("prio"))
 
-    every = side(0, "source", SOURCE, "source_label", "source_region", -1).unionByName(side(1, "middle", "middle_class", "middle_type", None, 1)).unionByName(side(2, "target", "target_class", "target_type", None, 1))
+    every = side(0, "source", SOURCE, "source_label", "source_region", -1).unionByName(side(1, "middle", "middle_class", "middle_type", None, 1)).unionByName(side(2, "target", "target_class", "target_type", "target_region" if "target_region" in pathways.columns else None, 1))
     best = every.filter("id is not null").groupBy("id").agg(F.min_by(F.struct("class", "label", "region"), "prio").alias("n"))
     return best.select("id", "n.class", "n.label", "n.region")
 

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, ratio
+from .ranges import cumulated, quantile
 
 
 def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """rows with the rank of each value of a numeric column, tied ones sharing their mean rank.
-
-    Values are counted, then cut into ranges of about equal size: a range is ranked in its own task, and starts from the
-    sum of the ranges before it. Only the ranges' bounds, as many as shuffle partitions, are known to the driver.
-    """
-    counts = rows.groupBy(column).agg(F.count("*").alias("ties"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(counts.select(F.col(column).cast("double")).approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)))
-    part = sum(((F.col(column) > b).cast("int") for b in bounds), F.lit(0)).alias("part")
-    counts = counts.select("*", part)
-    totals = counts.groupBy("part").agg(F.sum("ties").alias("total"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    ahead = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
-    below = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    inside = counts.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0)))
-    ranks = inside.join(F.broadcast(ahead), "part").select(column, (F.col("ahead") + F.col("below") + (F.col("ties") + 1) / 2.0).alias(name))
+    """rows with the rank of each value of a column, tied ones sharing their mean rank. Rows without a value are left out."""
+    ranks = cumulated(rows, column).select(column, (F.col("below") + (F.col("ties") + 1) / 2.0).alias(name))
     return rows.join(ranks, column)
 
 
@@ -46,8 +33,7 @@ def linear_fit(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def median_split(pairs: DataFrame, by: str) -> DataFrame:
     """pairs with `upper`: whether a row's value is above the median of `by`."""
-    middle = pairs.agg(F.median(by).alias("middle"))
-    return pairs.join(F.broadcast(middle)).withColumn("upper", F.col(by) > F.col("middle")).drop("middle")
+    return pairs.withColumn("upper", F.col(by) > F.lit(quantile(pairs, by, 0.5)).cast("double"))
 
 
 def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:

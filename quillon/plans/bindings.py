@@ -85,14 +85,6 @@ PATHWAYS = f"""(WITH r AS (SELECT o_custkey, l_partkey, l_suppkey, sum(l_quantit
     JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey)"""
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """(id, class, label, region): sources and targets with their nations, middles without."""
-    one = rows.select(F.col("source").alias("id"), F.lit(SOURCE).alias("class"), F.col("source_label").alias("label"), F.col("source_region").alias("region"))
-    two = rows.select(F.col("middle").alias("id"), F.col("middle_class").alias("class"), F.col("middle_type").alias("label"), F.lit(None).cast("string").alias("region"))
-    three = rows.select(F.col("target").alias("id"), F.col("target_class").alias("class"), F.col("target_type").alias("label"), F.col("target_region").alias("region"))
-    return one.unionByName(two).unionByName(three).distinct()
-
-
 NODES = f"""(SELECT DISTINCT source AS id, '{SOURCE}' AS class, source_label AS label, source_region AS region FROM pathways
     UNION SELECT DISTINCT middle, middle_class, middle_type, NULL FROM pathways UNION SELECT DISTINCT target, target_class, target_type, target_region FROM pathways)"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import edge_width, subnetwork_edge_width
+from ..sources.tables import written
 from ..operators import annotate, graph, integrate, network, response, similarity, spatial, statistics
 from . import bindings as b
 
@@ -32,9 +33,10 @@ PNE = P | {"nodes": b.NODES, "edges": b.EDGES}
 SOURCE, INHIBITORY, RELAY = network.SOURCE, network.INHIBITORY, network.RELAY
 
 
-def parts(s: Spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = b.pathways(s, d)
-    return rows, b.nodes(rows), network.edges(rows)
+def parts(s: Spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the pathways, each written once for all that a query derives from them."""
+    rows = written(b.pathways(s, d), "pathways")
+    return written(network.nodes(rows), "nodes"), written(network.edges(rows), "edges")
 
 
 # --- connection tables
@@ -63,8 +65,7 @@ def threshold_ladder(s: Spark, d: str) -> DataFrame:
 
 @query("SELECT class, count(*) AS n, count(region) AS n_regional FROM nodes GROUP BY class", **PNE)
 def node_classes(s: Spark, d: str) -> DataFrame:
-    rows = b.pathways(s, d)
-    return b.nodes(rows).groupBy("class").agg(F.count("*").alias("n"), F.count("region").alias("n_regional"))
+    return network.nodes(written(b.pathways(s, d), "pathways")).groupBy("class").agg(F.count("*").alias("n"), F.count("region").alias("n_regional"))
 
 
 _TWO_HOP = """(SELECT a.src AS source, a.dst AS middle, c.dst AS target, a.weight AS step1, c.weight AS step2, n.region AS source_region, t.region AS target_region, m.class AS middle_class
@@ -72,7 +73,7 @@ _TWO_HOP = """(SELECT a.src AS source, a.dst AS middle, c.dst AS target, a.weigh
 
 
 def _paths(s: Spark, d: str, to: str | None = None) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.two_hop(edges, nodes, region="NATION_3", to_region=to)
 
 
@@ -88,9 +89,8 @@ def paths_between(s: Spark, d: str) -> DataFrame:
 
 @query("SELECT source_region AS src, target_region AS dst, sum(step2)::BIGINT AS weight FROM pathways WHERE source_region != target_region GROUP BY ALL", **P)
 def region_graph(s: Spark, d: str) -> DataFrame:
-    rows = b.pathways(s, d)
-    targets = rows.select(F.col("target").alias("id"), F.lit(SOURCE).alias("class"), F.col("target_region").alias("region")).distinct()
-    return network.region_graph(rows, targets)
+    rows = written(b.pathways(s, d), "pathways")
+    return network.region_graph(rows, network.nodes(rows))
 
 
 _STRENGTHS = """(SELECT n.region AS src_region, t.region AS dst_region, count(*) AS n_paths, sum(c.weight)::BIGINT AS strength
@@ -99,14 +99,14 @@ _STRENGTHS = """(SELECT n.region AS src_region, t.region AS dst_region, count(*)
 
 @query("SELECT * FROM st", **PNE, st=_STRENGTHS)
 def region_strengths(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.region_strengths(edges, nodes).withColumn("n_paths", F.col("n_paths").cast("long"))
 
 
 @query("""SELECT id, class, in_degree, out_degree, in_degree + out_degree AS degree FROM (SELECT id, class, (SELECT count(*) FROM edges WHERE dst = id) AS in_degree, (SELECT count(*) FROM edges WHERE src = id) AS out_degree FROM nodes)
     ORDER BY degree DESC, id LIMIT 25""", **PNE)
 def degree_hubs(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.hubs(edges, nodes, 25)
 
 
@@ -114,7 +114,7 @@ def degree_hubs(s: Spark, d: str) -> DataFrame:
     FROM (SELECT count(*) AS n_nodes FROM nodes), (SELECT count(*) AS n_edges, avg(weight) AS mean_weight, median(weight) AS median_weight, stddev_pop(weight) AS std_weight, min(weight) AS min_weight, max(weight) AS max_weight FROM edges),
     (SELECT max(n) AS max_in FROM (SELECT count(*) AS n FROM edges GROUP BY dst)), (SELECT max(n) AS max_out FROM (SELECT count(*) AS n FROM edges GROUP BY src))""", **PNE)
 def network_stats(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.statistics(edges, nodes)
 
 
@@ -128,25 +128,26 @@ def targets_by_region(s: Spark, d: str) -> DataFrame:
     return network.targets_by_region(_paths(s, d).filter("source like 'c%'"))
 
 
-@query("""SELECT *, s12 / n12::DOUBLE AS mean12, s21 / n21::DOUBLE AS mean21, n12 / greatest(n21, 1)::DOUBLE AS count_ratio, s12 / greatest(s21, 1)::DOUBLE AS strength_ratio, (s12 - s21) / (s12 + s21)::DOUBLE AS asymmetry
-    FROM (SELECT sum(n_paths) FILTER (src_region = 'NATION_3')::BIGINT AS n12, sum(n_paths) FILTER (src_region = 'NATION_7')::BIGINT AS n21, sum(strength) FILTER (src_region = 'NATION_3')::BIGINT AS s12, sum(strength) FILTER (src_region = 'NATION_7')::BIGINT AS s21
+@query("""SELECT *, CASE WHEN n12 > 0 THEN s12 / n12::DOUBLE ELSE 0 END AS mean12, CASE WHEN n21 > 0 THEN s21 / n21::DOUBLE ELSE 0 END AS mean21, n12 / greatest(n21, 1)::DOUBLE AS count_ratio, s12 / greatest(s21, 1)::DOUBLE AS strength_ratio,
+    CASE WHEN s12 + s21 > 0 THEN (s12 - s21) / (s12 + s21)::DOUBLE ELSE 0 END AS asymmetry
+    FROM (SELECT coalesce(sum(n_paths) FILTER (src_region = 'NATION_3'), 0)::BIGINT AS n12, coalesce(sum(n_paths) FILTER (src_region = 'NATION_7'), 0)::BIGINT AS n21, coalesce(sum(strength) FILTER (src_region = 'NATION_3'), 0)::BIGINT AS s12, coalesce(sum(strength) FILTER (src_region = 'NATION_7'), 0)::BIGINT AS s21
         FROM st WHERE (src_region, dst_region) IN (('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3')))""", **PNE, st=_STRENGTHS)
 def pair_compare(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.compare(network.region_strengths(edges, nodes), "NATION_3", "NATION_7")
 
 
 @query("""SELECT middle, middle_class, bool_or(t) AS there, bool_or(NOT t) AS back FROM (SELECT a.dst AS middle, m.class AS middle_class, n.region = 'NATION_3' AS t FROM edges a JOIN edges c ON a.dst = c.src JOIN nodes n ON a.src = n.id JOIN nodes t ON c.dst = t.id JOIN nodes m ON a.dst = m.id
     WHERE (n.region, t.region) IN (('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3'))) GROUP BY ALL""", **PNE)
 def shared_middles(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.shared_middles(network.two_hop(edges, nodes, region="NATION_3", to_region="NATION_7"), network.two_hop(edges, nodes, region="NATION_7", to_region="NATION_3"))
 
 
 @query("""SELECT a, b, sum(f)::BIGINT AS forward, sum(g)::BIGINT AS backward, (sum(f) - sum(g)) / (sum(f) + sum(g))::DOUBLE AS asymmetry FROM (SELECT src_region AS a, dst_region AS b, strength AS f, 0 AS g FROM st WHERE src_region != dst_region
     UNION ALL SELECT dst_region, src_region, 0, strength FROM st WHERE src_region != dst_region) GROUP BY a, b""", **PNE, st=_STRENGTHS)
 def asymmetry(s: Spark, d: str) -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     return network.asymmetry(network.region_strengths(edges, nodes))
 
 
@@ -265,7 +266,7 @@ M = PNE | {"mp": b.MAPPING, "mx": _MATRIX, "cm": _CHANNELS}
 
 
 def _matrix(s: Spark, d: str, kind: str = "inhibitory") -> DataFrame:
-    _, nodes, edges = parts(s, d)
+    nodes, edges = parts(s, d)
     if kind != "all":
         edges = _over(edges, nodes, integrate.KINDS[kind])
     return network.region_strengths(edges, nodes).select("src_region", "dst_region", F.col("strength").alias("weight"))
