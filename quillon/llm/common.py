@@ -1,9 +1,7 @@
-"""Reading tables, Arrow batches in and out of tasks, and written intermediate tables."""
+"""Reading tables, and Arrow batches in and out of tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..sources.tables import shared_folder, written  # noqa: F401
+
 #: An output batch is closed when it holds about so many bytes, or so many rows.
 FLUSH_BYTES, FLUSH_ROWS = 4 << 20, 20_000
 
@@ -19,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts lineage, and is computed once for all readers."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """Asked for on the driver; tasks get it with their code."""
     return to_arrow_schema(_parse_datatype_string(ddl))

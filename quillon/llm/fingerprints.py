@@ -2,7 +2,10 @@
 
 A shingle is WIDTH consecutive bytes of the UTF-8 text; a shorter text that is not empty is one shingle. Sketches of
 parts merge into the sketch of the whole (but for shingles across the seam), and estimate resemblance, containment
-and the number of distinct shingles. With fewer than k shingles the estimates are exact.
+and the number of distinct shingles. With fewer than k shingles the estimates are exact. Null texts are empty; an empty
+text has the empty sketch. Ids may be null, repeated and of any orderable type; repeated rows are rows of their own.
+Other columns, whatever their names, are left out; an empty table gives an empty one. A very long text takes memory in
+proportion to its own length.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranges
 from .common import map_rows, ordered
 
 WIDTH, K = 12, 128
@@ -88,30 +92,59 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return map_rows(df, [id_col, text_col], f"`{id_col}` {kind}, fingerprint string, n_shingles double", make)
 
 
+def merged(sketches: DataFrame, by: list[str], column: str = "fingerprint", k: int = K) -> DataFrame:
+    """(by..., fingerprint, n_shingles): the union of the sketches of each group, as if its texts were the parts of one.
+
+    Each task merges what it reads, so a hot group reaches its last task as about one sketch from each task before.
+    """
+    kinds = ", ".join(f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in by)
+
+    def partial(rows):
+        known: dict[tuple, np.ndarray] = {}
+        for *key, text in rows:
+            key, own = tuple(key), from_text(text or "")
+            known[key] = merge(known[key], own, k) if key in known else own[:k]
+            if len(known) > 10_000:
+                yield from ((*g, to_text(a)) for g, a in known.items())
+                known = {}
+        yield from ((*g, to_text(a)) for g, a in known.items())
+
+    def whole(rows):
+        at, own = None, None
+        for *key, text in rows:
+            if at != key:
+                if at is not None:
+                    yield *at, to_text(own), count(own, k)
+                at, own = key, from_text(text)
+            else:
+                own = merge(own, from_text(text), k)
+        if at is not None:
+            yield *at, to_text(own), count(own, k)
+
+    parts = ordered(sketches.select(*by, column), f"{kinds}, fingerprint string", partial)
+    return ordered(parts.repartition(*by).sortWithinPartitions(*by), f"{kinds}, fingerprint string, n_shingles double", whole)
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, run, ddl: str) -> DataFrame:
-    """run(iterator of (id, text, next text)) over the rows in ascending id (nulls first, ties by text); after the last row comes the first.
+    """run(iterator of (id, text, next text)) over the rows in ascending id; after the last row comes the first.
 
-    Ids are cut into ranges of about equal size; each range is one sorted partition, which also borrows the first row
-    of the next range that has any. Only the bounds and the first rows' ids, one a range, pass through the driver.
+    Null ids come first; rows of one id follow each other by a hash of their text, then the text. The order is cut into
+    ranges of about equal size; each is one sorted partition, which also borrows the first row of the next range. Only
+    the least id and hash of each range pass through the driver, and a range is found by binary search among them.
     """
-    spark = df.sparkSession
+    keys = ("known", "id", "hash")
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.filter("id is not null").select(F.col("id").cast("double"))
-    bounds = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)})
-    part = sum((F.col("id") > b).cast("int") for b in bounds) if bounds else F.lit(0)
-    df = df.withColumn("part", F.coalesce(part, F.lit(0)))
-    firsts = sorted(df.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("first")).collect())
-    lenders = [(r.part, r.first.id, firsts[i - 1].part) for i, r in enumerate(firsts)]
-    # a range's first row is wanted by the range before it; of ties on the id, the smallest text
-    wanted = F.lit(False)
-    for own, first, _ in lenders:
-        wanted = wanted | ((F.col("part") == own) & F.col("id").eqNullSafe(F.lit(first)))
-    to = F.create_map(*[F.lit(x) for own, _, before in lenders for x in (own, before)]) if lenders else F.create_map(F.lit(0), F.lit(0))
-    lent = df.filter(wanted).groupBy("part", "id").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text")).alias("row"))
-    lent = lent.select("id", F.col("row.text").alias("text"), to[F.col("part")].alias("part"), F.lit(True).alias("lent"))
-    dealt = df.withColumn("lent", F.lit(False)).unionByName(lent).repartitionById(len(bounds) + 1, F.col("part"))
-    dealt = dealt.sortWithinPartitions("lent", "id", "text")
+    df = df.select(F.col("id").isNotNull().alias("known"), "id", F.xxhash64("text").alias("hash"), "text")
+    found = ranges.bounds(df, *keys)
+    n = max(1, len(found))
+    inner = ranges.as_array(df, found[1:], *keys)
+    dealt = df.withColumn("part", ranges.number(F.struct(*keys), inner, n - 1))
+    first = F.get(ranges.as_array(df, found, *keys), F.col("part")) == F.struct(*keys)
+    # a range's first row is wanted by the range before it; of rows with one id and hash, the smallest text
+    lent = dealt.filter(first).groupBy("part", *keys).agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text")).alias("row"))
+    lent = lent.select(*keys, F.col("row.text").alias("text"), F.pmod(F.col("part") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("lent"))
+    dealt = dealt.withColumn("lent", F.lit(False)).unionByName(lent).repartitionById(n, F.col("part"))
+    dealt = dealt.sortWithinPartitions("lent", *keys, "text")
 
     def pairs(rows):
         last = None
@@ -126,12 +159,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, run, ddl: str) -> DataF
 def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K) -> DataFrame:
     """Each row's fingerprint against that of its edited text, whose last quarter is the start of the next row's text, and against the next row's.
 
-    Null texts are empty. Rows that share an id follow each other by text. A single row is its own next row.
+    Null texts are empty. A single row is its own next row. n_shingles and held estimate the text's distinct shingles,
+    and the share of them that the edited text has.
     """
     import hashlib
 
     kind = df.schema[id_col].dataType.simpleString()
-    ddl = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ddl = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, held double"
 
     def run(rows):
         known = None
@@ -142,6 +176,6 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             cut = len(text) // 4
             new = text[: len(text) - cut] + after[:cut]
             other = sketch(new, width, k)
-            yield key, len(text), hashlib.sha256(new.encode()).hexdigest(), to_text(own), to_text(other), resemblance(own, other, k), resemblance(own, known, k)
+            yield key, len(text), hashlib.sha256(new.encode()).hexdigest(), to_text(own), to_text(other), resemblance(own, other, k), resemblance(own, known, k), count(own, k), containment(own, other, k)
 
     return with_next(df, id_col, text_col, run, ddl)

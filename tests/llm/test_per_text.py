@@ -3,7 +3,9 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, fingerprints, licenses, secrets
 from quillon.llm.license_texts import KNOWN
@@ -95,6 +97,38 @@ def test_fingerprints_against_brute_force(spark):
         assert row.near_next == fingerprints.resemblance(fingerprints.sketch(text), fingerprints.sketch(after))
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 700])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprints_of_any_ids(spark, kind, partitions):
+    """Ids of other types, null and repeated ones, in few and in many ranges."""
+    rows = [(None if i % 9 == 0 else i // 2 * 10, f"text number {i % 50} of some {i * i % 17} words") for i in range(150)] + [(None, None), (1, ""), (1, "")]
+    rows = [(str(i) if kind == "string" and i is not None else i, t) for i, t in rows]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        found = fingerprints.edited(docs).collect()
+        order = [(r.doc_id, r.text or "") for r in docs.selectExpr("*", "xxhash64(text) as h").orderBy(F.asc_nulls_first("doc_id"), "h", "text").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = []
+    for (key, text), (_, after) in zip(order, order[1:] + order[:1]):
+        cut = len(text) // 4
+        expected.append((key, len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    by = lambda x: (x[0] is not None, x[0] or "", x[1:])
+    assert sorted(map(lambda r: tuple(r)[:3], found), key=lambda x: str(by(x))) == sorted(expected, key=lambda x: str(by(x)))
+
+
+def test_merged_fingerprints(spark):
+    parts = [(k, f"part {i} of {k}, " + " ".join(f"word{j}" for j in range(i * 40, i * 40 + 60))) for k in ("a", "b", None) for i in range(30)] + [("c", None)]
+    found = fingerprints.merged(fingerprints.fingerprint(spark.createDataFrame(parts, "source string, text string").repartition(6), "source"), ["source"])
+    rows = {r.source: r for r in found.collect()}
+    for k in ("a", "b", None):
+        whole = np.unique(np.concatenate([fingerprints.hashes(t.encode()) for s, t in parts if s == k]))
+        assert rows[k].fingerprint == fingerprints.to_text(whole[: fingerprints.K]) and abs(rows[k].n_shingles / len(whole) - 1) < 0.3
+    assert rows["c"].fingerprint == "" and rows["c"].n_shingles == 0
+
+
 def shingles(text):
     data = text.encode()
     return {data[i : i + 12] for i in range(max(1, len(data) - 11))} if data else set()
