@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hill, logspace
-from .encoding import normal
+from .encoding import normal, poisson
 
 # Parameters used for too few points.
 DEFAULT_EC50, DEFAULT_N = 0.1, 1.0
@@ -44,7 +44,7 @@ def noisy(doses: DataFrame, kind: str = "gaussian", level: float = 0.1, keys: tu
     if kind == "gaussian":
         new = r + z * level
     elif kind == "poisson":
-        new = F.round(r * 100 + z * F.sqrt(F.greatest(r, F.lit(0.0)) * 100)) / 100
+        new = poisson(r * 100, *keys, seed=seed) / 100
     elif kind == "lognormal":
         new = r * F.exp(z * level)
     else:

@@ -25,6 +25,25 @@ def normal(*keys: Column | str, seed: int = 42) -> Column:
     return F.sqrt(-2 * F.log(uniform(*keys, seed=seed))) * F.cos(2 * F.pi() * uniform(*keys, seed=seed + 7919))
 
 
+#: Mean up to which Poisson counts are drawn exactly; above, the normal approximation has more than enough digits.
+POISSON = 600.0
+
+
+def poisson(mean: Column, *keys: Column | str, seed: int = 42) -> Column:
+    """A Poisson count that only depends on the mean, the keys and the seed: by inversion of the distribution, one number a count."""
+    u, low = uniform(*keys, seed=seed), F.least(mean, F.lit(POISSON))
+    upto = F.sequence(F.lit(1), F.ceil(low + 10 * F.sqrt(low) + 20).cast("int"))
+    start = F.struct(F.exp(-low).alias("p"), F.exp(-low).alias("sum"), F.lit(0).alias("k"))
+
+    def step(a, i):
+        p = a["p"] * low / i
+        more = a["sum"] < u
+        return F.struct(p.alias("p"), F.when(more, a["sum"] + p).otherwise(a["sum"]).alias("sum"), F.when(more, i).otherwise(a["k"]).alias("k"))
+
+    exact = F.aggregate(upto, start, step, lambda a: a["k"].cast("double"))
+    return F.when(mean > POISSON, F.greatest(F.round(mean + normal(*keys, seed=seed) * F.sqrt(mean)), F.lit(0.0))).when(mean > 0, exact).otherwise(0.0)
+
+
 def random_weights(channels: DataFrame, units: int = UNITS, connected: float = CONNECTED, deviation: float = DEVIATION, seed: int = 42) -> DataFrame:
     """(channel, unit, weight) of the connections there are; channels is a dimension (channel)."""
     every = channels.select("channel", F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
@@ -68,13 +87,13 @@ NOISES = ("gaussian", "dropout", "poisson")
 
 
 def noisy(code: DataFrame, kind: str | Column, level: float = 0.1, keys: tuple[str, ...] = ("item", "unit"), seed: int = 42) -> DataFrame:
-    """Active values with noise, none below 0. Poisson counts of 100 a unit are drawn by their normal approximation, rounded."""
+    """Active values with noise, none below 0. Poisson noise is a count of mean 100 a unit, by 100."""
     a = F.col("activation")
     if isinstance(kind, str) and kind not in NOISES:
         raise ValueError(f"unknown noise {kind!r}; one of {', '.join(NOISES)}")
     of = F.lit(kind) if isinstance(kind, str) else kind
     z, u = normal(*keys, seed=seed), uniform(*keys, seed=seed)
-    counts = F.round(a * 100 + z * F.sqrt(F.greatest(a, F.lit(0.0)) * 100)) / 100
+    counts = poisson(a * 100, *keys, seed=seed) / 100
     new = F.when(of == "gaussian", a + z * level).when(of == "dropout", F.when(u < level, 0.0).otherwise(a)).otherwise(counts)
     return code.withColumn("activation", F.when(a > 0, F.greatest(new, F.lit(0.0))).otherwise(a))
 

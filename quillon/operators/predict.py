@@ -66,3 +66,9 @@ def pathway_table(spark, pathways: dict | None = None) -> DataFrame:
     """(pathway, channel, item) of named pathways."""
     rows = [(k, c, i) for k, (channels, items) in (PATHWAYS if pathways is None else pathways).items() for c in channels for i in items]
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("pathway"), F.lit(c).alias("channel"), F.lit(i).alias("item")) for k, c, i in rows])))
+
+
+def compared(predicted: DataFrame, items: list) -> DataFrame:
+    """The predictions of the given items with their place: by attractive less aversive score, ties by item."""
+    own = predicted.filter(F.col("item").isin(items))
+    return own.withColumn("place", F.rank().over(Window.orderBy(F.desc(F.round(F.col("attractive") - F.col("aversive"), 8)), "item")))  # over the items asked for

@@ -151,3 +151,14 @@ def dataset_statistics(response: DataFrame, n_channels: int, active: float = ACT
         "n_items", mean.alias("mean_response"), F.sqrt(F.greatest(ratio(F.col("s2"), n) - mean * mean, F.lit(0.0))).alias("std_response"), ratio(F.col("n_cells") * 1.0, n).alias("coverage"),
         ratio(F.col("n_active") * 1.0, n).alias("active_share"), edge("hi", F.greatest).alias("max_response"), edge("lo", F.least).alias("min_response"),
     )
+
+
+def compare_pathways(strengths: DataFrame) -> DataFrame:
+    """(pathway, strength, place): named pathways (a dimension) from the strongest on, ties by name."""
+    own = strengths.select("pathway", F.round("strength", 8).alias("strength"))
+    return own.withColumn("place", F.rank().over(Window.orderBy(F.desc("strength"), "pathway")))
+
+
+def first_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows by their order."""
+    return rows.orderBy(order).limit(n)

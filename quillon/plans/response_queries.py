@@ -101,10 +101,10 @@ def alias_resolution(s: Spark, d: str) -> DataFrame:
     return names.alias_table(b.aliases(s, d), "key", "name", "synonyms", "row_ord")
 
 
-@query("""SELECT s_name AS name, list_distinct([v FOR v IN [x, replace(x, ' ', '-'), replace(x, ' ', ''), replace(x, '-', ' '), replace(x, '-', '')]]).len() AS n_forms FROM (SELECT s_name, lower(trim(replace(s_name, '#', ' -'))) AS x FROM supplier)""")
+@query("""SELECT s_name AS name, array_to_string(list_sort(list_distinct([x, replace(x, ' ', '-'), replace(x, ' ', ''), replace(x, '-', ' '), replace(x, '-', ''), replace(replace(x, ' ', ''), '-', '')])), '|') AS forms FROM (SELECT s_name, lower(trim(replace(s_name, '#', ' -'))) AS x FROM supplier)""")
 def name_variants(s: Spark, d: str) -> DataFrame:
     forms = names.variants(F.replace("s_name", F.lit("#"), F.lit(" -")))
-    return b.table(s, d, "supplier").select(F.col("s_name").alias("name"), F.size(F.slice(forms, 1, 5)).cast("long").alias("n_forms"))
+    return b.table(s, d, "supplier").select(F.col("s_name").alias("name"), F.array_join(F.sort_array(forms), "|").alias("forms"))
 
 
 @query("SELECT w.ord, item, channel, response FROM r JOIN (VALUES (7, 1), (3, 2), (11, 3)) w(item, ord) USING (item) WHERE channel IN (2, 5)", r=b.DENSE)
@@ -245,19 +245,38 @@ def sparsity_stats(s: Spark, d: str) -> DataFrame:
     return encoding.sparsity_statistics(code, 64).withColumns({c: F.round(c, 8) for c in ("mean_value", "std_value")})
 
 
-@query()
+def uniform_sql(keys: str, seed: int = 42) -> str:
+    """encoding.uniform in SQL."""
+    return f"((('0x' || substr(md5(concat_ws('|', {keys}, {seed})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def normal_sql(keys: str, seed: int = 42) -> str:
+    return f"(sqrt(-2 * ln({uniform_sql(keys, seed)})) * cos(2 * pi() * {uniform_sql(keys, seed + 7919)}))"
+
+
+_RANDOM = f"(SELECT channel, unit, {normal_sql('channel, unit', 43)} * 0.1 AS weight FROM (SELECT DISTINCT channel FROM r) CROSS JOIN (SELECT unnest(range(0, 400))::INT AS unit) WHERE {uniform_sql('channel, unit')} < 0.5)"
+
+
+@query("SELECT item, unit, round(activation, 8) AS activation FROM (SELECT item, unit, sum(response * weight) AS activation FROM r JOIN w USING (channel) WHERE response != 0 GROUP BY item, unit) QUALIFY row_number() OVER (PARTITION BY item ORDER BY activation DESC, unit) <= 20", r=b.DENSE, w=_RANDOM)
 def sparse_code(s: Spark, d: str) -> DataFrame:
     r = b.dense(s, d)
-    return encoding.sparse_code(r, r.select("channel").distinct(), 400)
+    return encoding.sparse_code(r, r.select("channel").distinct(), 400).withColumn("activation", F.round("activation", 8)).select("item", "unit", "activation")
 
 
-@query()
+_TOP5 = "(SELECT item, channel AS unit, response AS activation FROM r QUALIFY row_number() OVER (PARTITION BY item ORDER BY response DESC, channel) <= 5)"
+_COUNTS = f"""(SELECT item, unit, count(*) FILTER (below) AS k FROM (SELECT item, unit, u, sum(exp(i * ln(activation * 100) - activation * 100 - lgamma(i + 1))) OVER (PARTITION BY item, unit ORDER BY i) < u AS below
+    FROM (SELECT *, {uniform_sql('item, unit, 3')} AS u, unnest(range(0, (ceil(activation * 100 + 10 * sqrt(activation * 100) + 20))::INT + 1)) AS i FROM c WHERE activation > 0)) GROUP BY item, unit)"""
+
+
+@query(f"""SELECT item, unit, 0 AS copy, round(activation, 8) AS activation FROM c UNION ALL SELECT item, unit, 1, round(CASE WHEN activation > 0 THEN greatest(activation + {normal_sql('item, unit, 1')} * 0.1, 0) ELSE activation END, 8) FROM c
+    UNION ALL SELECT item, unit, 2, round(CASE WHEN activation > 0 AND {uniform_sql('item, unit, 2')} < 0.1 THEN 0 ELSE activation END, 8) FROM c
+    UNION ALL SELECT item, unit, 3, round(CASE WHEN activation > 0 THEN k::DOUBLE / 100 ELSE activation END, 8) FROM c LEFT JOIN p USING (item, unit)""", r=b.DENSE, c=_TOP5, p=_COUNTS)
 def augment(s: Spark, d: str) -> DataFrame:
     code = encoding.winners(b.dense(s, d).select("item", F.col("channel").alias("unit"), F.col("response").alias("activation")), 5)
-    return encoding.augmented(code, 3)
+    return encoding.augmented(code, 3).select("item", "unit", "copy", F.round("activation", 8).alias("activation"))
 
 
-@query()
+@query(f"SELECT item, label, row_number() OVER (ORDER BY h, item) <= floor(count(*) OVER () * 0.8::DOUBLE) AS train FROM (SELECT DISTINCT item, label, {uniform_sql('item')} AS h FROM r)", r=b.DENSE)
 def split(s: Spark, d: str) -> DataFrame:
     return encoding.split(b.dense(s, d).select("item", "label").distinct())
 

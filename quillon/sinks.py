@@ -1,7 +1,6 @@
 """Writers: caches, CSV and JSON tables, graph files, arrays for training, text reports.
 
-Tables are written by Spark. Graph files, arrays and reports are single local files of small results; they take their
-rows one partition at a time.
+Tables and graph files are written by Spark. Arrays and reports are single local files of small results.
 """
 
 from __future__ import annotations
@@ -40,12 +39,13 @@ def table_digest(df: DataFrame) -> str:
     return sums.select(F.substring(F.sha2(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in sums.columns]), 256), 1, 16)).first()[0]
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """One CSV or Parquet file, by the path's ending; quoted where needed. Other endings are an error."""
+def write_table(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV or Parquet, by the path's ending; quoted where needed. one_file is for small results. Other endings are an error."""
+    out = (df.coalesce(1) if one_file else df).write.mode("overwrite")
     if path.endswith(".csv"):
-        df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+        out.csv(path, header=True, escape='"')
     elif path.endswith(".parquet"):
-        df.coalesce(1).write.mode("overwrite").parquet(path)
+        out.parquet(path)
     else:
         raise ValueError(f"{path} ends neither in .csv nor in .parquet")
 
@@ -62,38 +62,53 @@ def write_cells(cells: DataFrame, path: str, format: str = "json") -> None:
         raise ValueError(f"unknown format {format!r}; json or csv")
 
 
+def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """(ord, part, value): the lines of a GraphML or GEXF file of nodes (id, ...) and edges (src, dst, ...), with all attributes."""
+    node_columns, edge_columns = [c for c in nodes.columns if c != "id"], [c for c in edges.columns if c not in ("src", "dst")]
+    escaped = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else escaped(p) for p in parts])
+    of = lambda names, form: F.concat(F.lit(""), *[F.coalesce(form(i, c), F.lit("")) for i, c in enumerate(names)])
+    key = lambda kind, i, c: f'<key id="{kind}{i}" for="{kind}" attr.name={quoteattr(c)} attr.type="string"/>'
+    if kind == "graphml":
+        datum = lambda k: lambda i, c: text(f'<data key="{k}{i}">', F.col(c), "</data>")
+        node = F.concat(text('<node id="', F.col("id"), '">'), of(node_columns, datum("node")), F.lit("</node>"))
+        edge = F.concat(text('<edge source="', F.col("src"), '" target="', F.col("dst"), '">'), of(edge_columns, datum("edge")), F.lit("</edge>"))
+        head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *[key("node", i, c) for i, c in enumerate(node_columns)], *[key("edge", i, c) for i, c in enumerate(edge_columns)], '<graph edgedefault="directed">']
+        middle, foot = [], ["</graph>", "</graphml>"]
+    elif kind == "gexf":
+        value = lambda i, c: text(f'<attvalue for="{i}" value="', F.col(c), '"/>')
+        node = F.concat(text('<node id="', F.col("id"), '" label="', F.coalesce(F.col("label"), F.col("id")) if "label" in node_columns else F.col("id"), '"><attvalues>'), of(node_columns, value), F.lit("</attvalues></node>"))
+        weight = F.coalesce(text(' weight="', F.col("weight"), '"'), F.lit("")) if "weight" in edge_columns else F.lit("")
+        edge = F.concat(text('<edge id="', F.col("src"), "|", F.col("dst"), '" source="', F.col("src"), '" target="', F.col("dst"), '"'), weight, F.lit("><attvalues>"), of(edge_columns, value), F.lit("</attvalues></edge>"))
+        named = lambda kind, names: [f'<attributes class="{kind}">', *[f'<attribute id="{i}" title={quoteattr(c)} type="string"/>' for i, c in enumerate(names)], "</attributes>"]
+        head = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3">', '<graph defaultedgetype="directed">', *named("node", node_columns), *named("edge", edge_columns), "<nodes>"]
+        middle, foot = ["</nodes>", "<edges>"], ["</edges>", "</graph>", "</gexf>"]
+    else:
+        raise ValueError(f"unknown kind {kind!r}; graphml or gexf")
+    fixed = [(i, f"{k:09}", x) for i, lines in ((0, head), (2, middle), (4, foot)) for k, x in enumerate(lines)]
+    own = nodes.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("part"), F.lit(x).alias("value")) for i, k, x in fixed])))
+    rows = nodes.select(F.lit(1).alias("ord"), F.col("id").cast("string").alias("part"), node.alias("value"))
+    links = edges.select(F.lit(3).alias("ord"), F.concat_ws("|", "src", "dst").alias("part"), edge.alias("value"))
+    return own.unionByName(rows).unionByName(links)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML or GEXF file, by the path's ending, of nodes (id, ...) and edges (src, dst, ...)."""
-    kind = Path(path).suffix
-    if kind not in (".graphml", ".gexf"):
+    """A GraphML or GEXF file, by the path's ending: a folder of text parts, which in their order are the file."""
+    kind = path.rpartition(".")[2]
+    if kind not in ("graphml", "gexf"):
         raise ValueError(f"{path} ends neither in .graphml nor in .gexf")
-    node_columns, edge_columns = [c for c in nodes.columns if c != "id"], [c for c in edges.columns if c not in ("src", "dst")]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        if kind == ".graphml":
-            out.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-            for of, names in (("node", node_columns), ("edge", edge_columns)):
-                out.writelines(f'<key id="{of}_{c}" for="{of}" attr.name={quoteattr(c)} attr.type="string"/>\n' for c in names)
-            out.write('<graph edgedefault="directed">\n')
-            value = lambda of, row, c: f'<data key="{of}_{c}">{_text(row[c])}</data>' if row[c] is not None else ""
-            for r in nodes.toLocalIterator():
-                out.write(f"<node id={quoteattr(str(r.id))}>{''.join(value('node', r, c) for c in node_columns)}</node>\n")
-            for r in edges.toLocalIterator():
-                out.write(f"<edge source={quoteattr(str(r.src))} target={quoteattr(str(r.dst))}>{''.join(value('edge', r, c) for c in edge_columns)}</edge>\n")
-            out.write("</graph>\n</graphml>\n")
-        else:
-            out.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3">\n<graph defaultedgetype="directed">\n<nodes>\n')
-            for r in nodes.toLocalIterator():
-                out.write(f"<node id={quoteattr(str(r.id))} label={quoteattr(str(r['label'] if 'label' in node_columns else r.id))}/>\n")
-            out.write("</nodes>\n<edges>\n")
-            for i, r in enumerate(edges.toLocalIterator()):
-                weight = f" weight={quoteattr(str(r.weight))}" if "weight" in edge_columns else ""
-                out.write(f"<edge id={quoteattr(str(i))} source={quoteattr(str(r.src))} target={quoteattr(str(r.dst))}{weight}/>\n")
-            out.write("</edges>\n</graph>\n</gexf>\n")
-
-
-def _text(value) -> str:
-    return str(value).replace("&", "&amp;").replace("<", "&lt;")
+    graph_lines(nodes, edges, kind).orderBy("ord", "part").select("value").write.mode("overwrite").text(path)
+
+
+def write_points(points: DataFrame, path: str, format: str = "csv") -> None:
+    """Points as CSV, or one JSON record for each map with its points in the order of their places."""
+    if format == "csv":
+        points.write.mode("overwrite").csv(path, header=True)
+    elif format == "json":
+        own = F.sort_array(F.collect_list(F.struct("x", "y", "z", "intensity")))
+        points.groupBy("map_id").agg(F.count("*").alias("n"), own.alias("points")).write.mode("overwrite").json(path)
+    else:
+        raise ValueError(f"unknown format {format!r}; csv or json")
 
 
 def write_training(vectors: DataFrame, path: str, format: str = "parquet") -> None:

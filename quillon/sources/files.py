@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numeric import number
 from ..operators.network import by_strength, by_types
+from .tables import written
 from ..schemas import ALIAS_FILE, PATHWAY_FILE, PATHWAY_NAMES, REGION_MATRIX_FILE
 
 FORMATS = ("parquet", "csv", "npy")
@@ -84,14 +85,25 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     return own.withColumn("synonyms", F.filter(F.transform(F.split("synonyms", ";"), lambda x: F.trim(x)), lambda x: x != "")) if "synonyms" in own.columns else own
 
 
-def load_rdata(spark: SparkSession, path: str) -> DataFrame:
-    """One object of an R data file, through the optional reader on the driver."""
+#: Names of the objects: the response matrix, raw responses, items, and the map under any of its names.
+RDATA = {"response": ("response.matrix",), "raw": ("response.matrix_non.normalized",), "items": ("odor",), "map": ("AL.map", "ALmap", "al.map")}
+
+
+def load_rdata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The objects of an R data file by name, each a DataFrame with its row names, through the optional reader on the driver. The response matrix has to be there; the others may be absent."""
     try:
         import pyreadr
     except ImportError as e:
         raise ImportError("reading R data needs the pyreadr package; convert the file to Parquet or CSV instead") from e
-    frame = next(iter(pyreadr.read_r(path).values()))
-    return spark.createDataFrame(frame.reset_index())
+    return rdata_tables(spark, pyreadr.read_r(path), path)
+
+
+def rdata_tables(spark: SparkSession, objects: dict, path: str = "the file") -> dict[str, DataFrame]:
+    """The known ones of an R data file's pandas frames."""
+    found = {kind: next((objects[n] for n in names if n in objects), None) for kind, names in RDATA.items()}
+    if found["response"] is None:
+        raise ValueError(f"{path} has no response matrix")
+    return {kind: spark.createDataFrame(frame.rename_axis("rownames").reset_index()) for kind, frame in found.items() if frame is not None}
 
 
 def typed_csv(spark: SparkSession, path: str, schema: StructType, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -122,8 +134,8 @@ def load_pathway_files(spark: SparkSession, paths: dict[str, str], config=None)
     """The connections of several files, each tagged with its pathway_type. A file that fails is left out with a warning; if all do, that is an error."""
     found = []
     for kind, path in paths.items():
-        try:
-            found.append(load_pathways(spark, path, config).withColumn("pathway_type", F.lit(kind)))
+        try:  # written, since a bad value is met only when its line is read
+            found.append(written(load_pathways(spark, path, config).withColumn("pathway_type", F.lit(kind)), "pathways"))
         except Exception as e:  # any reader's error
             warnings.warn(f"{path} is left out: {e}", stacklevel=2)
     if not found:
