@@ -17,8 +17,8 @@ one. A very long text is one row of a task.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ WIDTH, LEAST = 2, 24
 NEAR, CHOSEN = 8, "0123"
 #: Words whose kind is remembered.
 KNOWN = 1 << 20
-WORD = re.compile(rb"[^ \t\n\r\f\v]+")
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP, CHOICE = 2, 1
 
 
@@ -48,16 +48,16 @@ class Kinds(dict):
         return kind
 
 
-def lines(text: str | None) -> list[list[bytes]]:
-    """The words of each line."""
-    return [line.split() for line in (text or "").encode().lower().split(b"\n")]
+def words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """The words, and the places of those that end a line."""
+    rows = [line.split() for line in (text or "").encode().lower().split(b"\n")]
+    return list(chain.from_iterable(rows)), np.cumsum([len(row) for row in rows if row], dtype=np.int64) - 1
 
 
-def ends(rows: list[list[bytes]], kinds: Kinds) -> np.ndarray:
+def ends(own: list[bytes], line_ends: np.ndarray, kinds: Kinds) -> np.ndarray:
     """Where sentences end, as a number of words, ascending, from 0 on."""
-    kind = np.fromiter((k for row in rows for k in map(kinds.__getitem__, row)), np.int8)
-    last = np.cumsum([len(row) for row in rows if row], dtype=np.int64) - 1
-    kind[last] = STOP
+    kind = np.fromiter(map(kinds.__getitem__, own), np.int8, len(own))
+    kind[line_ends] = STOP
     stops = np.concatenate([[-1], np.flatnonzero(kind == STOP)])
     chosen = np.flatnonzero(kind == CHOICE)
     after = np.searchsorted(stops, chosen)
@@ -65,12 +65,11 @@ def ends(rows: list[list[bytes]], kinds: Kinds) -> np.ndarray:
     return np.sort(np.concatenate([stops, chosen])) + 1
 
 
-def spans(rows: list[list[bytes]], end: np.ndarray, width: int = WIDTH, least: int = LEAST) -> np.ndarray:
+def spans(own: list[bytes], end: np.ndarray, width: int = WIDTH, least: int = LEAST) -> np.ndarray:
     """(span, 2): two 64-bit hashes of each span's words. Span i begins with sentence i."""
     from xxhash import xxh3_128_digest
 
     until = last_sentences(end, width, least)
-    own = [w for row in rows for w in row]
     start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)])
     data = memoryview(b" ".join(own))
     found = [xxh3_128_digest(data[a:b]) for a, b in zip(start[end[: len(until)]].tolist(), (start[end[until]] - 1).tolist())]
@@ -105,8 +104,8 @@ def span_rows(docs: DataFrame, id_col: str, text_col: str, width: int, least: in
             own, size = [], 0
             for i, (row, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
                 text = text.as_py()
-                words = lines(text)
-                found = spans(words, ends(words, kinds), width, least)
+                own_words, line_ends = words(text)
+                found = spans(own_words, ends(own_words, line_ends, kinds), width, least)
                 if len(found):
                     own.append((i, row, found))
                 size += len(text or "")
@@ -142,7 +141,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         kinds = Kinds()
 
         def row(key, text, places):
-            end = ends(lines(text), kinds)
+            end = ends(*words(text), kinds)
             n = len(end) - 1
             if not places:
                 yield key, text or "", n, 0
@@ -151,8 +150,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             for p in places:
                 gone[p : until[p]] = True
             data = text.encode()
-            starts = [m.start() for m in WORD.finditer(data)]
-            edges = [0, *(starts[e] for e in end[1:-1].tolist()), len(data)]
+            white = _WHITE[np.frombuffer(data, np.uint8)]
+            starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1  # of words after white space, so of all but one at the start
+            starts = starts if white[0] else np.concatenate([[0], starts])
+            edges = [0, *starts[end[1:-1]].tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b, g in zip(edges, edges[1:], gone) if not g)
             yield key, kept.decode(), n, int(gone.sum())
 
