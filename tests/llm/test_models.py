@@ -140,3 +140,91 @@ def test_equal_vectors_make_classes(spark):
     once = [c for c in found if c.n_pages == c.total == c.all_pages]
     assert len(once) == 1 and {"/html/body<article", "/html/body</article"} <= {t.token for t in once[0].tokens}
     assert any(c.total == 2 * c.n_pages and {t.token for t in c.tokens} >= {"/html/body/article<p"} for c in found)
+
+
+def plain_hosts():
+    """Hosts whose pages name nothing: menus, side columns, notices and articles are all plain div elements."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, truth = [], {}
+    for h in range(4):
+        menu, notice, foot = [words(2) for _ in range(5)], words(12), words(6)
+        for i in range(r.randrange(3, 9)):
+            title, body = words(5), [words(r.randrange(20, 60)) for _ in range(r.randrange(1, 6))]
+            side = "".join(f"<div>{words(3)}</div>" for _ in range(2))
+            html = f"<html><body><div><div>{'</div><div>'.join(menu)}</div></div><table><tr><td>{side}</td></tr></table><section><h1>{title}</h1><div>{notice}</div>{''.join(f'<p>{p}</p>' for p in body)}</section><div>{foot}</div></body></html>"
+            rows.append((len(rows), f"http://h{h}.example/{i}", html))
+            truth[len(rows) - 1] = " ".join([title, *body])
+    return rows, truth
+
+
+def test_slots_of_plain_hosts(spark):
+    """The template alone decides; without it all text would stay."""
+    rows, truth = plain_hosts()
+    table = spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows * 2], "page_id long, URL string, html string, host string, token int")
+    found = pages.extract(table.withColumnRenamed("URL", "url").repartition(5)).collect()
+    assert len(found) == 2 * len(rows) and all(x.text == truth[x.page_id] for x in found)
+    for i, _, html in rows:
+        assert pages.main_text(html, pages.Template([], {})) != truth[i]
+
+
+def brute_template(rows):
+    """Page by page with the standard parser: the texts that half of a host's pages have, and the innermost path with most of the other text."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.path, self.found = [], []
+            self.feed(html)
+
+        def handle_starttag(self, tag, attrs):
+            self.path.append(tag)
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            self.found.append(("/".join(["", *self.path]), data))
+
+    by_host = {}
+    for i, url, html in rows:
+        by_host.setdefault(url.split("/")[2], []).append((i, Reader(html).found))
+    out = {}
+    for own in by_host.values():
+        counts = Counter(x for _, found in own for x in set(found))
+        common = {x for x, n in counts.items() if n >= max(2, len(own) / 2)}
+        volume = Counter()
+        for _, found in own:
+            for path, text in found:
+                if (path, text) not in common:
+                    parts = path.split("/")
+                    for k in range(1, len(parts)):
+                        volume["/".join(parts[:k])] += len(text)
+        best = max((p for p, n in volume.items() if n >= 0.8 * volume[""]), key=lambda p: p.count("/"))
+        for i, found in own:
+            out[i] = " ".join(t for p, t in found if (p + "/").startswith(best + "/") and (p, t) not in common)
+    return out
+
+
+def test_slots_by_brute_force(spark):
+    rows, truth = plain_hosts()
+    found = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == brute_template(rows) == truth
+
+
+def test_deep_nesting_takes_linear_memory():
+    import time
+    import tracemalloc
+
+    used = []
+    for n in (2_000, 20_000):
+        html = "<div>" * n + "deep" + "</div>" * n
+        tracemalloc.start()
+        began = time.time()
+        assert pages.main_text(html, pages.Template([], {})) == "deep" and len(pages.occurrences(html)) >= 100
+        used.append((tracemalloc.get_traced_memory()[1], time.time() - began))
+        tracemalloc.stop()
+    assert used[1][0] < 30 * used[0][0]
