@@ -150,29 +150,37 @@ def index(docs: DataFrame, id_col: str, text_col: str, items: Items) -> DataFram
     return written(map_rows(docs, docs.columns, f"row bigint, id {kind}, n_words bigint, windows array<int>, terms array<int>, places array<int>", make), "postings")
 
 
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The values of each row of a column of lists."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def hits_of_block(docs: DataFrame, benchmark: list, id_col: str, text_col: str, span: int, slop: int) -> DataFrame:
-    """(row, id, n_words, places, items) of every document."""
+    """(row, id, n_words, places, items) of every document. Only those with a window's words go through Python."""
     items = Items([r.text for r in benchmark], span)
     items.choose(document_counts(docs, text_col, items))
     indexed = index(docs, id_col, text_col, items)
     sent = docs.sparkSession.sparkContext.broadcast((items, [r.item_id for r in benchmark]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    ddl = f"row bigint, id {kind}, n_words bigint, places array<int>, items array<string>"
+    schema = arrow_schema(ddl)
 
-    def make():
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, ids = sent.value
-
-        def row(row, key, n_words, windows, terms, places):
-            found, hit = set(), []
-            terms, places = np.array(terms, np.int64), np.array(places, np.int64)
-            for w in windows:
-                if len(own := items.matches(w, terms, places, slop)):
-                    found.add(ids[items.item[w]])
-                    hit.append(own.ravel())
-            yield row, key, n_words, np.unique(np.concatenate(hit)) if hit else [], sorted(str(i) for i in found if i is not None)
-
-        return row
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(indexed, indexed.columns, f"row bigint, id {kind}, n_words bigint, places array<int>, items array<string>", make)
+        names = [None if i is None else str(i) for i in ids]
+        for b in batches:
+            places, found = [], []
+            for windows, terms, own in zip(*(lists(b.column(i)) for i in (3, 4, 5))):
+                hits = [(w, x) for w in windows if len(x := items.matches(w, terms, own, slop))]
+                places.append(np.unique(np.concatenate([x.ravel() for _, x in hits])).astype(np.int32) if hits else [])
+                found.append(sorted({names[items.item[w]] for w, _ in hits} - {None}))
+            columns = [*b.columns[:3], pa.array(places, schema.types[3]), pa.array(found, schema.types[4])]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    held = F.size("windows") > 0
+    others = indexed.filter(~held).select("row", "id", "n_words", F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("items"))
+    return indexed.filter(held).mapInArrow(match, ddl).unionByName(others)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, slop: int = 0, block: int = BLOCK) -> DataFrame:
