@@ -9,7 +9,8 @@ expected count of each piece, and those are mixed with the counts over all langu
 Fitting takes at most about `per_language` labelled texts of each language, chosen by a hash of their id: that bound
 is a parameter, and is all that limits it. Words of any length count; one of over PART bytes is counted in parts of at
 most so many, cut between characters. A null text, one without a letter, and any text where nothing could be
-learned is `und` with score 0.
+learned is `und` with score 0. Repeated rows are predicted alike, each for itself, and languages that tie go to the
+first by name; an empty table gives an empty one. Columns named like the two new ones, in either case, are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, written
 from .suffixes import BASE, INVERSE, LETTERS, powers
 
-#: Labelled texts of a language to fit on; rounds of fitting; share of the counts over all languages; longest piece.
-PER_LANGUAGE, ROUNDS, SHARED, LONGEST = 5000, 3, 0.02, 12
+#: Labelled texts of a language to fit on; rounds of fitting; share of the counts over all languages; bytes after which probabilities are scaled.
+PER_LANGUAGE, ROUNDS, SHARED, SCALED = 5000, 3, 0.02, 12
 #: Bytes of a word up to which many words are scored at once; bytes of text that are scored at once.
 SHORT, CHUNK = 64, 3 << 20
 #: Bytes of a word up to which it is fitted whole; places of words that are fitted at once, beside those of short words.
 PART, PLACES = 4096, 1 << 20
+#: Places of one long word whose pieces are looked up at once.
+AHEAD = 1 << 16
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -46,14 +49,16 @@ def default_ranks() -> str:
 
 
 class Vocabulary:
-    """The pieces that don't go over a word's start, found by polynomial hash."""
+    """All pieces, and every single byte, found by polynomial hash."""
 
     def __init__(self, path: str, bits: int = 18):
         with open(path, "rb") as lines:
             pieces = {base64.b64decode(x.split()[0]) for x in lines}
-        self.pieces = sorted({p for p in pieces if len(p) <= LONGEST and b" " not in p[1:]} | {bytes([i]) for i in range(256)})
+        self.pieces = sorted(pieces | {bytes([i]) for i in range(256)})
+        self.lengths = sorted({len(p) for p in self.pieces})
+        self.longest = self.lengths[-1]
         self.none, self.shift = len(self.pieces), np.uint64(64 - bits)
-        h = np.array([(LETTERS[np.frombuffer(p, np.uint8)] * powers(BASE, LONGEST)[: len(p)]).sum() for p in self.pieces], np.uint64)
+        h = np.array([(LETTERS[np.frombuffer(p, np.uint8)] * powers(BASE, self.longest)[: len(p)]).sum() for p in self.pieces], np.uint64)
         self.key, self.id, self.shared = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.none, np.int32), np.zeros(1 << bits, bool)
         slot, (_, first) = self.slot(h), np.unique(self.slot(h), return_index=True)
         self.key[slot[first]], self.id[slot[first]] = h[first], first
@@ -88,6 +93,11 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def growth(shift: np.ndarray) -> np.ndarray:
+    """exp(shift), finite: a shift this large stands only where there is no piece."""
+    return np.exp(np.minimum(shift, 700.0))
+
+
 class Lattice:
     """The pieces of many words, by the place where they end and by their length. Words are ordered from the longest on."""
 
@@ -96,24 +106,22 @@ class Lattice:
         start, self.size = start[self.order], size[self.order]
         self.longest = int(size.max(initial=0))
         back = powers(INVERSE, len(prefix))
-        self.steps = []  # (end, piece's length, words that are long enough, pieces)
+        self.steps = []  # (end, words that are long enough, (piece's length, pieces)...)
         for e in range(1, self.longest + 1):
             own = start[: np.searchsorted(-self.size, -e, "right")] + e
-            for k in range(1, min(e, LONGEST) + 1):
-                self.steps.append((e, k, len(own), known.find((prefix[own] - prefix[own - k]) * back[own - k])))
+            self.steps.append((e, len(own), [(k, known.find((prefix[own] - prefix[own - k]) * back[own - k])) for k in known.lengths if k <= e]))
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of the first bytes of each word, (place, word, column of p), and the logarithm by which each place of a word is scaled, (place, word). The last row of p is for no piece."""
         a = np.zeros((self.longest + 1, len(self.size), p.shape[1]))
         scale = np.zeros((self.longest + 1, len(self.size)))
         a[0] = 1
-        for e, k, n, piece in self.steps:
-            if k == 1:
-                scale[e, :n] = scale[e - 1, :n]
-            shift = scale[e - k, :n] - scale[e, :n]
-            part = a[e - k, :n] * p[piece]
-            a[e, :n] += part * np.exp(shift)[:, None] if e > LONGEST else part
-            if k == min(e, LONGEST) and e % LONGEST == 0:
+        for e, n, pieces in self.steps:
+            scale[e, :n] = scale[e - 1, :n]
+            for k, piece in pieces:
+                part = a[e - k, :n] * p[piece]
+                a[e, :n] += part * growth(scale[e - k, :n] - scale[e, :n])[:, None] if e > SCALED else part
+            if e % SCALED == 0:
                 top = a[e, :n].max(1)
                 a[e, :n] /= top[:, None]
                 scale[e, :n] += np.log(top)
@@ -135,11 +143,12 @@ class Lattice:
         b = np.zeros_like(a)
         b[self.size, every] = 1 / a[self.size, every]
         counts = np.zeros(len(p))
-        for e, k, n, piece in reversed(self.steps):
-            # b is scaled against a, so that a * b is the share of segmentations through a place
-            part = p[piece] * b[e, :n] * np.exp(scale[e - k, :n] - scale[e, :n])
-            b[e - k, :n] += part
-            counts += np.bincount(piece, a[e - k, :n] * part * weight[:n], len(p))
+        for e, n, pieces in reversed(self.steps):
+            for k, piece in pieces:
+                # b is scaled against a, so that a * b is the share of segmentations through a place
+                part = p[piece] * b[e, :n] * growth(scale[e - k, :n] - scale[e, :n])
+                b[e - k, :n] += part
+                counts += np.bincount(piece, a[e - k, :n] * part * weight[:n], len(p))
         return counts
 
 
@@ -200,21 +209,24 @@ class Scorer:
 
     def long(self, word: bytes) -> np.ndarray:
         """One word of any length."""
-        n, zero = len(word), self.p.shape[1]
+        n, longest = len(word), self.known.longest
         prefix = prefix_hashes(np.frombuffer(word, np.uint8))
         back = powers(INVERSE, n + 1)
-        piece = np.full((n + 1, LONGEST), self.known.none)
-        for k in range(1, min(n, LONGEST) + 1):
-            piece[k:, LONGEST - k] = self.known.find((prefix[k:] - prefix[:-k]) * back[: n + 1 - k])
-        last, scale = np.zeros((LONGEST, zero)), 0.0
+        last, scale = np.zeros((longest, self.p.shape[1])), np.zeros(self.p.shape[1])
         last[-1] = 1
-        for e in range(1, n + 1):
-            now = (last * self.p[piece[e]]).sum(0)
-            last = np.concatenate([last[1:], now[None]])
-            if e % LONGEST == 0:
-                top = now.max()
-                last /= top
-                scale += np.log(top)
+        for begin in range(1, n + 1, AHEAD):
+            ends = np.arange(begin, min(begin + AHEAD, n + 1))
+            piece = np.full((len(ends), longest), self.known.none)
+            for k in self.known.lengths:
+                own = ends[max(0, k - begin) :]
+                piece[len(ends) - len(own) :, longest - k] = self.known.find((prefix[own] - prefix[own - k]) * back[own - k])
+            for e, row in zip(ends.tolist(), piece):
+                now = (last * self.p[row]).sum(0)
+                last[:-1] = last[1:]
+                last[-1] = now
+                if e % SCALED == 0:
+                    scale += np.log(now)  # of each language
+                    last /= now
         return np.log(last[-1]) + scale
 
     def words(self, data: bytes, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -335,7 +347,7 @@ def chunks(column: pa.Array) -> Iterator[list[str | None]]:
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df with the predicted language and its posterior probability (all languages alike before) as two more columns; columns of these names are replaced."""
-    keep = [c for c in df.columns if c not in (lang_out, score_out)]
+    keep = [c for c in df.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
     df = df.select(*keep)
     at, sent = keep.index(text_col), df.sparkSession.sparkContext.broadcast(model)
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{lang_out}` string, `{score_out}` double"])
