@@ -12,9 +12,12 @@ stands; strings are judged on the input, and overlaps count.
   then verified byte by byte. Suffixes whose common extension reaches a string's end form a class; strings with equal
   left parts within a class (by hash, then verified) are repeated.
 * A gram with more than `limit` places would be too much for a task. Its strings are hashed instead (128 bits) and
-  counted by Spark with partial sums, so that no group of them is brought to one place.
+  counted by Spark with partial sums, so that no group of them is brought to one place. Each task hands on one copy of
+  every string that is counted twice or more; these are compared byte by byte, and two that differ stop the job.
 
-Null texts are empty. Every row is a document; texts shorter than a string stay whole.
+Null texts are empty. Every row is a document, repeated ones too, and all of them lose what they share; there are no
+other ties. Texts shorter than a string stay whole. An empty table gives an empty one, and columns beside the two named
+ones are left out. A very long text is one row of a task.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from .fingerprints import mixed
 
 #: Bytes of a string and of a gram; places of a gram that are sorted in one task; contexts sorted at once.
 LENGTH, GRAM, LIMIT, SORTED = 200, 64, 30_000, 4096
+#: Strings that a task remembers to compare others with.
+KNOWN = 1 << 17
+DIFFER = "two different strings have the same 128-bit hash"
 
 # An odd base of the polynomials and its inverse modulo 2**64; a random number for each byte.
 BASE = 0x9E3779B97F4A7C15
@@ -218,7 +224,7 @@ def sorted_groups(found: DataFrame, length: int, gram: int, at_once: int) -> Dat
     return ordered(found.repartition("key").sortWithinPartitions("key"), "row bigint, start int, end int", run, 20_000)
 
 
-def counted_strings(found: DataFrame, length: int) -> DataFrame:
+def counted_strings(found: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The same for the other grams: their strings' hashes, counted by Spark."""
 
     def make():
@@ -234,8 +240,44 @@ def counted_strings(found: DataFrame, length: int) -> DataFrame:
         return row
 
     strings = map_rows(found, ["key", "row", "place", "first", "last", "before", "after"], "a bigint, b bigint, row bigint, start int", make)
-    again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
-    return strings.join(again, ["a", "b"]).select("row", "start", (F.col("start") + length).alias("end"))
+    again = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = written(strings.join(written(again, "repeated"), ["a", "b"]), "strings")
+    same = written(verified(rows, docs, length), "verified")
+    return rows.join(same, ["a", "b"]).select("row", "start", (F.col("start") + length).alias("end"))
+
+
+def verified(rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """(a, b) of the strings (a, b, row, start), after those of one hash were found to be equal byte by byte."""
+    starts = rows.groupBy("row").agg(F.collect_list(F.struct("a", "b", "start")).alias("starts"))
+
+    def make():
+        known: dict[tuple, bytes] = {}
+
+        def row(text, starts):
+            data = text.encode()
+            for x in starts:
+                key, own = (x["a"], x["b"]), data[x["start"] : x["start"] + length]
+                if key not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[key] = own
+                    yield *key, own
+                elif known[key] != own:
+                    raise ValueError(DIFFER)
+
+        return row
+
+    def compare(rows):
+        at, known = None, None
+        for a, b, own in rows:
+            if (a, b) != at:
+                at, known = (a, b), own
+                yield at
+            elif known != own:
+                raise ValueError(DIFFER)
+
+    copies = map_rows(docs.join(starts, "row"), ["text", "starts"], "a bigint, b bigint, own binary", make)
+    return ordered(copies.repartition("a", "b").sortWithinPartitions("a", "b"), "a bigint, b bigint", compare)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT, at_once: int = SORTED) -> DataFrame:
@@ -253,9 +295,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     found = written(map_rows(docs, ["row", "text"], "key bigint, row bigint, place int", make), "anchors")
     again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again, "grams")  # so that both sides of the join are dealt for it, and Spark can split a hot gram
     places = found.join(again, "key").select("row", F.struct("place", (F.col("n") > limit).alias("many")).alias("x")).distinct().groupBy("row").agg(F.collect_list("x").alias("places"))
     own = written(contexts(docs, places, length, gram), "contexts")
-    covered = sorted_groups(own.filter("not many"), length, gram, at_once).unionByName(counted_strings(own.filter("many"), length))
+    covered = sorted_groups(own.filter("not many"), length, gram, at_once).unionByName(counted_strings(own.filter("many"), docs, length))
     covered = covered.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
     kind = docs.schema["id"].dataType.simpleString()
 
