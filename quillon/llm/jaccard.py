@@ -6,7 +6,9 @@ Two texts link when 100 * |A & B| >= percent * |A | B| for their sets A, B of di
 * N-grams are ordered rare first, by a table of counts of hash buckets whose size is a parameter. In that order two
   linked sets share an n-gram of their prefixes, so nodes meet on prefix n-grams.
 * A prefix n-gram of few nodes yields pairs that pass the length filter and the positional filter. A pair that is left
-  must have as many common prefix n-grams as its two suffixes cannot make up for (the suffix filter).
+  must have as many common prefix n-grams as its two suffixes cannot make up for. Then the suffix filter parts both
+  sets at fixed pivots of the hash: the sizes of their parts bound from below in how many n-grams the sets differ, and
+  a pair that differs in more than linked sets can is dropped before any set is sent.
 * A prefix n-gram of more nodes yields no pairs but a group: its smallest node and each other one. Groups with the
   same smallest node are one group.
 * Nodes of a group meet with their whole sets in blocks of bounded size. There each node is counted against all
@@ -15,7 +17,8 @@ Two texts link when 100 * |A & B| >= percent * |A | B| for their sets A, B of di
 * Connected classes come from alternating large-star and small-star rounds over written tables.
 
 Words and n-grams are told apart by hashes of 64 bits. Null texts and texts without words have the empty set and no
-links. Documents with a null id are returned but link with nothing. Repeated rows are documents with equal sets.
+links. Documents with a null id are returned but link with nothing. Repeated rows are documents with equal sets. An
+empty table gives an empty one, and columns beside the two named ones, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -42,20 +45,27 @@ PAIRED, HOT = 32, 2000
 BLOCK = 1 << 20
 
 
-#: Bytes of a text whose words are hashed at once.
-PIECE = 1 << 20
+#: Bytes of a text whose words are hashed at once, and of a word that is hashed by its polynomial.
+PIECE, POLYNOMIAL = 1 << 20, 512
+#: Parts of a set in the suffix filter.
+PARTS = 16
 WHITE = re.compile(rb"[\t-\r ]")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of each word, by differences of prefix polynomial hashes."""
+    """64-bit hash of each word, by differences of prefix polynomial hashes; of longer ones, for which unlike words of equal polynomials are known, by another hash."""
+    import xxhash
+
     b = np.frombuffer(data, np.uint8)
     edges = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
     start, end = edges[::2], edges[1::2]
     prefix = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(LETTERS[b] * powers(BASE, len(b))[: len(b)], out=prefix[1:])
-    return mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(b))[start])
+    out = mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(b))[start])
+    for i in np.flatnonzero(end - start > POLYNOMIAL):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
@@ -150,7 +160,7 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, n: int, percent: int, hot: int) -> DataFrame:
-    """(id, n, sig, tokens, n_cold): tokens is the prefix, rare first, of which n_cold are in buckets below hot."""
+    """(id, n, sig, tokens, n_cold, parts): tokens is the prefix, rare first, of which n_cold are in buckets below hot; parts are the sizes of the set's parts."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     bits = int(np.log2(len(table)))
 
@@ -161,12 +171,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, n
             h = ngram_set(text, n)
             of = counts[bucket(h, bits)]
             order = np.lexsort((h, of))[: len(h) - least(len(h), percent) + 1] if len(h) else []
-            yield key, len(h), signature(h), signed(h[order]), int((of[order] < hot).sum())
+            parts = np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+            yield key, len(h), signature(h), signed(h[order]), int((of[order] < hot).sum()), parts
 
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"id {kind}, n int, sig bigint, tokens array<bigint>, n_cold int", make)
+    return map_rows(docs, [id_col, text_col], f"id {kind}, n int, sig bigint, tokens array<bigint>, n_cold int, parts array<int>", make)
 
 
 # --- candidates: pairs, and groups by their smallest node
@@ -226,7 +237,12 @@ def candidate_groups(nodes: DataFrame, percent: int, paired: int) -> DataFrame:
     first = written(hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("a")), "hot")
     hot = hot.join(first, "token").filter("sig != a.sig").select(F.col("a.sig").alias("a"), F.col("sig").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("need"))
     both = pairs.unionByName(hot).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return both.filter("common >= need").select("a", "b", "n_a", "n_b")
+    part = lambda who: nodes.select(F.col("sig").alias(who), F.col("parts").alias(f"{who}_parts"))
+    both = both.filter("common >= need").join(part("a"), "a").join(part("b"), "b")
+    differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    n = F.col("n_a") + F.col("n_b")
+    least = F.floor((n * percent + 99 + percent) / (100 + percent))
+    return both.filter((F.col("need") == 0) | (differ <= n - 2 * least)).select("a", "b", "n_a", "n_b")  # suffix filter
 
 
 # --- verification in blocks

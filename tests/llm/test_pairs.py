@@ -73,6 +73,18 @@ def test_jaccard(spark, texts, options):
     assert found == brute_classes(texts)
 
 
+def test_long_texts_and_words():
+    """Texts over a piece are hashed in pieces, and words over the polynomial's length by another hash, with equal sets."""
+    text = " ".join(f"word{i % 5000} and{i}" for i in range(150_000)) + " tail"
+    assert len(text) > 2 * jaccard.PIECE
+    whole = jaccard.word_hashes(text.encode())
+    assert (np.concatenate([jaccard.word_hashes(x) for x in jaccard.pieces(text.encode())]) == whole).all()
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    one, two = jaccard.word_hashes(f"x {thue} y {other}".encode())[[1, 3]]
+    assert one != two and jaccard.ngram_set(f"{thue} {other}").size == 1
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 150)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
