@@ -1,8 +1,11 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text's canonical form: lower case; copyright lines dropped; equivalent spellings made one; everything but letters
-and digits turned into single spaces. Entire texts, and the single lines of a text, are licences when the digest of
-their canonical form is that of a known licence or notice. Null texts are empty; the empty form matches nothing.
+A text's canonical form: lower case; copyright lines, title lines and list numbers dropped; equivalent spellings made
+one; everything but letters and digits turned into single spaces. Entire texts, and the single lines of a text, are
+licences when the digest of their canonical form is that of a known licence or notice: of a text given, of a text file
+in a folder given, or of a long licence whose digest is listed. Null texts are empty; the empty form matches nothing.
+Repeated rows, and rows that tie in all columns, stay apart. Columns beside the two named ones are left out. An empty
+table gives an empty one. A very long text is one row of a task, and no Python runs.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import KNOWN
+from .license_texts import DIGESTS, KNOWN
 
 # Spellings that count as one, after the usual matching guidelines for licence texts.
 SPELLINGS = (
@@ -23,11 +26,16 @@ SPELLINGS = (
 #: A line that names a right holder or reserves rights.
 COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(copyright\b[^\n]*[0-9]{4}|copyright +by |copyright +\(c\)|\(c\)|©|all rights reserved)[^\n]*$"
 
+#: A line that only names a licence, and a number or letter that begins a line of a list.
+TITLE_LINE = r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|0bsd|zlib|bsd|new bsd|modified bsd|simplified bsd|bsd [0-4]-clause|[0-4]-clause bsd|bsd zero clause|boost software)( .new. or .revised.| .simplified.)? licen[sc]e( \((mit|isc|0bsd|zlib|bsd)\)| - version 1\.0 - august 17th, 2003)?[^a-z0-9\n]*$"
+LIST_NUMBER = r"(?m)^[^a-z0-9\n]*([0-9][0-9]?|[a-z])[.)][ \t]+"
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form with the text's line ends kept."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, F.lit(COPYRIGHT_LINE), F.lit(""))
+    for dropped in (COPYRIGHT_LINE, TITLE_LINE, LIST_NUMBER):
+        x = F.regexp_replace(x, F.lit(dropped), F.lit(""))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.regexp_replace(x, F.lit(r"[^\p{L}\p{N}\n]+"), F.lit(" "))
@@ -41,21 +49,29 @@ def digest(canonical: Column) -> Column:
     return F.sha2(canonical.cast("binary"), 256)
 
 
-def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license, length) of the known texts, as many rows as the parameter has texts. Of texts with one digest the first id counts."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in (texts or KNOWN).items()])
-    table = spark.range(1).select(F.inline(rows)).withColumn("form", joined(canonical_lines(F.col("text")))).filter("form != ''")
-    return table.groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.first(F.length("form")).alias("length"))
+def known(spark: SparkSession, texts: dict[str, str] | None = None, folder: str | None = None) -> DataFrame:
+    """(digest, license, length) of the known texts: those given and the listed digests, or else those of a folder's text files, named like their licences. Of texts with one digest the first id counts."""
+    rows = lambda of, names: spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names)]) for r in of])))
+    if folder is not None:
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1)
+        table = spark.read.text(folder, wholetext=True).select(name.alias("license"), F.col("value").alias("text"))
+    else:
+        table = rows((texts or KNOWN).items(), ("license", "text"))
+    table = table.withColumn("form", joined(canonical_lines(F.col("text")))).filter("form != ''")
+    table = table.select("license", digest(F.col("form")).alias("digest"), F.length("form").alias("length"))
+    if texts is None and folder is None:
+        table = table.unionByName(rows([(k, *v) for k, v in DIGESTS.items()], ("license", "length", "digest")))
+    return table.groupBy("digest").agg(F.min("license").alias("license"), F.first("length").alias("length"))
 
 
-def scan(df: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """(id, digest, license, n_license_lines, line_licenses) of each row: the entire text's canonical digest and its licence (null if unknown), and the licences that single lines are.
 
     Entire texts and lines meet the known digests in one hash join. Only lines as long as a known form are digested.
     The known table is as large as its parameter, so it is broadcast; what is shuffled is one short row a text and one
     a line found. Repeated rows stay apart.
     """
-    of = known(df.sparkSession, texts)
+    of = known(df.sparkSession, texts, folder)
     lengths = F.array(*[F.lit(r.length) for r in of.select("length").distinct().orderBy("length").collect()])
     own = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), canonical_lines(F.col(text_col)).alias("lines"))
     lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(lengths, F.length(x)))
@@ -78,17 +94,21 @@ def scan_sql(texts: dict[str, str] | None = None, table: str = "documents") -> s
     """scan in DuckDB's SQL."""
 
     def lines(text: str) -> str:
-        x = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g')"
+        x = f"lower(coalesce({text}, ''))"
+        for dropped in (COPYRIGHT_LINE, TITLE_LINE, LIST_NUMBER):
+            x = f"regexp_replace({x}, '{dropped}', '', 'g')"
         for a, b in SPELLINGS:
             x = f"replace({x}, '{a}', '{b}')"
         return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in (texts or KNOWN).items())
+    listed = ", ".join(f"('{v[1]}', '{k}')" for k, v in DIGESTS.items()) if texts is None else "(NULL, NULL)"
     whole = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'))"
     return f"""
         WITH known AS (
-            SELECT sha256({whole}) AS digest, min(license) AS license
-            FROM (SELECT license, {lines("text")} AS lines FROM (VALUES {values}) v(license, text)) WHERE {whole} != '' GROUP BY 1),
+            SELECT digest, min(license) AS license FROM (
+                SELECT sha256({whole}) AS digest, license FROM (SELECT license, {lines("text")} AS lines FROM (VALUES {values}) v(license, text)) WHERE {whole} != ''
+                UNION ALL SELECT digest, license FROM (VALUES {listed}) d(digest, license)) GROUP BY 1),
         own AS (SELECT row_number() OVER () AS row, doc_id, {lines("text")} AS lines FROM {table}),
         units AS (
             SELECT row, doc_id, true AS whole, sha256({whole}) AS digest FROM own

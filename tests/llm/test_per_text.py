@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -145,6 +146,22 @@ def test_sketch_estimates():
     assert (fingerprints.from_text(fingerprints.to_text(s)) == s).all()
 
 
+def test_licenses_as_files_have_them(spark, tmp_path):
+    """Title lines, bullets for numbers, long licences by their digests, and a folder of texts."""
+    bsd = KNOWN["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    texts = {1: "MIT License\n\nCopyright (c) 2021 Some One\n\n" + KNOWN["MIT"], 2: "BSD 3-Clause License\n\nCopyright (c) 1999, X\n\n" + bsd, 3: "The ISC License (ISC)\n" + KNOWN["ISC"], 4: "MIT License", 5: "The MIT License is released under the MIT license."}
+    expected = {1: "MIT", 2: "BSD-3-Clause", 3: "ISC", 4: None, 5: None}
+    for i, (file, name) in enumerate({"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "LGPL-3": "LGPL-3.0"}.items(), 6):
+        path = Path("/usr/share/common-licenses") / file
+        if path.is_file():
+            texts[i], expected[i] = "\n" + path.read_text().upper() + "\n", name
+    table_ = table(spark, [(k, v, None, 0) for k, v in texts.items()])
+    assert {r.doc_id: r.license for r in licenses.scan(table_).collect()} == expected
+    (tmp_path / "Own-1.0.txt").write_text("MIT License\n\n" + KNOWN["MIT"])
+    found = {r.doc_id: r.license for r in licenses.scan(table_, folder=str(tmp_path)).collect()}
+    assert found[1] == "Own-1.0" and found[2] is None
+
+
 def test_licenses(spark):
     texts = {1: "Copyright (c) 2020 Somebody\n\n" + KNOWN["MIT"].upper(), 2: "intro\n** released under the MIT licence! **\nrest", 3: KNOWN["ISC"] + "more", 4: "All rights reserved."}
     rows = {r.doc_id: (r.license, r.n_license_lines, r.line_licenses) for r in licenses.scan(table(spark, [(k, v, None, 0) for k, v in texts.items()])).collect()}
