@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Patterns of the receptor families in labels.
-CLASSES = {"or": r"\bOr\d+[a-z]*\b", "ir": r"\bIr\d+[a-z]*\b", "gr": r"\bGr\d+[a-z]*\b"}
+# Patterns of the receptor families and of the sensillum types in labels.
+FAMILIES = {"or": r"\bOr\d+[a-z]*\b", "ir": r"\bIr\d+[a-z]*\b", "gr": r"\bGr\d+[a-z]*\b"}
+CLASSES = FAMILIES | {"sensillum_ab": r"\bab\d+[a-zA-Z]*\b", "sensillum_ac": r"\bac\d+[a-zA-Z]*\b", "sensillum_pb": r"\bpb\d+[a-zA-Z]*\b"}
+#: Names that labels are matched against.
+NAMES = 10_000
 
 
 def _pattern(p: str, case_sensitive: bool) -> str:
     return p if case_sensitive else f"(?i){p}"
 
 
+def _is_pattern(spark: SparkSession, p: str) -> bool:
+    """Whether Spark's regular expressions, Java's, know the pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(p)
+        return True
+    except IllegalArgumentException:
+        return False
+
+
 def search(labels: DataFrame, patterns: Sequence[str], case_sensitive: bool = False) -> DataFrame:
     """labels with the pattern that they match, a row for each; a pattern that is no regular expression matches nothing. Null labels match nothing."""
-    good = []
-    for p in patterns:
-        try:
-            re.compile(p)
-            good.append(p)
-        except re.error:
-            continue
+    good = [p for p in patterns if _is_pattern(labels.sparkSession, p)]
     hits = F.array_compact(F.array(*[F.when(F.col("label").rlike(_pattern(p, case_sensitive)), F.lit(p)) for p in good])) if good else F.array().cast("array<string>")
     return labels.withColumn("pattern", F.explode(hits))
 
@@ -37,7 +43,7 @@ def classes(labels: DataFrame, wanted: Sequence[str] = ("or", "ir", "gr"), patte
     return labels.withColumn("class", F.explode(hits))
 
 
-def names_in(labels: DataFrame, patterns: Sequence[str] = tuple(CLASSES.values())) -> DataFrame:
+def names_in(labels: DataFrame, patterns: Sequence[str] = tuple(FAMILIES.values())) -> DataFrame:
     """(name, n): first name of each class in each label, counted as written."""
     first = F.array(*[F.regexp_extract("label", f"((?i){p})", 1) for p in patterns])
     return labels.select(F.explode(first).alias("name")).filter("name != ''").groupBy("name").agg(F.count("*").alias("n"))
@@ -54,11 +60,19 @@ def positioned() -> Column:
 def cells_of(labels: DataFrame, channels: DataFrame, whole_words: bool = False) -> DataFrame:
     """(channel, root_id, x, y, z): labels that name a channel, in either case; whole_words: not inside longer words.
 
-    channels is a dimension (one row a receptor) that each label is matched against, so it is the side that is sent.
+    channels is a dimension (one row a receptor) of at most NAMES names, more are an error; every label is compared with
+    all of them where it is. Names are plain text.
     """
-    name = F.concat(F.lit(r"\b\Q"), "channel", F.lit(r"\E\b")) if whole_words else F.col("channel")
-    pattern = channels.select("channel", F.concat(F.lit("(?i)"), name).alias("pattern")).distinct()
-    return labels.join(F.broadcast(pattern), F.expr("label rlike pattern")).select("channel", "root_id", "x", "y", "z")
+    names = sorted(r[0] for r in channels.filter("channel is not null").select("channel").distinct().limit(NAMES + 1).collect())
+    if len(names) > NAMES:
+        raise ValueError(f"labels are matched against at most {NAMES} names")
+    label = F.lower("label")
+    if whole_words:
+        quoted = [r"(?i)\b\Q" + n.replace(r"\E", r"\E\\E\Q") + r"\E\b" for n in names]
+        hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col("label").rlike(q), F.lit(n)) for n, q in zip(names, quoted)]))
+    else:
+        hits = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(label, F.lower(n)))
+    return labels.select(F.explode(hits).alias("channel"), "root_id", "x", "y", "z")
 
 
 def channel_cells(cells: DataFrame) -> DataFrame:
@@ -77,7 +91,7 @@ def mapping_statistics(of: DataFrame, channels: DataFrame) -> DataFrame:
 def activation_map(cells: DataFrame, response: DataFrame, item) -> DataFrame:
     """(x, y, z, channel, intensity): positioned cells of the channels where the item's response is known and not 0."""
     own = response.filter((F.col("item") == item) & (F.col("response") != 0)).select("channel", F.col("response").alias("intensity"))
-    return cells.filter(positioned()).join(F.broadcast(own), "channel").select("x", "y", "z", "channel", "intensity")
+    return cells.filter(positioned()).join(own, "channel").select("x", "y", "z", "channel", "intensity")
 
 
 def distinct_names(table: DataFrame, parts: Sequence[str] = ("glom", "receptor")) -> DataFrame:

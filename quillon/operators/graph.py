@@ -5,6 +5,7 @@ Each round's state is a written table, so a plan holds one round, and a lost exe
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -58,13 +59,13 @@ def path_lengths(dist: DataFrame, with_self: bool = True) -> DataFrame:
     return (dist if with_self else dist.filter("dist > 0")).groupBy("dist").agg(F.count("*").alias("n"))
 
 
-def shortest_paths(edges: DataFrame, start, end, n: int | None = None, deepest: int = 20) -> DataFrame:
+def shortest_paths(edges: DataFrame, start, end, n: int | None = None) -> DataFrame:
     """(path array): all shortest paths from start to end, the first n in order; none if there is no path."""
     steps = written(edges.select("src", "dst").distinct(), "steps")
     kind = steps.schema["src"].dataType.simpleString()
     frontier = steps.sparkSession.range(1).select(F.array(F.lit(start).cast(kind)).alias("path"))
     seen = frontier.select(F.lit(start).cast(kind).alias("id"))
-    for _ in range(deepest):
+    while True:
         done = frontier.filter(F.element_at("path", -1) == F.lit(end))
         if not done.isEmpty():
             done = done.orderBy("path")
@@ -182,6 +183,7 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance
         x = new.select("id", (F.col("new") / length).alias("x"))
         if change < n * tolerance:
             return x.select("id", F.col("x").alias("score"))
+    warnings.warn(f"the eigenvector did not settle in {rounds} rounds", stacklevel=2)
     return None
 
 
@@ -230,7 +232,8 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         still = new.filter("community != old").isEmpty()
         labels = new.select("id", "community")
         if still and k % 2:
-            break
+            return labels
+    warnings.warn(f"labels still move after {rounds} rounds", stacklevel=2)
     return labels
 
 
@@ -267,7 +270,8 @@ def greedy_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         still = new.filter("community != old").isEmpty()
         labels = new.select("id", "community")
         if still and r % 2:
-            break
+            return labels
+    warnings.warn(f"communities still move after {rounds} rounds", stacklevel=2)
     return labels
 
 

@@ -31,7 +31,7 @@ def by_channel(matrix: DataFrame, mapping: DataFrame, last_only: bool = False) -
         mapping = mapping.groupBy("region").agg(F.max_by("channel", "row_ord").alias("channel"))
     one = mapping.select(F.col("channel").alias("c1"), F.col("region").alias("src_region"))
     two = mapping.select(F.col("channel").alias("c2"), F.col("region").alias("dst_region"))
-    return matrix.join(F.broadcast(one), "src_region").join(F.broadcast(two), "dst_region").groupBy("c1", "c2").agg(F.max("weight").alias("weight"))
+    return matrix.join(one, "src_region").join(two, "dst_region").groupBy("c1", "c2").agg(F.max("weight").alias("weight"))
 
 
 def dense(matrix: DataFrame, names: list, a: str = "c1", b: str = "c2") -> DataFrame:
@@ -78,7 +78,7 @@ def recommended(matrix: DataFrame, response: DataFrame, least: int = 10, thresho
     active = response.filter(F.col("response") > threshold)
     one = active.select("item", F.col("channel").alias("c1"), F.col("response").alias("r1"))
     two = active.select("item", F.col("channel").alias("c2"), F.col("response").alias("r2"))
-    return one.join(F.broadcast(pairs), "c1").join(two, ["item", "c2"]).select("item", "c1", "c2", "weight", F.least("r1", "r2").alias("score"))
+    return one.join(pairs, "c1").join(two, ["item", "c2"]).select("item", "c1", "c2", "weight", F.least("r1", "r2").alias("score"))
 
 
 def recommendation_totals(rows: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def outcomes(response: DataFrame, weights: DataFrame, threshold: float = THRESHO
     Scores are sums of magnitude times weight over channels of at least the threshold.
     """
     r = F.abs("response")
-    own = response.join(F.broadcast(weights), "channel", "left").filter("response is not null")
+    own = response.join(weights, "channel", "left").filter("response is not null")
     score = lambda k: F.coalesce(F.sum(F.when(r >= threshold, r * F.col(k))), F.lit(0.0)).alias(k)
     s = own.groupBy("item").agg(score("attractive"), score("aversive"), score("feeding"))
     good, bad = F.col("attractive"), F.col("aversive")

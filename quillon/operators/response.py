@@ -88,7 +88,7 @@ def subset(response: DataFrame, wanted: DataFrame, channels: Sequence | None = N
         if missing := [c for c in channels if c not in known]:
             raise KeyError(f"unknown channels: {missing}")
         response = response.filter(F.col("channel").isin(list(channels)))
-    return response.join(F.broadcast(wanted), "item").select("ord", "item", "channel", "response")
+    return response.join(wanted, "item").select("ord", "item", "channel", "response")
 
 
 def search(items: DataFrame, name: str, pattern: str) -> DataFrame:
