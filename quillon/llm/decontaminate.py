@@ -117,7 +117,7 @@ def document_counts(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(counts[terms], pa.int64())], schema=schema)
 
     out = np.zeros(len(items.number), np.int64)
-    for r in docs.select(text_col).mapInArrow(count, ddl).groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select(text_col).mapInArrow(count, ddl).groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out
 

@@ -141,7 +141,7 @@ def count_table(docs: DataFrame, text_col: str, n: int = N, bits: int = TABLE_BI
 
     parts = docs.select(text_col).mapInArrow(count, ddl).repartition("slice", "salt").mapInArrow(add, ddl).repartition("slice").mapInArrow(add, ddl)
     table = np.zeros(((1 << bits) // width, width), np.uint16)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         table[row.slice] = np.minimum(np.frombuffer(pa.decompress(bytes(row.counts), width * 4, "zstd"), np.uint32), 65535)
     return table.reshape(-1)
 

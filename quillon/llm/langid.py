@@ -321,7 +321,7 @@ def expected_counts(table: DataFrame, languages: list[str], p: np.ndarray, path:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((lang, piece, sums[piece, lang]), schema.types)], schema=schema)
 
     out = np.zeros_like(p)
-    for r in table.mapInArrow(count, ddl).groupBy("lang", "piece").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in table.mapInArrow(count, ddl).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
         out[r.piece, r.lang] = r.n
     return out
 
