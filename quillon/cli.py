@@ -1,64 +1,132 @@
-"""Command line: python -m quillon.cli TABLE COMMAND [options] on a long response table in Parquet."""
+"""Command line: python -m quillon.cli TABLE COMMAND [options]; TABLE is a response table in long form, or the file that a command reads."""
 
 from __future__ import annotations
 
 import argparse
+import csv
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks
-from .operators import annotate, network, response, similarity
+from .functions import groups, names
+from .operators import annotate, encoding, graph, network, predict, response, similarity
+from .plans import protocols
 from .sources import config, files
 
+#: Commands by what TABLE is, each with its arguments.
+ON_RESPONSES = {
+    "coverage": (), "report": (), "tuning": (), "items": (), "similar": ("item",), "channel": ("channel",), "group": ("group",), "extract": ("folder",), "encode": (), "codes": (), "predict": (),
+    "contributors": ("item",), "compare": ("items",), "protocol": ("number",), "export": ("path",), "suggest": ("name",),
+}
+ON_LABELS = {"search": ("patterns",), "classes": (), "cells": ("channels",)}
+ON_PATHWAYS = {"paths": ("region",), "hubs": (), "network": (), "types": (), "ladder": (), "asymmetry": (), "communities": (), "graph": ("path",)}
+MANY = ("patterns", "channels", "items")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quillon")
     p.add_argument("table")
-    p.add_argument("--csv", help="write the result there instead of showing it")
+    p.add_argument("--csv", help="write the result there instead of printing it")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("coverage", "report", "tuning"):
-        sub.add_parser(name)
-    for name, options in {"similar": ("item",), "channel": ("channel",), "items": (), "search": ("patterns",), "paths": ("region",), "hubs": ()}.items():
+    for name, arguments in (ON_RESPONSES | ON_LABELS | ON_PATHWAYS).items():
         q = sub.add_parser(name)
-        for o in options:
-            q.add_argument(o, nargs="+" if o == "patterns" else None)
+        for a in arguments:
+            q.add_argument(a, nargs="+" if a in MANY else None, type=int if a == "number" else None)
         q.add_argument("-n", type=int, default=10)
-        if name in ("paths", "hubs"):
+        if name in ON_PATHWAYS:
             q.add_argument("--preset", choices=config.PRESETS, default="default")
     return p
 
 
-def result(spark: SparkSession, a: argparse.Namespace):
-    if a.command in ("paths", "hubs"):
-        rows = files.load_pathways(spark, a.table, config.PRESETS[a.preset])
-        nodes, edges = network.nodes(rows), network.edges(rows)
-        return network.hubs(edges, nodes, a.n) if a.command == "hubs" else network.two_hop(edges, nodes, region=a.region).orderBy(F.desc("step2"), "source", "middle", "target").limit(a.n)
+def on_pathways(spark: SparkSession, a: argparse.Namespace) -> DataFrame | str:
+    setting = config.PRESETS[a.preset]
+    rows = files.load_pathways(spark, a.table, setting)
+    if a.command == "types":
+        return network.type_counts(rows).orderBy("pathway_type")
+    if a.command == "ladder":
+        return network.threshold_ladder(rows).orderBy("threshold")
+    nodes, edges = network.nodes(rows), network.edges(rows)
+    if a.command == "hubs":
+        return network.hubs(edges, nodes, a.n)
+    if a.command == "paths":
+        return network.two_hop(edges, nodes, region=a.region).orderBy(F.desc("step2"), "source", "middle", "target").limit(a.n)
+    if a.command == "asymmetry":
+        return graph.top_pairs(network.asymmetry(network.region_strengths(edges, nodes)), "asymmetry", a.n, then=("a", "b"))
+    if a.command == "communities":
+        return graph.communities(edges, setting.community_method).orderBy("community", "id")
+    if a.command == "graph":
+        sinks.write_graph(nodes, edges, a.path)
+        return f"{a.path}\n"
+    return sinks.network_report(edges, nodes, rows, setting.hub_percentile)
+
+
+def on_labels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    labels = files.load_labels(spark, a.table)
     if a.command == "search":
-        return annotate.search(files.load_labels(spark, a.table), a.patterns).limit(a.n)
+        return annotate.search(labels, a.patterns).orderBy("root_id", "pattern").limit(a.n)
+    if a.command == "classes":
+        return annotate.classes(labels, list(annotate.CLASSES)).groupBy("class").agg(F.count("*").alias("n")).orderBy("class")
+    wanted = spark.createDataFrame([(c,) for c in a.channels], "channel string")
+    return annotate.channel_cells(annotate.cells_of(labels, wanted)).orderBy("channel")
+
+
+def on_responses(spark: SparkSession, a: argparse.Namespace) -> DataFrame | str:
     r = spark.read.parquet(a.table)
+    name = F.col("channel").cast("string")
     if a.command == "coverage":
         return response.channel_coverage(r).orderBy(F.desc("n_tested"), "channel")
+    if a.command == "report":
+        return sinks.report(r)
     if a.command == "tuning":
         return response.tuning(r).orderBy("channel")
     if a.command == "similar":
         return similarity.by_correlation(r, a.item, a.n)
     if a.command == "channel":
-        return response.head_and_tail(r.filter(F.lower(F.col("channel").cast("string")) == a.channel.lower()), a.n).orderBy(F.desc("response"), "item")
+        found = groups.lookup(r.select(name.alias("channel")).distinct(), a.channel).orderBy("channel").collect()
+        if not found or found[0].kind == "suggestion":
+            return f"no channel {a.channel}\n" + "".join(f"did you mean {x.channel}\n" for x in found)
+        return response.head_and_tail(r.filter(name == found[0].channel), a.n).orderBy(F.desc("response"), "item")
+    if a.command == "group":
+        return response.channel_coverage(groups.of_group(r, a.group)).orderBy(F.desc("n_tested"), "channel")
+    if a.command == "extract":
+        facts = sinks.write_cache(r, r.select("item").distinct(), a.folder)
+        return "".join(f"{k}: {v}\n" for k, v in facts.items() if k != "channels")
+    if a.command == "export":
+        sinks.write_table(r, a.path)
+        return f"{a.path}\n"
+    if a.command == "codes":
+        return encoding.sparse_code(r, r.select("channel").distinct()).orderBy("item", "unit")
+    if a.command == "encode":
+        channels = [x.channel for x in r.select("channel").distinct().orderBy("channel").collect()]
+        return response.encode(r, channels).withColumn("vector", F.array_join(F.col("vector").cast("array<string>"), " ")).orderBy("item")
+    if a.command == "contributors":
+        return predict.top_contributors(r.filter(F.col("item").cast("string") == a.item), a.n).orderBy("rank")
+    if a.command == "suggest":
+        return names.suggestions(spark.createDataFrame([(a.name,)], "name string"), r.select(F.lower(F.col("item").cast("string")).alias("alias")).distinct(), n=a.n)
+    if a.command == "protocol":
+        return protocols.to_markdown(protocols.known_protocol(r, a.number))
+    found = predict.outcomes(r, predict.weights(spark))
+    if a.command == "compare":
+        return predict.compared(found.withColumn("item", F.col("item").cast("string")), a.items).orderBy("place")
+    if a.command == "predict":
+        return found.orderBy("item")
     return response.item_coverage(r).orderBy(F.desc("n_active"), "item").limit(a.n)
 
 
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    if a.command == "report":
-        print(sinks.report(spark.read.parquet(a.table)))
-        return
-    found = result(spark, a)
-    if a.csv:
+    found = (on_pathways if a.command in ON_PATHWAYS else on_labels if a.command in ON_LABELS else on_responses)(spark, a)
+    if isinstance(found, str):
+        print(found, end="")
+    elif a.csv:
         sinks.write_table(found, a.csv)
-    else:
-        found.show(1000, truncate=False)
+    else:  # all rows, one partition at a time
+        out = csv.writer(sys.stdout)
+        out.writerow(found.columns)
+        out.writerows(found.toLocalIterator())
 
 
 if __name__ == "__main__":

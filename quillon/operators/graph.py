@@ -59,6 +59,17 @@ def path_lengths(dist: DataFrame, with_self: bool = True) -> DataFrame:
     return (dist if with_self else dist.filter("dist > 0")).groupBy("dist").agg(F.count("*").alias("n"))
 
 
+def path_length(edges: DataFrame, start, end) -> int | None:
+    """Steps from start to end; None if there is no path."""
+    row = lengths_from(edges, start).filter(F.col("node") == F.lit(end)).first()
+    return None if row is None else row.dist
+
+
+def lengths_from(edges: DataFrame, start) -> DataFrame:
+    """(node, dist) of every node that start reaches, itself included; nothing if start is no node."""
+    return distances(edges, vertices(edges).filter(F.col("id") == F.lit(start))).select("node", "dist")
+
+
 def shortest_paths(edges: DataFrame, start, end, n: int | None = None) -> DataFrame:
     """(path array): all shortest paths from start to end, the first n in order; none if there is no path."""
     steps = written(edges.select("src", "dst").distinct(), "steps")
@@ -253,11 +264,11 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).agg(F.sum(F.col("own") / F.col("m2") - F.pow(F.col("d") / F.col("m2"), F.lit(2.0))).alias("q"))
 
 
-def greedy_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community): local moving for modularity. Each round half of the nodes (by id) move to the neighbouring community that gains most, until none does."""
-    e = written(_weighted(edges), "around")
-    degree = written(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
-    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+def local_moving(e: DataFrame, degree: DataFrame, m2: float, rounds: int = 20) -> DataFrame:
+    """(id, community): each round half of the nodes (by id) move to the neighbouring community that gains most modularity, until none does.
+
+    e: (src, dst, weight) of both orders, without loops; degree: (id, k), loops included; m2: the sum of all k.
+    """
     labels = written(degree.select("id", F.col("id").alias("community")), "labels")
     for r in range(2 * rounds):
         total = labels.join(degree, "id").groupBy("community").agg(F.sum("k").alias("all"))
@@ -275,6 +286,42 @@ def greedy_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
+def _with_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    e = written(_weighted(edges), "around")
+    degree = written(e.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "degree")
+    return e, degree, degree.agg(F.sum("k")).first()[0] or 1.0
+
+
+def greedy_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(id, community): local moving on the graph's own nodes."""
+    return local_moving(*_with_degrees(edges), rounds)
+
+
+def louvain(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(id, community): local moving on the nodes, then on the communities found, level by level, until a level joins none. A community is named after one of its nodes."""
+    e, degree, m2 = _with_degrees(edges)
+    found = degree.select("id", F.col("id").alias("community"))
+    while True:
+        labels = local_moving(e, degree, m2, rounds)
+        if labels.select("community").distinct().count() == degree.count():
+            return found
+        up = labels.select(F.col("id").alias("below"), F.col("community").alias("above"))
+        found = written(found.join(up, F.col("community") == up.below).select("id", F.col("above").alias("community")), "communities")
+        one, two = up.toDF("src", "a"), up.toDF("dst", "b")
+        e = written(e.join(one, "src").join(two, "dst").filter("a != b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "around")
+        degree = written(degree.join(up, degree.id == up.below).groupBy(F.col("above").alias("id")).agg(F.sum("k").alias("k")), "degree")
+
+
+COMMUNITIES = {"louvain": louvain, "greedy": greedy_communities, "label_propagation": label_propagation}
+
+
+def communities(edges: DataFrame, method: str = "louvain") -> DataFrame:
+    """(id, community) by one of COMMUNITIES."""
+    if method not in COMMUNITIES:
+        raise ValueError(f"unknown method {method!r}; one of {', '.join(COMMUNITIES)}")
+    return COMMUNITIES[method](edges)
+
+
 def layered_positions(nodes: DataFrame, layer: str, order: str = "id", width: float = 4.0) -> DataFrame:
     """nodes with x and y: each layer's nodes at equal steps over the width, layers one under the other."""
     own = Window.partitionBy(layer)

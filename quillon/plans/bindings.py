@@ -85,6 +85,28 @@ PATHWAYS = f"""(WITH r AS (SELECT o_custkey, l_partkey, l_suppkey, sum(l_quantit
     JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey)"""
 
 
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, weight, step): what network.edges makes of the pathways, summed straight from the lines, so that no name is shuffled."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    one = rows.groupBy("o_custkey", "l_partkey").agg(F.sum("q").alias("weight"))
+    two = rows.groupBy("l_partkey", "l_suppkey").agg(F.sum("q").alias("weight"))
+    one = one.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "weight", F.lit(1).alias("step"))
+    return one.unionByName(two.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "weight", F.lit(2).alias("step")))
+
+
+def nodes(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+    """(id, class, label, region): what network.nodes makes of the pathways, from the customers, parts and suppliers that have an edge."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("region"))
+    side = lambda name, key, letter, label, nation: table(spark, d, name).select(F.concat(F.lit(letter), key).alias("id"), F.col(label).alias("label"), F.col(nation).alias("nation"))
+    source = side("customer", "c_custkey", "c", "c_name", "c_nationkey").join(n, "nation").join(edges.filter("step = 1").select(F.col("src").alias("id")), "id", "left_semi")
+    target = side("supplier", "s_suppkey", "s", "s_name", "s_nationkey").join(n, "nation").join(edges.filter("step = 2").select(F.col("dst").alias("id")), "id", "left_semi")
+    middle = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), _class(F.col("p_type")).alias("class"), F.col("p_type").alias("label"), F.lit(None).cast("string").alias("region"))
+    middle = middle.join(edges.filter("step = 2").select(F.col("src").alias("id")), "id", "left_semi")
+    return source.unionByName(target).select("id", F.lit(SOURCE).alias("class"), "label", "region").unionByName(middle)
+
+
 NODES = f"""(SELECT DISTINCT source AS id, '{SOURCE}' AS class, source_label AS label, source_region AS region FROM pathways
     UNION SELECT DISTINCT middle, middle_class, middle_type, NULL FROM pathways UNION SELECT DISTINCT target, target_class, target_type, target_region FROM pathways)"""
 

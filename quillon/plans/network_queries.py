@@ -34,9 +34,9 @@ SOURCE, INHIBITORY, RELAY = network.SOURCE, network.INHIBITORY, network.RELAY
 
 
 def parts(s: Spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the pathways, each written once for all that a query derives from them."""
-    rows = written(b.pathways(s, d), "pathways")
-    return written(network.nodes(rows), "nodes"), written(network.edges(rows), "edges")
+    """Nodes and edges of the connection tables, each written once for all that a query derives from them."""
+    edges = written(b.edges(s, d), "edges")
+    return written(b.nodes(s, d, edges), "nodes"), edges
 
 
 # --- connection tables
@@ -250,6 +250,16 @@ def greedy_communities(s: Spark, d: str) -> DataFrame:
     return graph.greedy_communities(b.regions(s, d))
 
 
+@query()
+def louvain(s: Spark, d: str) -> DataFrame:
+    return graph.communities(b.regions(s, d), "louvain")
+
+
+@query("SELECT node, dist FROM dist WHERE src = 0", **G)
+def lengths_from(s: Spark, d: str) -> DataFrame:
+    return graph.lengths_from(b.regions(s, d), 0)
+
+
 @query("""SELECT round(sum(own / m2 - (dd / m2) ** 2), 8) AS q FROM (SELECT c1, sum(weight) AS dd, sum(CASE WHEN c1 = c2 THEN weight ELSE 0 END) AS own, sum(sum(weight)) OVER () AS m2 FROM
     (SELECT x % 5 AS c1, y % 5 AS c2, weight FROM (SELECT src AS x, dst AS y, weight FROM r UNION ALL SELECT dst, src, weight FROM r)) GROUP BY c1)""", r=b.REGIONS)
 def modularity(s: Spark, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import graph, network
 from .operators import response as queries
 
 
@@ -137,3 +138,19 @@ def report(response: DataFrame, n: int = 10) -> str:
 def facts_report(title: str, row) -> str:
     """A Markdown list of a one-row result."""
     return "\n".join([f"# {title}", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in row.asDict().items()]]) + "\n"
+
+
+def network_report(edges: DataFrame, nodes: DataFrame, pathways: DataFrame, hub_percentile: float = 90.0) -> str:
+    """A Markdown report on a connection graph: its size and weights, kinds of paths, classes of nodes, hubs, and the strongest and most asymmetric pairs of regions."""
+    facts = network.statistics(edges, nodes).first().asDict()
+    kinds = network.type_counts(pathways).orderBy(F.desc("n"), "pathway_type").collect()
+    classes = nodes.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").collect()
+    hubs = graph.hubs(edges, nodes, percent=hub_percentile)
+    best = hubs.orderBy(F.desc("score"), "id").limit(10).collect()
+    strengths = network.region_strengths(edges, nodes)
+    pairs = strengths.orderBy(F.desc("strength"), "src_region", "dst_region").limit(10).collect()
+    uneven = graph.top_pairs(network.asymmetry(strengths), "asymmetry", 10, then=("a", "b")).collect()
+    out = ["# Network", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in facts.items()], "", "## Paths", *[f"- {r.pathway_type}: {r.n}" for r in kinds], "", "## Nodes", *[f"- {r['class']}: {r.n}" for r in classes]]
+    out += ["", f"## Hubs at the {hub_percentile:g} % mark: {hubs.count()}", *[f"- {r.id}: {r.score:.4f}" for r in best]]
+    out += ["", "## Strongest pairs", *[f"- {r.src_region} to {r.dst_region}: {r.strength} over {r.n_paths} paths" for r in pairs]]
+    return "\n".join([*out, "", "## Most asymmetric pairs", *[f"- {r.a} and {r.b}: {r.asymmetry:.3f}" for r in uneven]]) + "\n"

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -201,8 +202,38 @@ def test_graph_files(parts, tmp_path):
     _, nodes, edges = parts
     for name, n in (("g.graphml", 10), ("g.gexf", 10)):
         sinks.write_graph(nodes, edges, str(tmp_path / name))
-        root = tree.parse(tmp_path / name).getroot()
+        root = tree.fromstring("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
         assert sum(x.tag.endswith("}edge") for x in root.iter()) == n
     with pytest.raises(ValueError):
         sinks.write_graph(nodes, edges, "g.txt")
     assert json.loads(config.PRESETS["strong"].to_json())["min_synapses"] == 10
+
+
+def test_bindings_are_what_the_operators_make(spark):
+    """The queries' nodes and edges, taken from the tables, against those of the pathway rows."""
+    from quillon.plans import bindings
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = bindings.pathways(spark, folder)
+    edges = bindings.edges(spark, folder)
+    assert sorted(map(tuple, edges.select("src", "dst", "weight", "step").collect())) == sorted(map(tuple, network.edges(rows).select("src", "dst", "weight", "step").collect()))
+    columns = ["id", "class", "label", "region"]
+    assert sorted(map(str, bindings.nodes(spark, folder, edges).select(columns).collect())) == sorted(map(str, network.nodes(rows).select(columns).collect()))
+
+
+def test_communities_by_name(spark):
+    """Two cliques with one edge between them, by each method; a path's lengths by pair and from one node."""
+    clique = [(i, j, 1.0) for base in (0, 10) for i in range(base, base + 6) for j in range(base, i)]
+    edges = spark.createDataFrame([*clique, (5, 10, 1.0)], "src long, dst long, weight double")
+    for method in graph.COMMUNITIES:
+        found = {r.id: r.community for r in graph.communities(edges, method).collect()}
+        assert len({found[i] for i in range(5)}) == 1 and len({found[i] for i in range(11, 16)}) == 1
+        assert method == "label_propagation" or found[0] != found[12]
+    with pytest.raises(ValueError):
+        graph.communities(edges, "none")
+    line = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    assert graph.path_length(line, 0, 30) == 30 and graph.path_length(line, 5, 1) is None
+    assert {r.node: r.dist for r in graph.lengths_from(line, 27).collect()} == {27: 0, 28: 1, 29: 2, 30: 3}
+    assert len(graph.shortest_paths(line, 0, 30).first().path) == 31

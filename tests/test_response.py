@@ -168,6 +168,9 @@ def test_cache_and_reports(spark, table, tmp_path, capsys):
     cli.main([f"{folder}/response", "report"])
     cli.main([f"{folder}/response", "similar", "i03", "-n", "3"])
     assert "# Response table" in capsys.readouterr().out
+    for command in (["channel", "or1A"], ["group", "or"], ["encode"], ["predict"], ["compare", "i03", "i04"], ["contributors", "i03"], ["suggest", "i0"], ["extract", f"{folder}/again"], ["coverage"]):
+        cli.main([f"{folder}/response", *command])
+        assert capsys.readouterr().out.count("\n") > 1, command
     of = spark.createDataFrame([("p", "Or1a", f"i{i:02}") for i in range(20)], "pathway string, channel string, item string")
     assert "Blocking p" in protocols.to_markdown(protocols.protocol(table, of, "p"))
 
