@@ -171,13 +171,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, table: np.ndarray, n
             h = ngram_set(text, n)
             of = counts[bucket(h, bits)]
             order = np.lexsort((h, of))[: len(h) - least(len(h), percent) + 1] if len(h) else []
-            parts = np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
-            yield key, len(h), signature(h), signed(h[order]), int((of[order] < hot).sum()), parts
+            yield key, len(h), signature(h), signed(h[order]), int((of[order] < hot).sum()), packed_parts(h)
 
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"id {kind}, n int, sig bigint, tokens array<bigint>, n_cold int, parts array<int>", make)
+    return map_rows(docs, [id_col, text_col], f"id {kind}, n int, sig bigint, tokens array<bigint>, n_cold int, parts array<bigint>", make)
 
 
 # --- candidates: pairs, and groups by their smallest node
@@ -237,12 +236,25 @@ def candidate_groups(nodes: DataFrame, percent: int, paired: int) -> DataFrame:
     first = written(hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("a")), "hot")
     hot = hot.join(first, "token").filter("sig != a.sig").select(F.col("a.sig").alias("a"), F.col("sig").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("need"))
     both = pairs.unionByName(hot).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    both = both.filter("common >= need")
     part = lambda who: nodes.select(F.col("sig").alias(who), F.col("parts").alias(f"{who}_parts"))
-    both = both.filter("common >= need").join(part("a"), "a").join(part("b"), "b")
-    differ = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     n = F.col("n_a") + F.col("n_b")
-    least = F.floor((n * percent + 99 + percent) / (100 + percent))
-    return both.filter((F.col("need") == 0) | (differ <= n - 2 * least)).select("a", "b", "n_a", "n_b")  # suffix filter
+    most = n - 2 * F.floor((n * percent + 99 + percent) / (100 + percent))  # in which linked sets of these sizes differ
+    near = both.filter("need > 0").join(part("a"), "a").join(part("b"), "b").filter(parts_differ("a_parts", "b_parts") <= most)  # suffix filter
+    columns = ["a", "b", "n_a", "n_b"]
+    return near.select(columns).unionByName(both.filter("need = 0").select(columns))
+
+
+def packed_parts(h: np.ndarray) -> list[int]:
+    """Sizes of the set's parts, at most 255 each, eight to a number."""
+    sizes = np.minimum(np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
+    return sizes.view(np.int64).tolist()
+
+
+def parts_differ(one: str, two: str):
+    """Sum of the differences of two columns of packed sizes: no more than the number of n-grams that only one of the sets has."""
+    size = lambda c, i, k: F.shiftright(F.get(c, i), 8 * k).bitwiseAND(F.lit(255))
+    return sum((F.abs(size(one, i, k) - size(two, i, k)) for i in range(PARTS // 8) for k in range(8)), F.lit(0))
 
 
 # --- verification in blocks

@@ -85,6 +85,17 @@ def test_long_texts_and_words():
     assert one != two and jaccard.ngram_set(f"{thue} {other}").size == 1
 
 
+def test_parts_bound_the_difference(spark):
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 5, 40, 700, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], r.integers(0, 2**63, 9).astype(np.uint64)])) for s in sets]
+    rows = [(i, j, jaccard.packed_parts(a), jaccard.packed_parts(b)) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    found = spark.createDataFrame(rows, "i int, j int, one array<bigint>, two array<bigint>").select("i", "j", jaccard.parts_differ("one", "two").alias("d")).collect()
+    exact = lambda s: np.bincount((s % np.uint64(16)).astype(int), minlength=16).clip(max=255)
+    for i, j, d in found:
+        assert d == np.abs(exact(sets[i]) - exact(sets[j])).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 150)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
