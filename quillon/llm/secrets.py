@@ -4,7 +4,9 @@ Natural words, identifiers and numbers take few tokens for their length; random
 least RUN characters is a secret when it has at most RATIO characters a token, unless it is a digest, a UUID, a number,
 an identifier of words or a part of a pattern's match. A part of an identifier is a word when it has at most WORD
 letters, or in lower case is one token or has more than RATIO characters a token. A null text is empty. Spans are in code points,
-their end exclusive.
+their end exclusive; spans that begin together are ordered by kind. All patterns take time in proportion to a text's
+length, however long it is. Repeated rows are found each for itself, an empty table gives an empty one, and only the
+two named columns are read (redact keeps the others as they are).
 """
 
 from __future__ import annotations

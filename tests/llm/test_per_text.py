@@ -1,7 +1,9 @@
 """Operators whose result for a row depends on that row, or the next one, alone."""
 
 import hashlib
+import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +81,21 @@ def test_random_letters():
         scanner.scan("a" * n + "12345")
 
 
+def test_long_runs_take_linear_time(spark):
+    """Runs of 100,000 characters of every kind, alone and in the pipeline's redaction."""
+    r = random.Random(1)
+    n = 100_000
+    runs = ["q" * n, "A" * n, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "1234567890" * (n // 10), "".join(r.choice("abcXYZ0189+/_-=") for _ in range(n)), "fooBar" * (n // 6) + "12345!"]
+    runs += ["foo_bar_" * (n // 8) + "12345", "deadbeef" * (n // 8), "AKIA" * (n // 4), "token=" * (n // 6), "_-" * (n // 2), "aA" * (n // 2), "api_key" * (n // 7)]
+    began = time.time()
+    scanner = secrets.Scanner(secrets.default_ranks())
+    for s in runs:
+        assert [x for x in scanner.scan(f"see {s} here") if x[1] < 3] == [(a, k, b) for a, k, b in brute_secrets(f"see {s} here")]
+    assert time.time() - began < 20
+    rows = secrets.redact(table(spark, [(i, f"see {s} here", "x", 1) for i, s in enumerate(runs)])).collect()
+    assert len(rows) == len(runs) and "[SECRET]" in next(x.text for x in rows if x.doc_id == 2)
+
+
 def test_redact(spark):
     rows = {r.doc_id: r.text for r in secrets.redact(table(spark, [(0, 'a token="123456789" b', "x", 1), (1, "clean", "x", 1), (2, None, "x", 1)])).collect()}
     assert rows == {0: 'a [SECRET]" b', 1: "clean", 2: None}
