@@ -169,21 +169,21 @@ def repeated_offsets(group: np.ndarray, left: np.ndarray, left_size: np.ndarray,
 
 
 def contexts(docs: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, many, row, place, first, last, before, after) of each listed anchor."""
+    """(key, row, place, first, last, before, after) of each listed anchor."""
     reach = length - gram
 
     def make():
         def row(row, text, listed):
             data = text.encode()
             at, keys, first, last = anchors(data, length, gram)
-            many = {x["place"]: x["many"] for x in listed}
+            listed = set(listed)
             for a, key, s, e in zip(at.tolist(), keys.tolist(), first.tolist(), last.tolist()):
-                if a in many:
-                    yield key, many[a], row, a, a - e, a - s, data[max(0, a - reach) : a][::-1], data[a : a + length]
+                if a in listed:
+                    yield key, row, a, a - e, a - s, data[max(0, a - reach) : a][::-1], data[a : a + length]
 
         return row
 
-    return map_rows(docs.join(places, "row"), ["row", "text", "places"], "key bigint, many boolean, row bigint, place int, first int, last int, before binary, after binary", make)
+    return map_rows(docs.join(places, "row"), ["row", "text", "places"], "key bigint, row bigint, place int, first int, last int, before binary, after binary", make)
 
 
 def sorted_groups(found: DataFrame, length: int, gram: int, at_once: int) -> DataFrame:
@@ -294,11 +294,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         return row
 
     found = written(map_rows(docs, ["row", "text"], "key bigint, row bigint, place int", make), "anchors")
-    again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > limit).alias("many"))
     again = written(again, "grams")  # so that both sides of the join are dealt for it, and Spark can split a hot gram
-    places = found.join(again, "key").select("row", F.struct("place", (F.col("n") > limit).alias("many")).alias("x")).distinct().groupBy("row").agg(F.collect_list("x").alias("places"))
-    own = written(contexts(docs, places, length, gram), "contexts")
-    covered = sorted_groups(own.filter("not many"), length, gram, at_once).unionByName(counted_strings(own.filter("many"), docs, length))
+    places = written(found.join(again, "key").select("row", "place", "many").distinct(), "places")
+    of = lambda many: contexts(docs, places.filter(F.col("many") == many).groupBy("row").agg(F.collect_list("place").alias("places")), length, gram)
+    covered = sorted_groups(of(False), length, gram, at_once)
+    if not places.filter("many").isEmpty():
+        covered = covered.unionByName(counted_strings(written(of(True), "contexts"), docs, length))
     covered = covered.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
     kind = docs.schema["id"].dataType.simpleString()
 
