@@ -226,8 +226,8 @@ def candidates(columns: list[np.ndarray], schema: pa.Schema, percent: int, paire
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip((sig[i], sig[j], size[i], size[j], need[at : at + (1 << 17)]), schema.types)], schema=schema)
 
 
-def candidate_groups(nodes: DataFrame, percent: int, paired: int) -> DataFrame:
-    """(a, b, n_a, n_b), a < b: each pair that may link has both ends in the group of one a."""
+def candidate_groups(nodes: DataFrame, parts: DataFrame, percent: int, paired: int) -> DataFrame:
+    """(a, b, n_a, n_b), a < b: each pair that may link has both ends in the group of one a. parts: (sig, parts) of each node."""
     cold = nodes.select(F.posexplode(F.slice("tokens", F.lit(1), F.col("n_cold"))).alias("place", "token"), "sig", "n").select("token", "sig", "n", "place")
     ddl = "a bigint, b bigint, n_a int, n_b int, need int"
     schema = arrow_schema(ddl)
@@ -236,8 +236,8 @@ def candidate_groups(nodes: DataFrame, percent: int, paired: int) -> DataFrame:
     first = written(hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("a")), "hot")
     hot = hot.join(first, "token").filter("sig != a.sig").select(F.col("a.sig").alias("a"), F.col("sig").alias("b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0).alias("need"))
     both = pairs.unionByName(hot).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    both = both.filter("common >= need")
-    part = lambda who: nodes.select(F.col("sig").alias(who), F.col("parts").alias(f"{who}_parts"))
+    both = written(both.filter("common >= need"), "candidates")
+    part = lambda who: parts.select(F.col("sig").alias(who), F.col("parts").alias(f"{who}_parts"))
     n = F.col("n_a") + F.col("n_b")
     most = n - 2 * F.floor((n * percent + 99 + percent) / (100 + percent))  # in which linked sets of these sizes differ
     near = both.filter("need > 0").join(part("a"), "a").join(part("b"), "b").filter(parts_differ("a_parts", "b_parts") <= most)  # suffix filter
@@ -368,7 +368,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     known = rows.filter("n > 0 and id is not null")
     smallest = known.groupBy("sig").agg(F.min("id").alias("id"))
     nodes = known.join(smallest, ["sig", "id"]).dropDuplicates(["sig"])
-    groups = written(candidate_groups(nodes, percent, paired), "groups")
+    parts = written(known.select("sig", "parts").dropDuplicates(["sig"]), "parts")  # a short row for each node, without its prefix
+    groups = written(candidate_groups(nodes, parts, percent, paired), "groups")
     found = components(links(docs, smallest, groups, id_col, text_col, n, percent, block))
     of = found.join(smallest, found.node == smallest.sig)
     roots = of.groupBy("root").agg(F.min("id").alias("component_id"))
