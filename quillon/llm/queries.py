@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, infill, jaccard, langid, licenses, neighbours, pages, secrets, spans, suffixes
+from . import bpe, collocations, decontaminate, fingerprints, infill, jaccard, langid, licenses, neighbours, pages, secrets, spans, suffixes
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(spans.remove(table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
 
@@ -68,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.scan_sql(), "op10_spans": spans.remove_sql(), "op12_infill": infill.digests_sql()}
+    return {"op8_licenses": licenses.scan_sql(), "op10_spans": spans.remove_sql(), "op11_collocations": collocations.mine_sql(), "op12_infill": infill.digests_sql()}
