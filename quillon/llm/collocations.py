@@ -321,24 +321,21 @@ def packed_groups(sizes: dict[int, int], budget: int, first: int) -> dict[int, i
 
 
 def grouped(found: DataFrame, longest: int, classes: int = CLASSES, budget: int = BUDGET) -> DataFrame:
-    """found with the group of each suffix and the length of the word prefix that decides it."""
-    spark, rest, groups, out = found.sparkSession, found, 0, found
+    """found with the group of each suffix and the length of the word prefix that decides it. What comes to the driver, and is sent back as a constant, is one number a class."""
+    group, level_of, groups = F.lit(-1), F.lit(0), 0
     for level in range(1, longest + 1):
         key = F.pmod(F.xxhash64(F.lit(level), "lang", F.substring_index("phrase", " ", level)), F.lit(classes)).cast("int")
+        rest = found.filter(group < 0)
         sizes = {r["c"]: r["n"] for r in rest.groupBy(key.alias("c")).agg(F.count("*").alias("n")).collect()}
         large = {c for c, n in sizes.items() if n > budget and level < longest}
         own = packed_groups({c: n for c, n in sizes.items() if c not in large}, budget, groups)
         groups = max([groups, *(g + 1 for g in own.values())])
-        table = F.broadcast(spark.createDataFrame([(c, own.get(c)) for c in sizes], "c int, g int"))
-        step = lambda df: df.withColumn("c", key).join(table, "c", "left").drop("c")  # noqa: B023, E731
-        own_group = F.col("g")
-        out = step(out).withColumnRenamed("g", f"g{level}")
+        here = F.get(F.split(F.lit(",".join(str(own.get(c, -1)) for c in range(classes))), ",").cast("array<int>"), key)
+        level_of = F.when((group < 0) & (here >= 0), level).otherwise(level_of)
+        group = F.when(group < 0, here).otherwise(group)
         if not large:
             break
-        rest = step(rest).filter(own_group.isNull()).drop("g")
-    names = [f"g{i}" for i in range(1, level + 1)]
-    decided = F.coalesce(*[F.when(F.col(g).isNotNull(), F.lit(i + 1)) for i, g in enumerate(names)])
-    return out.select("lang", "phrase", "n", F.coalesce(*names).alias("group"), decided.alias("level"))
+    return found.select("lang", "phrase", "n", group.alias("group"), level_of.alias("level"))
 
 
 def subtrees(rows: DataFrame, least: int, longest: int) -> DataFrame:
