@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.matching import alike
+
 
 def variants(name: Column) -> Column:
     """Normal forms under which a name is looked up, in this order, without repeats or empty ones."""
@@ -47,39 +46,10 @@ def resolve(wanted: DataFrame, aliases: DataFrame, name: str = "name") -> DataFr
     return wanted.join(best, F.col(name) == F.col("found"), "left").drop("found")
 
 
-#: Names that suggestions are asked for at once.
-ASKED = 10_000
-
-
 def suggestions(wanted: DataFrame, aliases: DataFrame, name: str = "name", n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """(name, alias, similarity): the n aliases most like each wanted name, by the ratio of matching sequences; of equal ones the greater alias.
-
-    The wanted names are a query set of at most ASKED, more are an error; all aliases are compared with them where they
-    are, and a task hands on its own n best of each name.
-    """
-    asked = [r[0] for r in wanted.filter(F.col(name).isNotNull()).select(name).distinct().limit(ASKED + 1).collect()]
-    if len(asked) > ASKED:
-        raise ValueError(f"suggestions are for at most {ASKED} names at once")
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import heapq
-        from difflib import SequenceMatcher
-
-        best: dict[str, list] = {w: [] for w in asked}
-        for frame in frames:
-            for w, kept in best.items():
-                m = SequenceMatcher()
-                m.set_seq2(w.lower())
-                for alias in frame.alias:
-                    m.set_seq1(alias)
-                    if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff:
-                        kept.append((r, alias))
-                best[w] = heapq.nlargest(n, set(kept))
-        yield pd.DataFrame([(w, alias, r) for w, kept in best.items() for r, alias in kept], columns=["name", "alias", "similarity"])
-
-    found = aliases.filter("alias is not null").select("alias").mapInPandas(near, "name string, alias string, similarity double").distinct()
-    order = Window.partitionBy("name").orderBy(F.desc("similarity"), F.desc("alias"))
-    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).select(F.col("name").alias(name), "alias", "similarity")
+    """(name, alias, similarity): the n aliases most like each wanted name in lower case, by the ratio of matching sequences; of equal ones the greater alias."""
+    asked = wanted.filter(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("low", F.lower("name"))
+    return alike(asked, aliases.select("alias"), n, cutoff).select(F.col("name").alias(name), "alias", "similarity")
 
 
 def translated(wanted: DataFrame, mapping: DataFrame, name: str = "name", key: str = "channel", value: str = "region") -> DataFrame:

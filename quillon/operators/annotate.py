@@ -8,11 +8,11 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .matching import contained
+
 # Patterns of the receptor families and of the sensillum types in labels.
 FAMILIES = {"or": r"\bOr\d+[a-z]*\b", "ir": r"\bIr\d+[a-z]*\b", "gr": r"\bGr\d+[a-z]*\b"}
 CLASSES = FAMILIES | {"sensillum_ab": r"\bab\d+[a-zA-Z]*\b", "sensillum_ac": r"\bac\d+[a-zA-Z]*\b", "sensillum_pb": r"\bpb\d+[a-zA-Z]*\b"}
-#: Names that labels are matched against.
-NAMES = 10_000
 
 
 def _pattern(p: str, case_sensitive: bool) -> str:
@@ -58,21 +58,9 @@ def positioned() -> Column:
 
 
 def cells_of(labels: DataFrame, channels: DataFrame, whole_words: bool = False) -> DataFrame:
-    """(channel, root_id, x, y, z): labels that name a channel, in either case; whole_words: not inside longer words.
-
-    channels is a dimension (one row a receptor) of at most NAMES names, more are an error; every label is compared with
-    all of them where it is. Names are plain text.
-    """
-    names = sorted(r[0] for r in channels.filter("channel is not null").select("channel").distinct().limit(NAMES + 1).collect())
-    if len(names) > NAMES:
-        raise ValueError(f"labels are matched against at most {NAMES} names")
-    label = F.lower("label")
-    if whole_words:
-        quoted = [r"(?i)\b\Q" + n.replace(r"\E", r"\E\\E\Q") + r"\E\b" for n in names]
-        hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col("label").rlike(q), F.lit(n)) for n, q in zip(names, quoted)]))
-    else:
-        hits = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: F.contains(label, F.lower(n)))
-    return labels.select(F.explode(hits).alias("channel"), "root_id", "x", "y", "z")
+    """(channel, root_id, x, y, z): labels that name a channel, in either case; whole_words: not inside longer words. Names are plain text, any number of them."""
+    own = labels.select("label", "root_id", "x", "y", "z")
+    return contained(own, "label", channels, "channel", whole_words).select(F.col("name").alias("channel"), "root_id", "x", "y", "z")
 
 
 def channel_cells(cells: DataFrame) -> DataFrame:

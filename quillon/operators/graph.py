@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from itertools import permutations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..sources.tables import written
 from .network import degrees
-from .ranges import quantile
+from .ranges import quantile, running
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -123,14 +124,41 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def motifs(edges: DataFrame) -> DataFrame:
-    """(n_edges, n): open walks a -> b -> c (c not a, no edge a -> c), by the edges among their three nodes."""
+    """(n_edges, n): open walks a -> b -> c (c not a, no edge a -> c), by the edges among their three nodes.
+
+    No walk gets a row. Walks over each middle are a product of its one-way and two-way edges in and out; those whose
+    ends are connected are the triangles, each found once from its node of lowest degree and read in all six orders,
+    and are taken off.
+    """
     e = edges.filter("src != dst").select("src", "dst").distinct()
-    walks = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b").filter("a != c")
-    walks = walks.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_anti")
-    for x, y in (("b", "a"), ("c", "b"), ("c", "a")):
-        walks = walks.join(e.select(F.col("src").alias(x), F.col("dst").alias(y), F.lit(1).alias(x + y)), [x, y], "left")
-    own = 2 + sum(F.coalesce(F.col(k), F.lit(0)) for k in ("ba", "cb", "ca"))
-    return walks.groupBy(own.cast("long").alias("n_edges")).agg(F.count("*").alias("n"))
+    there = F.col("src") < F.col("dst")
+    # code: 1 for an edge from a to b, 2 for one back, 3 for both
+    pairs = written(e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.when(there, 1).otherwise(2)).cast("int").alias("code")), "pairs")
+    turned = lambda c: F.when(c == 3, 3).otherwise(3 - c)
+    ends = pairs.select(F.col("a").alias("id"), "code").unionByName(pairs.select(F.col("b").alias("id"), turned(F.col("code")).alias("code")))
+    sides = ends.groupBy("id").agg(F.count_if(F.col("code") == 1).alias("out"), F.count_if(F.col("code") == 2).alias("in"), F.count_if(F.col("code") == 3).alias("two"))
+    each = [F.struct(F.lit(k).alias("n_edges"), n.alias("n")) for k, n in ((2, F.col("in") * F.col("out")), (3, F.col("two") * F.col("out")), (3, F.col("in") * F.col("two")), (4, F.col("two") * (F.col("two") - 1)))]
+    walks = sides.select(F.inline(F.array(*each)))
+
+    size = ends.groupBy("id").agg(F.count("*").alias("size"))
+    ranked = pairs.join(size.toDF("a", "da"), "a").join(size.toDF("b", "db"), "b")
+    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("code")).otherwise(turned(F.col("code"))).alias("uv"))
+    wedges = out.join(out.toDF("u", "w", "uw"), "u").filter("v < w")
+    triangles = wedges.join(pairs.toDF("v", "w", "vw"), ["v", "w"]).groupBy("uv", "uw", "vw").agg(F.count("*").alias("n"))
+
+    def edge(x: str, y: str) -> Column:
+        """Whether a triangle has the edge x -> y, as 0 or 1."""
+        return (F.col(x + y) if x + y in ("uv", "uw", "vw") else turned(F.col(y + x))).bitwiseAND(F.lit(1))
+
+    read = []
+    for a, m, c in permutations("uvw"):
+        walk, own = edge(a, m) * edge(m, c), 2 + edge(m, a) + edge(c, m)
+        back = walk * (1 - edge(a, c)) * edge(c, a)
+        closed = walk * F.greatest(edge(a, c), edge(c, a))
+        read += [F.struct(own.alias("n_edges"), (-closed * F.col("n")).alias("n")), F.struct((own + 1).alias("n_edges"), (back * F.col("n")).alias("n"))]
+    every = walks.unionByName(triangles.select(F.inline(F.array(*read))))
+    return every.groupBy(F.col("n_edges").cast("long").alias("n_edges")).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def density(edges: DataFrame, nodes: DataFrame, directed: bool = True) -> DataFrame:
@@ -152,6 +180,36 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").join(F.broadcast(n)).select("id", F.coalesce(F.when(F.col("n") > 1, score), F.lit(0.0)).alias("score"))
 
 
+def reached(edges: DataFrame, nodes: DataFrame, lg_k: int = 12) -> DataFrame:
+    """(id, r, s): estimates of how many others reach a node, and of the sum of their distances.
+
+    Each node keeps a sketch of the nodes that reach it within so many steps, united along the edges once a round, until
+    no estimate grows; the state is a sketch of at most about 2**lg_k bytes a node, whatever its number of pairs. The
+    relative error is about 1 / sqrt(2**lg_k); sets of up to a few hundred nodes are counted nearly exactly.
+    """
+    steps = written(edges.filter("src != dst").select("src", "dst").distinct(), "steps")
+    estimate = lambda c: F.hll_sketch_estimate(c).cast("double")
+    state = nodes.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg(F.col("id").cast("string"), lg_k).alias("near"))
+    state = written(state.select("id", "near", F.lit(1.0).alias("n"), F.lit(0.0).alias("s"), F.lit(True).alias("grew")), "sketches")
+    depth = 0
+    while not state.filter("grew").isEmpty():
+        depth += 1
+        # only nodes whose sketch grew have something new to tell
+        come = state.filter("grew").select("id", "near").join(steps, F.col("id") == steps.src).groupBy("dst").agg(F.hll_union_agg("near").alias("come"))
+        both = state.join(come, state.id == come.dst, "left")
+        near = F.when(F.col("come").isNull(), F.col("near")).otherwise(F.hll_union("near", "come"))
+        grown = both.select("id", near.alias("near"), F.col("n").alias("before"), "s").withColumn("n", F.greatest(estimate("near"), "before"))
+        state = written(grown.select("id", "near", "n", (F.col("s") + depth * (F.col("n") - F.col("before"))).alias("s"), (F.col("n") > F.col("before")).alias("grew")), "sketches")
+    return state.select("id", (F.col("n") - 1).alias("r"), "s")
+
+
+def closeness_estimate(edges: DataFrame, nodes: DataFrame, lg_k: int = 12) -> DataFrame:
+    """(id, score): closeness by the estimates of `reached`, for graphs whose pairs of nodes are too many to list."""
+    n = nodes.agg(F.count("*").alias("all"))
+    score = F.when((F.col("all") > 1) & (F.col("s") > 0), F.col("r") / F.col("s") * F.col("r") / (F.col("all") - 1)).otherwise(0.0)
+    return reached(edges, nodes, lg_k).join(F.broadcast(n)).select("id", score.alias("score"))
+
+
 def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id, score): share of the other pairs' shortest paths that pass a node, ends excluded, on the directed graph.
 
@@ -181,8 +239,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None =
     return nodes.select("id").join(total, "id", "left").join(F.broadcast(n)).select("id", F.coalesce(scaled, F.lit(0.0)).alias("score"))
 
 
-def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame | None:
-    """(id, score): power iteration of x + A'x over incoming edges, scaled to length 1; None if it does not settle."""
+def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """(id, score): power iteration of x + A'x over incoming edges, scaled to length 1; an error if it does not settle. Without a tolerance, the state after all rounds."""
     steps = written(edges.select("src", "dst").distinct(), "steps")
     n = nodes.count()
     x = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x"))
@@ -190,31 +248,35 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 100, tolerance
         come = x.join(steps, x.id == steps.src).groupBy("dst").agg(F.sum("x").alias("y"))
         new = written(x.join(come, x.id == come.dst, "left").select("id", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("new"), "x"), "power")
         length = new.agg(F.sqrt(F.sum(F.col("new") * F.col("new")))).first()[0] or 1.0
-        change = new.agg(F.sum(F.abs(F.col("new") / length - F.col("x")))).first()[0] or 0.0
         x = new.select("id", (F.col("new") / length).alias("x"))
-        if change < n * tolerance:
+        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("new") / length - F.col("x")))).first()[0] or 0.0) < n * tolerance:
             return x.select("id", F.col("x").alias("score"))
-    warnings.warn(f"the eigenvector did not settle in {rounds} rounds", stacklevel=2)
-    return None
+    if tolerance is None:
+        return x.select("id", F.col("x").alias("score"))
+    raise Unsettled(f"the eigenvector did not settle in {rounds} rounds")
+
+
+class Unsettled(RuntimeError):
+    """An iteration that was given a number of rounds did not come to rest within them."""
 
 
 METHODS = ("degree", "betweenness", "closeness", "eigenvector")
 
 
 def centrality(edges: DataFrame, nodes: DataFrame, method: str = "degree") -> DataFrame:
-    """(id, score) by one of METHODS; degree where the eigenvector does not settle."""
+    """(id, score, method) by one of METHODS; by degree, as its method says, where the eigenvector does not settle."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    if method == "betweenness":
-        return betweenness(edges, nodes)
-    if method == "closeness":
-        return closeness(edges, nodes)
-    found = eigenvector(edges, nodes) if method == "eigenvector" else None
-    if found is not None:
-        return found
+    if method in ("betweenness", "closeness"):
+        return (betweenness if method == "betweenness" else closeness)(edges, nodes).withColumn("method", F.lit(method))
+    if method == "eigenvector":
+        try:
+            return eigenvector(edges, nodes).withColumn("method", F.lit(method))
+        except Unsettled as e:
+            warnings.warn(f"{e}; degrees stand in", stacklevel=2)
     own = degrees(edges, nodes.select("id", F.lit(None).cast("string").alias("class")))
     n = nodes.agg((F.count("*") - 1).cast("double").alias("others"))
-    return own.join(F.broadcast(n)).select("id", F.coalesce(ratio(F.col("degree"), F.col("others")), F.lit(0.0)).alias("score"))
+    return own.join(F.broadcast(n)).select("id", F.coalesce(ratio(F.col("degree"), F.col("others")), F.lit(0.0)).alias("score"), F.lit("degree").alias("method"))
 
 
 def above_percentile(scores: DataFrame, percent: float = 90.0, column: str = "score") -> DataFrame:
@@ -225,7 +287,7 @@ def above_percentile(scores: DataFrame, percent: float = 90.0, column: str = "sc
 def hubs(edges: DataFrame, nodes: DataFrame, node_class: str | None = None, method: str = "degree", percent: float = 90.0) -> DataFrame:
     """(id, score) of the nodes at or above the percentile, on the graph that the class's nodes induce."""
     own = nodes if node_class is None else nodes.filter(F.col("class") == node_class)
-    return above_percentile(centrality(induced(edges, own), own, method), percent)
+    return above_percentile(centrality(induced(edges, own), own, method).select("id", "score"), percent)
 
 
 # --- communities
@@ -292,9 +354,34 @@ def _with_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return e, degree, degree.agg(F.sum("k")).first()[0] or 1.0
 
 
-def greedy_communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community): local moving on the graph's own nodes."""
-    return local_moving(*_with_degrees(edges), rounds)
+def greedy_communities(edges: DataFrame) -> DataFrame:
+    """(id, community): greedy merging by modularity, from single nodes up, while a merge gains; a community is named after one of its nodes.
+
+    A table has each pair of connected communities and what their merge gains. Each round every community asks its best
+    partner (of equal gains the smaller name). Of two that ask each other, that of the greater degree (or the smaller
+    name) takes the other in, and with it those that ask it too: in the order of their gains, each one only if it still
+    gains when all before it are in. No merge lowers the modularity, so the last round is the best cut of the
+    dendrogram. A hub takes in all its leaves in one round, over as many tasks as they fill.
+    """
+    e, degree, m2 = _with_degrees(edges)
+    found = degree.select("id", F.col("id").alias("community"))
+    while True:
+        gain = F.col("weight") * m2 - F.col("k") * F.col("other")
+        gains = e.join(degree.toDF("src", "k"), "src").join(degree.toDF("dst", "other"), "dst").withColumn("gain", gain).filter("gain > 0")
+        asks = gains.groupBy("src").agg(F.min_by(F.struct("dst", "gain", "weight", "k", "other"), F.struct(-F.col("gain"), "dst")).alias("best")).select("src", "best.*")
+        asks = written(asks, "asks")
+        if asks.isEmpty():
+            return found
+        back = asks.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+        first = (F.col("other") > F.col("k")) | ((F.col("other") == F.col("k")) & (F.col("dst") < F.col("src")))
+        roots = written(asks.join(back, ["src", "dst"], "left_semi").filter(first).select("dst").distinct(), "roots")
+        moves = asks.join(roots, "dst", "left_semi").join(roots.toDF("src"), "src", "left_anti").withColumn("place", -F.col("gain"))
+        moves = running(moves, ["dst"], ["place", "src"], "k").filter(F.col("weight") * m2 > F.col("k") * (F.col("other") + F.col("ahead")))
+        into = written(moves.select(F.col("src").alias("below"), F.col("dst").alias("above")), "into")
+        named = lambda df, c: df.join(into, F.col(c) == F.col("below"), "left").withColumn(c, F.coalesce("above", c)).drop("below", "above")  # noqa: B023, E731
+        found = written(named(found, "community"), "communities")
+        e = written(named(named(e, "src"), "dst").filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "around")
+        degree = written(named(degree, "id").groupBy("id").agg(F.sum("k").alias("k")), "degree")
 
 
 def louvain(edges: DataFrame, rounds: int = 20) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..sources.tables import written
 from .network import INHIBITORY, RELAY
+from .ranges import median
 
 # Middle classes of each kind of connection.
 KINDS = {"inhibitory": INHIBITORY, "excitatory": RELAY, "all": None}
@@ -67,7 +69,8 @@ def subnetwork_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = edges.select(F.col("c1").alias("channel")).unionByName(edges.select(F.col("c2").alias("channel"))).groupBy("channel").agg(F.count("*").alias("degree"))
     d = nodes.select("channel").join(ends, "channel", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     d = d.agg(F.count("*").alias("n_nodes"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.min_by("channel", F.struct(-F.col("degree"), "channel")).alias("hub"))
-    w = edges.agg(F.count("*").alias("n_edges"), F.avg("weight").alias("mean_weight"), F.median("weight").alias("median_weight"), F.max("weight").alias("max_weight"))
+    edges = written(edges, "edges")
+    w = edges.agg(F.count("*").alias("n_edges"), F.avg("weight").alias("mean_weight"), median(edges, "weight").alias("median_weight"), F.max("weight").alias("max_weight"))
     n = F.col("n_nodes")
     return d.join(F.broadcast(w)).withColumn("density", ratio(F.col("n_edges") * 2.0, n * (n - 1)))
 
@@ -89,11 +92,11 @@ def recommendation_totals(rows: DataFrame) -> DataFrame:
 def pair_diagnostics(matrix: DataFrame, n_channels: int, cuts: tuple[int, int, int] = (10, 50, 100)) -> DataFrame:
     """One row on the connected pairs c1 < c2: their number and share of all pairs, extremes, mean, median, and four strength classes."""
     w = F.col("weight")
-    own = matrix.filter("c1 < c2 and weight > 0")
+    own = written(matrix.filter("c1 < c2 and weight > 0"), "pairs")
     total = n_channels * (n_channels - 1) // 2
     a, b, c = cuts
     return own.agg(
-        F.count("*").alias("n_connected"), F.lit(total).cast("long").alias("n_pairs"), (F.count("*") * (100.0 / max(total, 1))).alias("rate_pct"), F.min(w).alias("min_weight"), F.median(w).alias("median_weight"), F.avg(w).alias("mean_weight"),
+        F.count("*").alias("n_connected"), F.lit(total).cast("long").alias("n_pairs"), (F.count("*") * (100.0 / max(total, 1))).alias("rate_pct"), F.min(w).alias("min_weight"), median(own, "weight").alias("median_weight"), F.avg(w).alias("mean_weight"),
         F.max(w).alias("max_weight"), F.count_if(w < a).alias("n_weak"), F.count_if((w >= a) & (w < b)).alias("n_medium"), F.count_if((w >= b) & (w < c)).alias("n_strong"), F.count_if(w >= c).alias("n_very_strong"),
     )
 

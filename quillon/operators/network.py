@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..sources.tables import written
+from .ranges import median, quantiles
 
 # Node classes as the tables spell them.
 SOURCE, INHIBITORY, RELAY = "ORN", "Local_Neuron", "Projection_Neuron"
@@ -57,8 +59,8 @@ def type_counts(pathways: DataFrame) -> DataFrame:
 
 def summary(pathways: DataFrame) -> DataFrame:
     """One row: rows, mean, median, extremes and sample deviation of the second step."""
-    s = F.col("step2")
-    return pathways.agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_samp(s).alias("std"))
+    s, pathways = F.col("step2"), written(pathways.select("step2"), "steps")
+    return pathways.agg(F.count("*").alias("n"), F.avg(s).alias("mean"), median(pathways, "step2").alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_samp(s).alias("std"))
 
 
 def threshold_ladder(pathways: DataFrame, thresholds=(1, 5, 10, 20, 50, 100, 200)) -> DataFrame:
@@ -147,14 +149,16 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: nodes, edges, mean and greatest degrees, and moments of the weights."""
     d = degrees(edges, nodes).agg(F.count("*").alias("n_nodes"), F.avg("in_degree").alias("mean_in"), F.max("in_degree").alias("max_in"), F.avg("out_degree").alias("mean_out"), F.max("out_degree").alias("max_out"))
     w = F.col("weight")
-    e = edges.agg(F.count("*").alias("n_edges"), F.avg(w).alias("mean_weight"), F.median(w).alias("median_weight"), F.stddev_pop(w).alias("std_weight"), F.min(w).alias("min_weight"), F.max(w).alias("max_weight"))
+    e = edges.agg(F.count("*").alias("n_edges"), F.avg(w).alias("mean_weight"), median(edges, "weight").alias("median_weight"), F.stddev_pop(w).alias("std_weight"), F.min(w).alias("min_weight"), F.max(w).alias("max_weight"))
     return d.join(F.broadcast(e))
 
 
 def path_statistics(paths: DataFrame) -> DataFrame:
     """(middle_class, n_paths, n_middles, n_targets, mean, median, total, max) of two-hop paths."""
-    s = F.col("step2")
-    return paths.groupBy("middle_class").agg(F.count("*").alias("n_paths"), F.countDistinct("middle").alias("n_middles"), F.countDistinct("target").alias("n_targets"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.sum(s).alias("total"), F.max(s).alias("max"))
+    s, paths = F.col("step2"), written(paths.select("middle_class", "middle", "target", "step2"), "paths")
+    of = quantiles(paths, ["middle_class"], "step2", name="median").withColumnRenamed("middle_class", "_class")
+    own = paths.groupBy("middle_class").agg(F.count("*").alias("n_paths"), F.countDistinct("middle").alias("n_middles"), F.countDistinct("target").alias("n_targets"), F.avg(s).alias("mean"), F.sum(s).alias("total"), F.max(s).alias("max"))
+    return own.join(of, F.col("middle_class").eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def targets_by_region(paths: DataFrame) -> DataFrame:
@@ -166,10 +170,11 @@ def search_statistics(paths: DataFrame, strongest: int | None = None) -> DataFra
     """One row on the paths found, or on the strongest of them."""
     if strongest is not None:
         paths = paths.orderBy(F.desc("step2"), "source", "middle", "target").limit(strongest)
+    paths = written(paths.select("middle", "middle_class", "step2"), "paths")
     s, zero = F.col("step2"), lambda c: F.coalesce(c, F.lit(0))
     middle = lambda k: F.count_distinct(F.when(F.col("middle_class") == k, F.col("middle")))
     return paths.agg(
-        F.count("*").alias("n_paths"), zero(F.sum(s)).cast("long").alias("total"), zero(F.avg(s)).cast("double").alias("mean"), zero(F.median(s)).cast("double").alias("median"), zero(F.max(s)).cast("long").alias("max"),
+        F.count("*").alias("n_paths"), zero(F.sum(s)).cast("long").alias("total"), zero(F.avg(s)).cast("double").alias("mean"), zero(median(paths, "step2")).cast("double").alias("median"), zero(F.max(s)).cast("long").alias("max"),
         zero(F.min(s)).cast("long").alias("min"), middle(INHIBITORY).alias("n_inhibitory"), middle(RELAY).alias("n_relay"), F.when(F.count("*") > 0, 2).otherwise(0).alias("shortest"),
     )
 

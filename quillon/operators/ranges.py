@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +61,41 @@ def cumulated(rows: DataFrame, column: str) -> DataFrame:
     return inside.join(F.broadcast(ahead), "part").select(column, "ties", (F.col("ahead") + F.col("below")).alias("below"))
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "ahead") -> DataFrame:
+    """df with the sum of value over the earlier rows of the same group, in the order (ascending, which tells a group's rows apart).
+
+    Rows are dealt in ranges of group and order, so a hot group is summed by as many tasks as it has ranges; what passes
+    between the ranges of a group is one sum each.
+    """
+    df, _ = in_ranges(written(df, "rows"), *by, *order, name="_part")
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    between = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("_part", *by).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(between), F.lit(0)))
+    same = reduce(and_, [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]])
+    sums = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "_before")
+    own = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(sums, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_p", "_before", "_inside", *[f"_b{i}" for i in range(len(by))])
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], column: str, share: float = 0.5, name: str = "quantile") -> DataFrame:
+    """(by, name): the linearly interpolated quantile of each group, exact; null for groups without values.
+
+    Equal values are counted first; the counts are summed in ranges of group and value, so no task holds all of a
+    group's values.
+    """
+    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_ties"))
+    placed = running(counts.filter(F.col(column).isNotNull()), by, [column], "_ties", "_below")
+    groups = rows.groupBy(*by).agg((F.lit(share) * (F.count(column) - 1)).alias("_at"))
+    names = [f"_g{i}" for i in range(len(by))]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, names)], F.lit(True))
+    holds = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col("_ties"))
+    at, low = F.col("_at"), F.floor(F.col("_at"))
+    found = groups.select(*[F.col(c).alias(g) for c, g in zip(by, names)], "_at").join(placed, same, "left")
+    value = lambda k: F.max(F.when(holds(k), F.col(column).cast("double")))
+    ends = found.groupBy(*names, "_at").agg(value(low).alias("_a"), value(F.ceil(at)).alias("_b"))
+    return ends.select(*[F.col(g).alias(c) for c, g in zip(by, names)], (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - low)).alias(name))
+
+
 def quantile(rows: DataFrame, column: str, share: float) -> float | None:
     """The linearly interpolated quantile of a numeric column, exact; None without values. Two values come to the driver."""
     found = written(cumulated(rows, column), "cumulated")
@@ -69,3 +108,8 @@ def quantile(rows: DataFrame, column: str, share: float) -> float | None:
     own = found.filter(holds(low) | holds(min(low + 1, n - 1))).select(column).orderBy(column).collect()
     a, b = float(own[0][0]), float(own[-1][0])
     return a + (b - a) * (at - low)
+
+
+def median(rows: DataFrame, column: str) -> Column:
+    """The median of all rows, exact, as a constant; null without values."""
+    return F.lit(quantile(rows, column, 0.5)).cast("double")

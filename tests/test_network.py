@@ -141,6 +141,8 @@ def test_centralities(spark):
                 want[v] += paths(s, v) * paths(v, t) / paths(s, t)
     between = {r.id: r.score for r in graph.betweenness(edges, table).collect()}
     assert between == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in want.items()})
+    estimate = {r.id: r.score for r in graph.closeness_estimate(edges, table).collect()}
+    assert estimate == pytest.approx(close)  # sets of a few nodes are counted exactly
     x = {r.id: r.score for r in graph.eigenvector(edges, table).collect()}
     assert sum(v * v for v in x.values()) == pytest.approx(1, abs=1e-6)
 
@@ -171,6 +173,97 @@ def test_communities(spark):
     assert graph.modularity(edges, graph.greedy_communities(edges)).first().q == pytest.approx(20 / 21 - 0.5)
 
 
+def test_closeness_estimate_on_large_sets(spark):
+    """Three layers of 1,500 nodes: sets of thousands, against exact counts."""
+    r = random.Random(2)
+    e = {(i, 2000 + r.randrange(60)) for i in range(1500) for _ in range(2)} | {(2000 + i, 3000 + r.randrange(15)) for i in range(60) for _ in range(4)}
+    edges = spark.createDataFrame(sorted(e), "src long, dst long")
+    table = graph.vertices(edges)
+    exact = {x.id: x.score for x in graph.closeness(edges, table).collect()}
+    for x in graph.closeness_estimate(edges, table).collect():
+        assert x.score == pytest.approx(exact[x.id], rel=0.08)
+
+
+def brute_greedy(e):
+    """The rule of greedy_communities, on dictionaries."""
+    w, k, of = {}, {}, {}
+    for a, b, x in e:
+        if a != b:
+            w[a, b] = w.get((a, b), 0) + x
+            w[b, a] = w.get((b, a), 0) + x
+            for v in (a, b):
+                k[v] = k.get(v, 0) + x
+                of[v] = v
+    m2 = sum(k.values())
+    while True:
+        gains = {p: x * m2 - k[p[0]] * k[p[1]] for p, x in w.items()}
+        best = {}
+        for (a, b), g in sorted(gains.items()):
+            if g > 0 and (a not in best or g > gains[a, best[a]]):
+                best[a] = b
+        if not best:
+            return of
+        roots = {b for a, b in best.items() if best.get(b) == a and (k[b] > k[a] or (k[b] == k[a] and b < a))}
+        into = {}
+        for root in roots:
+            ahead = 0
+            for a in sorted((a for a, b in best.items() if b == root and a not in roots), key=lambda a: (-gains[a, root], a)):
+                if w[a, root] * m2 > k[a] * (k[root] + ahead):
+                    into[a] = root
+                ahead += k[a]
+        of = {v: into.get(c, c) for v, c in of.items()}
+        new_w, new_k = {}, {}
+        for (a, b), x in w.items():
+            a, b = into.get(a, a), into.get(b, b)
+            if a != b:
+                new_w[a, b] = new_w.get((a, b), 0) + x
+        for v, x in k.items():
+            new_k[into.get(v, v)] = new_k.get(into.get(v, v), 0) + x
+        w, k = new_w, new_k
+
+
+def quality(e, of):
+    m2, own, degree = 0, {}, {}
+    for a, b, x in e:
+        m2 += 2 * x
+        own[of[a]] = own.get(of[a], 0) + (2 * x if of[a] == of[b] else 0)
+        for v in (a, b):
+            degree[of[v]] = degree.get(of[v], 0) + x
+    return sum(own.get(c, 0) / m2 - (d / m2) ** 2 for c, d in degree.items())
+
+
+def test_greedy_merging(spark):
+    """Against the same rule by hand; about as good as merging the best pair at a time; hubs with many leaves take few rounds."""
+    r = random.Random(8)
+    for n, m in ((25, 60), (40, 70)):
+        e = sorted({(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m)) if a < b})
+        e = [(a, b, r.randrange(1, 5)) for a, b in e] + [(100 + i, j, 1) for i in range(20) for j in (0,)]
+        found = {x.id: x.community for x in graph.greedy_communities(spark.createDataFrame(e, "src long, dst long, weight long")).collect()}
+        assert found == brute_greedy(e)
+        one = {v: v for x in e for v in x[:2]}
+        while True:  # the best pair at a time
+            pairs = {tuple(sorted((one[a], one[b]))) for a, b, _ in e if one[a] != one[b]}
+            best = max(((quality(e, {v: (p[0] if c == p[1] else c) for v, c in one.items()}), p) for p in pairs), default=None)
+            if not best or best[0] <= quality(e, one):
+                break
+            one = {v: (best[1][0] if c == best[1][1] else c) for v, c in one.items()}
+        assert quality(e, found) >= 0.9 * quality(e, one)
+
+
+def test_motifs(spark):
+    r = random.Random(6)
+    e = {(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(70)) if a != b}
+    want = {}
+    for a, b in e:
+        for x, c in e:
+            if x == b and c != a and (a, c) not in e:
+                k = 2 + ((b, a) in e) + ((c, b) in e) + ((c, a) in e)
+                want[k] = want.get(k, 0) + 1
+    edges = spark.createDataFrame([*sorted(e), (3, 3)], "src long, dst long")
+    assert {x.n_edges: x.n for x in graph.motifs(edges).collect()} == want
+    assert graph.motifs(edges.limit(0)).count() == 0
+
+
 def test_files(spark, path, tmp_path):
     with pytest.warns(UserWarning):
         rows = files.load_pathway_files(spark, {"a": path, "b": str(tmp_path / "none.csv")}, config.PRESETS["strong"])

@@ -4,6 +4,7 @@ import difflib
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,48 @@ def test_suggestions_by_brute_force(spark):
         assert [x for _, x in own] == difflib.get_close_matches(a.lower(), known, 5, 0.6)
 
 
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.85])
+def test_suggestions_of_many_names(spark, cutoff):
+    """Names of all lengths, repeated characters and letters outside ASCII, against every pair."""
+    r = random.Random(11)
+    known = sorted({"".join(r.choice("aabcdé-日1 ") for _ in range(r.randrange(1, r.choice([4, 12, 30])))) for _ in range(150)})
+    asked = sorted({"".join(r.choice("aabcdé-日1 X") for _ in range(r.randrange(1, 14))) for _ in range(25)} | set(known[:10])) + [""]
+    found = names.suggestions(spark.createDataFrame([(a,) for a in [*asked, None]], "name string"), spark.createDataFrame([(k,) for k in [*known, None, ""]], "alias string"), n=3, cutoff=cutoff).collect()
+    for a in asked:
+        own = sorted(((x.similarity, x.alias) for x in found if x.name == a), reverse=True)
+        assert [x for _, x in own] == (difflib.get_close_matches(a.lower(), known, 3, cutoff) if a else [])
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_names_in_labels(spark, whole):
+    """The automaton and the grams give the same: every name in every label, one by one."""
+    from quillon.operators import matching
+
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abAB1_ .\\é(") for _ in range(n))
+    known = sorted({word(r.randrange(1, 6)) for _ in range(120)} | {"A", "a", r"\E"})
+    labels = [(str(i), word(r.randrange(0, 25))) for i in range(80)] + [("n", None)]
+    is_word = lambda t, i: 0 <= i < len(t) and (t[i] == "_" or t[i].isascii() and t[i].isalnum())
+    at = lambda t, n: [i for i in range(len(t) - len(n) + 1) if t.startswith(n, i)]
+    ok = lambda t, i, k: not whole or (is_word(t, i - 1) != is_word(t, i) and is_word(t, i + k - 1) != is_word(t, i + k))
+    want = sorted((i, n) for i, t in labels if t for n in known if any(ok(t.lower(), x, len(n)) for x in at(t.lower(), n.lower())))
+    rows, own = spark.createDataFrame(labels, "low string, label string"), spark.createDataFrame([(n,) for n in [*known, known[0], None, ""]], "word string")
+    for sent in (1 << 20, 0):
+        found = matching.contained(rows, "label", own, "word", whole, sent)
+        assert found.columns == ["low", "label", "name"] and sorted((x.low, x["name"]) for x in found.collect()) == want
+    assert matching.contained(rows, "label", own.limit(0), "word").count() == 0
+
+
+def test_many_names(spark):
+    """200,000 names and no cap."""
+    from quillon.operators import matching
+
+    known = spark.range(200_000).select(F.format_string("n%06d", "id").alias("word"))
+    labels = spark.range(0, 200_000, 1000).select(F.format_string("cell n%06d and n%06d", "id", F.col("id") + 7).alias("label"))
+    for sent in (1 << 26, 0):
+        assert matching.contained(labels, "label", known, "word", True, sent).count() == 400
+
+
 def test_labels_of_sensilla_and_plain_names(spark):
     labels = spark.createDataFrame([("1", "an ab2A cell and pb1", 1.0, 1.0, 1.0), ("2", "Or42b (left)", 1.0, 1.0, 1.0), ("3", None, 1.0, 1.0, 1.0)], "root_id string, label string, x double, y double, z double")
     assert sorted((r.root_id, r["class"]) for r in annotate.classes(labels, list(annotate.CLASSES)).collect()) == [("1", "sensillum_ab"), ("1", "sensillum_pb"), ("2", "or")]
@@ -101,3 +144,20 @@ def test_rdata_objects(spark):
     assert sorted(found) == ["map", "response"] and found["response"].columns == ["rownames", "Or1a"] and found["response"].count() == 2
     with pytest.raises(ValueError):
         files.rdata_tables(spark, {"odor": frame})
+
+
+def test_running_and_grouped_quantiles(spark):
+    """A hot group over several ranges, a null group, ties and a group without values."""
+    r = random.Random(3)
+    rows = [("hot", r.randrange(40), i) for i in range(600)] + [(r.choice(["a", "b", None]), r.randrange(9), i) for i in range(600, 700)] + [("none", None, 701), ("one", 5, 702)]
+    df = spark.createDataFrame(rows, "g string, v long, i long")
+    ahead = {x.i: x.ahead for x in ranges.running(df.fillna(0, ["v"]), ["g"], ["v", "i"], "v").collect()}
+    for g in {x[0] for x in rows}:
+        total = 0
+        for v, i in sorted((v or 0, i) for x, v, i in rows if x == g):
+            assert ahead[i] == total
+            total += v
+    for share in (0.5, 0.9):
+        found = {x.g: x.q for x in ranges.quantiles(df, ["g"], "v", share, "q").collect()}
+        want = {g: np.quantile(own, share) if (own := [v for x, v, _ in rows if x == g and v is not None]) else None for g in {x[0] for x in rows}}
+        assert found == pytest.approx(want)
