@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, ratio
+from ..functions.pvalues import of_correlation
 
 
 def _against(response: DataFrame, target) -> DataFrame:
@@ -31,18 +32,20 @@ def by_distance(response: DataFrame, target, k: int | None = 10) -> DataFrame:
 
 
 def channel_correlations(response: DataFrame) -> DataFrame:
-    """(c1, c2, r) for c1 < c2: correlation over the items that both channels have.
+    """(c1, c2, r, n, p) for c1 < c2: correlation over the n items that both channels have, and its two-sided p-value.
 
     Rows meet by item, so an item adds its channels' pairs (as many as the channels' number squared, not the items'),
     which are summed before they are shuffled again.
     """
     r = response.filter("response is not null")
     a, b = r.select("item", F.col("channel").alias("c1"), F.col("response").alias("x")), r.select("item", F.col("channel").alias("c2"), F.col("response").alias("y"))
-    return a.join(b, "item").filter("c1 < c2").groupBy("c1", "c2").agg(correlation(F.col("x"), F.col("y")).alias("r"))
+    own = a.join(b, "item").filter("c1 < c2").groupBy("c1", "c2").agg(correlation(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"))
+    return own.withColumn("p", of_correlation(F.col("r"), F.col("n")))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
-    """Pairs in both orders, and 1 for each channel with itself."""
+    """(c1, c2, r): pairs in both orders, and 1 for each channel with itself."""
+    pairs = pairs.select("c1", "c2", "r")
     back = pairs.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "r")
     own = pairs.select("c1").union(pairs.select("c2")).distinct().select("c1", F.col("c1").alias("c2"), F.lit(1.0).alias("r"))
     return pairs.unionByName(back).unionByName(own)

@@ -1,4 +1,4 @@
-"""Two-sample and correlation statistics as Spark aggregates; p-values are scalars of functions.pvalues."""
+"""Two-sample and correlation statistics as Spark aggregates, with their p-values."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, ratio
+from ..functions.pvalues import of_correlation, of_rank_sum
 from .ranges import cumulated, quantile
 
 
@@ -16,13 +17,17 @@ def average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def pearson(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(correlation(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n"))
+    """(r, n, p) of the pairs with both values."""
+    own = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(correlation(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n"))
+    return own.withColumn("p", of_correlation(F.col("r"), F.col("n")))
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """(rho, n, p) of the pairs with both values."""
     both = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     ranked = average_rank(average_rank(both, x, "rank_x"), y, "rank_y")
-    return ranked.agg(correlation(F.col("rank_x"), F.col("rank_y")).alias("rho"), F.count("*").alias("n"))
+    own = ranked.agg(correlation(F.col("rank_x"), F.col("rank_y")).alias("rho"), F.count("*").alias("n"))
+    return own.withColumn("p", of_correlation(F.col("rho"), F.col("n")))
 
 
 def linear_fit(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -37,13 +42,14 @@ def median_split(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:
-    """(n1, n2, u, ties): U of the rows where group is true against the others, and the sum of t**3 - t over ties."""
+    """(n1, n2, u, ties, p): U of the rows where group is true against the others, and the sum of t**3 - t over ties."""
     own = rows.filter(F.col(value).isNotNull() & group.isNotNull()).select(F.col(value).alias("v"), group.alias("g"))
     ranks = average_rank(own, "v", "rank")
     ties = own.groupBy("v").agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).cast("long").alias("ties"))
     n1, n2 = F.count_if("g"), F.count_if(~F.col("g"))
     stats = ranks.agg(n1.alias("n1"), n2.alias("n2"), F.sum(F.when(F.col("g"), F.col("rank"))).alias("r1"))
-    return stats.join(F.broadcast(ties)).select("n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), "ties")
+    own = stats.join(F.broadcast(ties)).select("n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), "ties")
+    return own.withColumn("p", of_rank_sum(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties")))
 
 
 def cohen_d(rows: DataFrame, value: str, group: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.numeric import edge_width, subnetwork_edge_width
 from ..sources.tables import written
 from ..operators import annotate, graph, integrate, network, response, similarity, spatial, statistics
 from . import bindings as b
+from .response_queries import student_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,12 +78,20 @@ def _paths(s: Spark, d: str, to: str | None = None) -> DataFrame:
     return network.two_hop(edges, nodes, region="NATION_3", to_region=to)
 
 
-@query("SELECT source, middle, target, step1, step2 FROM paths", **PNE, paths=_TWO_HOP)
+#: The same paths straight from the lines, each table made once.
+_LINES = {
+    "l": "MATERIALIZED (SELECT o_custkey AS c, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "one": "MATERIALIZED (SELECT c, p, sum(q)::BIGINT AS step1 FROM l JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' GROUP BY c, p)",
+    "two": "MATERIALIZED (SELECT p, s, sum(q)::BIGINT AS step2 FROM l GROUP BY p, s)",
+}
+
+
+@query("SELECT 'c' || c AS source, 'p' || one.p AS middle, 's' || s AS target, step1, step2 FROM one JOIN two ON one.p = two.p", **_LINES)
 def two_hop_paths(s: Spark, d: str) -> DataFrame:
     return _paths(s, d).filter("source like 'c%'").select("source", "middle", "target", "step1", "step2")
 
 
-@query("SELECT source, middle, target, step2 FROM paths WHERE target_region = 'NATION_7'", **PNE, paths=_TWO_HOP)
+@query("SELECT 'c' || c AS source, 'p' || one.p AS middle, 's' || s AS target, step2 FROM one JOIN two ON one.p = two.p JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7'", **_LINES)
 def paths_between(s: Spark, d: str) -> DataFrame:
     return _paths(s, d, "NATION_7").select("source", "middle", "target", "step2")
 
@@ -319,20 +328,24 @@ def tuning_vs_connectivity(s: Spark, d: str) -> DataFrame:
     return _tuning(s, d).withColumn("r", F.round("r", 8))
 
 
-@query("SELECT round(covar_pop(r, weight) / (stddev_pop(r) * stddev_pop(weight)), 8) AS r, count(*) AS n FROM pairs", **T)
+@query(f"SELECT round(r, 8) AS r, n, round({student_sql('r', 'n')}, 8) + 0.0 AS p FROM (SELECT covar_pop(r, weight) / (stddev_pop(r) * stddev_pop(weight)) AS r, count(*) AS n FROM pairs)", **T)
 def pearson(s: Spark, d: str) -> DataFrame:
-    return statistics.pearson(_tuning(s, d), "r", "weight").withColumn("r", F.round("r", 8))
+    return statistics.pearson(_tuning(s, d), "r", "weight").select(F.round("r", 8).alias("r"), "n", (F.round("p", 8) + 0.0).alias("p"))
 
 
-@query("SELECT round(covar_pop(a, z) / (stddev_pop(a) * stddev_pop(z)), 8) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS z FROM lineitem)")
+@query(f"SELECT round(rho, 8) AS rho, n, round({student_sql('rho', 'n')}, 8) + 0.0 AS p FROM (SELECT covar_pop(a, z) / (stddev_pop(a) * stddev_pop(z)) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE AS z FROM lineitem))")
 def spearman(s: Spark, d: str) -> DataFrame:
-    return statistics.spearman(b.table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 8))
+    return statistics.spearman(b.table(s, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select(F.round("rho", 8).alias("rho"), "n", (F.round("p", 8) + 0.0).alias("p"))
+
+
+#: Two-sided tail of z in (0, 5) by the series of the error function.
+_TAIL = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(z / sqrt(2)) - lgamma(j + 1)) / (2 * j + 1)))"
 
 
-@query("""SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(k) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u, (SELECT coalesce(sum(t * t * t - t), 0)::BIGINT FROM (SELECT count(*) AS t FROM lineitem GROUP BY l_quantity)) AS ties
-    FROM (SELECT l_returnflag = 'R' AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS k FROM lineitem)""")
+@query(f"""SELECT n1, n2, u, ties, round(CASE WHEN z <= 0 THEN 1 ELSE {_TAIL} END, 8) + 0.0 AS p FROM (SELECT *, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z FROM (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(k) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u, (SELECT coalesce(sum(t * t * t - t), 0)::BIGINT FROM (SELECT count(*) AS t FROM lineitem GROUP BY l_quantity)) AS ties
+    FROM (SELECT l_returnflag = 'R' AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS k FROM lineitem)))""")
 def mannwhitney_u(s: Spark, d: str) -> DataFrame:
-    return statistics.mann_whitney(b.table(s, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R")
+    return statistics.mann_whitney(b.table(s, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R").withColumn("p", F.round("p", 8) + 0.0)
 
 
 @query("SELECT round((avg(l_discount) FILTER (l_returnflag = 'R') - avg(l_discount) FILTER (l_returnflag != 'R')) / sqrt((var_pop(l_discount) FILTER (l_returnflag = 'R') + var_pop(l_discount) FILTER (l_returnflag != 'R')) / 2), 8) AS d FROM lineitem")

@@ -136,9 +136,18 @@ def similar_euclid(s: Spark, d: str) -> DataFrame:
     return similarity.by_distance(b.sparse(s, d), 3, k=None).withColumn("similarity", F.round("similarity", 8))
 
 
-@query(f"SELECT x.channel AS c1, y.channel AS c2, round({_CORR.format(x='x.response', y='y.response')}, 8) AS r FROM r x JOIN r y USING (item) WHERE x.channel < y.channel GROUP BY ALL", r=b.SPARSE)
+def student_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by the finite sums for whole degrees of freedom."""
+    angle = f"atan(abs({r}) * sqrt(({n} - 2) / (1 - {r} * {r})) / sqrt({n} - 2))"
+    # even degrees: the sum over j < df / 2 of (1 3 .. (2j - 1)) / (2 4 .. 2j) cos^2j; odd ones: of (2 4 .. 2j) / (3 5 .. (2j + 1)) cos^2j
+    even = f"sin({angle}) * coalesce(list_sum(list_transform(range(0, ({n} - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5) + 2 * j * ln(cos({angle}))))), 0)"
+    odd = f"(2 / pi()) * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5) + 2 * j * ln(cos({angle}))))), 0))"
+    return f"(CASE WHEN abs({r}) >= 1 THEN 0 WHEN {n} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END)"
+
+
+@query(f"SELECT c1, c2, round(r, 8) AS r, n, round({student_sql('r', 'n')}, 8) + 0.0 AS p FROM (SELECT x.channel AS c1, y.channel AS c2, {_CORR.format(x='x.response', y='y.response')} AS r, count(*) AS n FROM r x JOIN r y USING (item) WHERE x.channel < y.channel GROUP BY ALL)", r=b.SPARSE)
 def channel_corr_matrix(s: Spark, d: str) -> DataFrame:
-    return similarity.channel_correlations(b.sparse(s, d)).withColumn("r", F.round("r", 8))
+    return similarity.channel_correlations(b.sparse(s, d)).withColumns({"r": F.round("r", 8), "p": F.round("p", 8) + 0.0})
 
 
 @query(f"""SELECT query, item, round(similarity, 8) AS similarity FROM (SELECT t.item AS query, a.item, {_CORR.format(x='a.response', y='t.response')} AS similarity FROM r a JOIN r t USING (channel) WHERE t.item % 20 = 0 AND a.item != t.item GROUP BY ALL)
