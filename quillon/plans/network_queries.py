@@ -502,3 +502,8 @@ def point_threshold(s: Spark, d: str) -> DataFrame:
 @query()
 def kmeans(s: Spark, d: str) -> DataFrame:
     return spatial.clusters(b.points(s, d), 4).select("item", "cluster")
+
+
+@query()
+def hierarchical(s: Spark, d: str) -> DataFrame:
+    return spatial.clusters(b.points(s, d), 4, "hierarchical").select("item", "cluster")
