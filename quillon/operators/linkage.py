@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 from .graph import components
 
-#: Clusters that are compared all with all, and clusters in a grid cell when the grid begins.
+#: Clusters that merge in one task, and clusters in a grid cell when the grid begins.
 SMALL, CROWD = 1000, 64
 AXES = ("x", "y", "z")
 
@@ -28,44 +30,68 @@ def _first_side(clusters: DataFrame, crowd: int) -> float:
     return side
 
 
-def near(clusters: DataFrame, limit: float | None) -> DataFrame:
-    """(id, other, height): pairs of clusters whose merge costs at most limit (any, without one), in both orders.
+def near(clusters: DataFrame, limit: float) -> DataFrame:
+    """(id, other, height): pairs of clusters whose merge costs at most limit, in both orders.
 
     The cost is n m / (n + m) times the squared distance of the centres. So the smaller of two, of 2**s to 2**(s + 1)
     points, has its partner within the root of 2 limit / 2**s, and looks around itself in a grid of that side, in which
     all clusters of at least its size are.
     """
-    if limit is None:
-        own, others = (clusters.withColumn("at", F.lit(0)) for _ in range(2))
-        on = ["at"]
-    else:
-        sized = clusters.withColumn("s", F.floor(F.log2("n")).cast("int"))
-        side = F.sqrt(2 * F.lit(limit) / F.pow(F.lit(2.0), F.col("level")))
-        on = ["level", *(f"c{c}" for c in AXES)]
-        own = sized.withColumn("level", F.col("s")).select("*", *_cells(side))
-        for c in AXES:
-            own = own.withColumn("step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.col(f"c{c}") + F.col("step")).drop("step")
-        others = sized.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("s")))).select("*", *_cells(side))
+    sized = clusters.withColumn("s", F.floor(F.log2("n")).cast("int"))
+    side = F.sqrt(2 * F.lit(limit) / F.pow(F.lit(2.0), F.col("level")))
+    on = ["level", *(f"c{c}" for c in AXES)]
+    own = sized.withColumn("level", F.col("s")).select("*", *_cells(side))
+    for c in AXES:
+        own = own.withColumn("step", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"c{c}", F.col(f"c{c}") + F.col("step")).drop("step")
+    others = sized.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("s")))).select("*", *_cells(side))
     a = own.select(*on, "id", "n", *AXES)
     b = others.select(*on, F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in AXES])
     d2 = reduce(lambda s, c: s + (F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")), AXES, F.lit(0.0))
     pairs = a.join(b, on).filter("id != other").withColumn("height", F.col("n") * F.col("m") / (F.col("n") + F.col("m")) * d2)
-    if limit is None:
-        return pairs.select("id", "other", "height")
     pairs = pairs.filter(F.col("height") <= limit).select("id", "other", "height")
     return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "height")).distinct()
 
 
+def last_merges(clusters: DataFrame) -> DataFrame:
+    """(keep, gone, height) of all merges of a bounded number of clusters, in one task: the cheapest first, the costs of a new cluster by those of its parts."""
+    names = [f"{c}{k}" for k in (1, 2) for c in AXES]
+    ddl = ", ".join(f"{c} double" for c in [*names, "height"])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.array([table.column(c).to_numpy() for c in (*AXES, *("i" + c for c in AXES), "n")], float).T
+        rows = rows[np.lexsort(rows[:, 5:2:-1].T)]  # in the order of their names
+        n, ids = rows[:, 6].copy(), rows[:, 3:6]
+        d2 = ((rows[:, None, :3] - rows[None, :, :3]) ** 2).sum(axis=2)
+        cost = n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * d2
+        np.fill_diagonal(cost, np.inf)
+        out = []
+        for _ in range(len(n) - 1):
+            a, b = divmod(int(cost.argmin()), len(n))
+            out.append([*ids[a], *ids[b], cost[a, b]])
+            new = ((n[a] + n) * cost[a] + (n[b] + n) * cost[b] - n * cost[a, b]) / (n[a] + n[b] + n)
+            n[a] += n[b]
+            cost[a], cost[:, a], cost[b], cost[:, b] = new, new, np.inf, np.inf
+            cost[a, [a, b]] = cost[[a, b], a] = np.inf
+        return pa.table([pa.array(c, pa.float64()) for c in np.array(out, float).reshape(-1, 7).T], names=[*names, "height"])
+
+    own = clusters.select(F.lit(0).alias("all"), *AXES, *[F.col(f"id.{c}").alias(f"i{c}") for c in AXES], "n")
+    named = lambda k: F.struct(*[F.col(f"{c}{k}").alias(c) for c in AXES])
+    return own.groupBy("all").applyInArrow(run, ddl).select(named(1).alias("keep"), named(2).alias("gone"), "height")
+
+
 def merges(clusters: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD) -> tuple[DataFrame | None, int]:
     """(keep, gone, height) of all merges up to a height at which at most k clusters are left, and how many are left.
 
     Ward's cost never falls when others merge, so pairs that are each other's best partner may merge at once, in any
-    order, and give the same tree. With many clusters only merges below a limit are looked for, which grows fourfold
-    when there are none.
+    order, and give the same tree. Only merges below a limit are looked for, which grows fourfold when there are none.
+    The last `small` clusters merge in one task.
     """
-    left, done = clusters.count(), None
-    limit = None if left <= small else _first_side(clusters, crowd) ** 2 / 2
+    left, done, limit = clusters.count(), None, None
     while left > 1:
+        if left <= small:
+            new = written(last_merges(clusters), "merges")
+            return new if done is None else done.unionByName(new), 1
+        limit = _first_side(clusters, crowd) ** 2 / 2 if limit is None else limit
         order = F.struct("height", F.least("id", "other"), F.greatest("id", "other"))
         best = written(near(clusters, limit).groupBy("id").agg(F.min_by(F.struct("other", "height"), order).alias("best")).select("id", "best.*"), "best")
         both = best.join(best.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_semi").filter("id < other")
@@ -74,7 +100,7 @@ def merges(clusters: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD)
         if not n:
             if left <= k:
                 break
-            limit = None if left <= small else limit * 4
+            limit *= 4
             continue
         done = new if done is None else done.unionByName(new)
         named = clusters.join(new.select(F.col("gone").alias("id"), "keep"), "id", "left").withColumn("id", F.coalesce("keep", "id")).drop("keep")

@@ -45,7 +45,7 @@ def places(r, n):
 def test_ward(spark, small):
     r = random.Random(5)
     own = places(r, 200) + [[1.0, 2.0, 3.0]] * 7 + [[1.0, 2.0, 3.5]]
-    for k in (5,) if small == 1000 else (12,):
+    for k in (5, 40) if small == 1000 else (12,):
         found = linkage.ward(table(spark, own), k, small=small, crowd=8)
         assert {x.cluster for x in found.select("cluster").distinct().collect()} == set(range(k))
         assert groups(found) == brute_ward(own, k)
