@@ -10,13 +10,12 @@ Fitting takes at most about `per_language` labelled texts of each language, chos
 is a parameter, and is all that limits it. Words of any length count; one of over PART bytes is counted in parts of at
 most so many, cut between characters. A null text, one without a letter, and any text where nothing could be
 learned is `und` with score 0. Repeated rows are predicted alike, each for itself, and languages that tie go to the
-first by name; an empty table gives an empty one. Columns named like the two new ones, in either case, are replaced.
+first by name; an empty table gives an empty one; a very long text is scored in chunks. Columns named like the two new ones, in either case, are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,8 @@ PART, PLACES = 4096, 1 << 20
 #: Places of one long word whose pieces are looked up at once.
 AHEAD = 1 << 16
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: number signs, Roman ones too, are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def default_ranks() -> str:

@@ -2,8 +2,9 @@
 
 Natural words, identifiers and numbers take few tokens for their length; random strings take many. A string of at
 least RUN characters is a secret when it has at most RATIO characters a token, unless it is a digest, a UUID, a number,
-an identifier of words or a part of a pattern's match. A part of an identifier is a word when it has at most WORD
-letters, or in lower case is one token or has more than RATIO characters a token. A null text is empty. Spans are in code points,
+an identifier of words or a part of a pattern's match. A part of an identifier is a word when in lower case it is one
+token or has more than RATIO characters a token; parts of at most WORD letters are judged together: at least half of
+them are one token, or all parts of the identifier together have more than RATIO letters a token. A null text is empty. Spans are in code points,
 their end exclusive; spans that begin together are ordered by kind. All patterns take time in proportion to a text's
 length, however long it is. Repeated rows are found each for itself, an empty table gives an empty one, and only the
 two named columns are read (redact keeps the others as they are).
@@ -22,7 +23,7 @@ from .common import map_rows
 KINDS = ("assign", "access", "hex", "random")
 #: A random string: least length, most characters a token.
 RUN, RATIO = 20, 2.0
-#: Letters up to which any part of an identifier counts as a word.
+#: Letters up to which parts of an identifier are judged together.
 WORD = 3
 
 # The three patterns and what a match must have.
@@ -63,14 +64,17 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(found)
 
-    def is_word(self, part: str) -> bool:
-        n = 1 if len(part) <= WORD else len(self.codec.encode(part.lower()))
-        return n == 1 or len(part) > self.ratio * n
+    def are_words(self, parts: list[str]) -> bool:
+        sizes = [(len(p), len(self.codec.encode(p.lower()))) for p in parts]
+        if not all(n == 1 or size > self.ratio * n for size, n in sizes if size > WORD):
+            return False
+        short = [n for size, n in sizes if size <= WORD]
+        return 2 * short.count(1) >= len(short) or sum(size for size, _ in sizes) > self.ratio * sum(n for _, n in sizes)
 
     def is_random(self, s: str) -> bool:
         if PLAIN.fullmatch(s) or len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s):
             return False
-        if IDENTIFIER.fullmatch(s) and all(self.is_word(p) for p in PART.findall(s)):
+        if IDENTIFIER.fullmatch(s) and self.are_words(PART.findall(s)):
             return False
         return len(s) <= self.ratio * len(self.codec.encode(s))
 

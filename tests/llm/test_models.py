@@ -62,13 +62,13 @@ def test_forward_sums_every_segmentation():
 
 
 def test_identify(spark):
-    odd = [(1000, None, "en", None), (1001, "12 34 ?!", "en", None), (1002, "", None, None), (None, "und der die das", None, None), (1003, "the " * 50_000, None, None), (1003, "le la", None, None)]
+    odd = [(1000, None, "en", None), (1001, "12 34 ?!", "en", None), (1002, "", None, None), (1004, "½ ² 42", "en", None), (1005, "①②③ Ⅳ", None, None), (None, "und der die das", None, None), (1003, "the " * 50_000, None, None), (1003, "le la", None, None)]
     rows = docs()
     found = langid.identify(spark.createDataFrame(rows + odd, SCHEMA)).select("doc_id", "lang", "lang_pred", "score", langid.held_out().alias("held_out")).collect()
     assert len(found) == len(rows) + len(odd)
     held = [x for x in found if x.held_out and x.doc_id is not None and x.doc_id < 1000]
     assert len(held) > 20 and sum(x.lang == x.lang_pred for x in held) / len(held) > 0.95
-    assert {x.lang_pred for x in found if x.doc_id in (1000, 1001, 1002)} == {"und"}
+    assert {x.lang_pred for x in found if x.doc_id in (1000, 1001, 1002, 1004, 1005)} == {"und"}
     assert [x.lang_pred for x in found if x.doc_id is None] == ["de"] and all(0 <= x.score <= 1 for x in found)
 
 

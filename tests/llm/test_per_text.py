@@ -73,9 +73,9 @@ def test_secrets(spark):
 def test_random_letters():
     scanner = secrets.Scanner(secrets.default_ranks())
     letters = "qzxkvjwpmnbtrdlfghscyewq"
-    for s in (letters, letters.upper(), letters.capitalize(), f"{letters}_12", "qzxkvj_wpmnbt_rdlfgh_scyewq", "QZXKV-JWPMN-BTRDL-FGHSC", "qzxkvjWpmnbtRdlfghScyewq"):
+    for s in (letters, letters.upper(), letters.capitalize(), f"{letters}_12", "qzxkvj_wpmnbt_rdlfgh_scyewq", "QZXKV-JWPMN-BTRDL-FGHSC", "qzxkvjWpmnbtRdlfghScyewq", "qzx-kvj-wpm-nbt-rdl-fgh", "QZX_KVJ_WPM_NBT_RDL_FGH", "kAbcXyzQwrTbcDfgHjk_12"):
         assert scanner.scan(f"see {s} here") == [(4, 3, 4 + len(s))], s
-    for s in ("MAX_HTTP_URL_LEN_IN_DB_V2", "internationalization_of_words", "SOME_LONG_CONSTANT_NAME_HERE", "COUNTERREVOLUTIONARIES", "getValueOfFirstItemInList", "1234567890123456789012", "_" * 30):
+    for s in ("MAX_HTTP_URL_LEN_IN_DB_V2", "internationalization_of_words", "SOME_LONG_CONSTANT_NAME_HERE", "COUNTERREVOLUTIONARIES", "getValueOfFirstItemInList", "src_idx_ptr_buf_cnt_len_max", "get_id_of_the_user_by_key", "MAX_BUF_LEN_FOR_TCP_IP_ACK", "1234567890123456789012", "_" * 30):
         assert not scanner.scan(f"see {s} here"), s
     for n in (60, 50_000):  # neither ended before
         scanner.scan("a" * n + "12345")
