@@ -407,6 +407,15 @@ def layered_layout(s: Spark, d: str) -> DataFrame:
     return graph.layered_positions(b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("region")), "region").select("id", "x", "y")
 
 
+@query("SELECT dense_rank() OVER (ORDER BY item) - 1 AS row, item, channel, response FROM r", r=b.DENSE)
+def npy_shards(s: Spark, d: str) -> DataFrame:
+    """Vectors written as .npy shards and read again in ranges of rows, with the items of their rows."""
+    path = place(s, "vectors")
+    sinks.write_training(b.table(s, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), path, "npy")
+    rows = s.read.format("npy").option("rangeBytes", 1 << 16).load(path).join(s.read.parquet(f"{path}.items"), "row")
+    return rows.select("row", "item", F.posexplode("vector").alias("channel", "response"))
+
+
 # --- graph algorithms on the whole connection graph, which grows with the tables
 
 

@@ -1,13 +1,12 @@
 """Writers: caches, CSV and JSON tables, graph files, arrays for training, text reports.
 
-Tables and graph files are written by Spark. Arrays and reports are single local files of small results.
+All are written by Spark, arrays by its source `npy`; reports are text for small results.
 """
 
 from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
-from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame
@@ -15,10 +14,13 @@ from pyspark.sql import functions as F
 
 from .operators import graph, network
 from .operators import response as queries
+from .operators.ranges import running
+from .sources import npy
+from .sources.tables import written
 
 
 def write_cache(response: DataFrame, metadata: DataFrame, folder: str) -> dict:
-    """The response and metadata tables as Parquet and CSV, and their profile, which is returned and written as JSON."""
+    """The response and metadata tables as Parquet and CSV, the matrix as .npy shards (0 for missing cells), and their profile, which is returned and written as JSON."""
     response.write.mode("overwrite").parquet(f"{folder}/response")
     metadata.write.mode("overwrite").parquet(f"{folder}/metadata")
     own = response.sparkSession.read.parquet(f"{folder}/response")
@@ -27,6 +29,7 @@ def write_cache(response: DataFrame, metadata: DataFrame, folder: str) -> dict:
     own.select("channel").distinct().write.mode("overwrite").csv(f"{folder}/channels_csv", header=True)
     facts = queries.profile(own).first().asDict()
     facts["channels"] = {r.channel: r.n_tested for r in queries.channel_coverage(own).collect()}
+    write_training(queries.encode(own, sorted(facts["channels"])), f"{folder}/response_npy", "npy")
     facts["digest"] = table_digest(own)
     facts["created"] = datetime.now(timezone.utc).isoformat()
     own.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/profile")
@@ -113,16 +116,16 @@ def write_points(points: DataFrame, path: str, format: str = "csv") -> None:
 
 
 def write_training(vectors: DataFrame, path: str, format: str = "parquet") -> None:
-    """(item, vector[, label]) for training: Parquet, or a local .npy file with its items beside it as JSON."""
+    """(item, vector[, label]) for training: Parquet, or a folder of .npy shards in the order of the items, whose rows `path.items` names."""
     if format == "parquet":
         vectors.write.mode("overwrite").parquet(path)
     elif format == "npy":
-        import numpy as np
-
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        rows = vectors.orderBy("item").select("item", "vector").toPandas()
-        np.save(path, np.array(rows.vector.tolist(), np.float32))
-        Path(f"{path}.json").write_text(json.dumps({"items": [str(i) for i in rows["item"]]}))
+        rows = running(vectors.withColumn("one", F.lit(1)), [], ["item"], "one", "row").drop("one")
+        rows = written(rows, "rows")
+        spark = npy.registered(vectors.sparkSession)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartitionByRange(n, "row").sortWithinPartitions("row").select("vector").write.format("npy").mode("overwrite").save(path)
+        rows.drop("vector").write.mode("overwrite").parquet(f"{path}.items")
     else:
         raise ValueError(f"unknown format {format!r}; parquet or npy")
 

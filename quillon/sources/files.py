@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.numeric import number
 from ..operators.network import by_strength, by_types
+from ..operators.ranges import running
+from . import npy
 from .tables import written
 from ..schemas import ALIAS_FILE, PATHWAY_FILE, PATHWAY_NAMES, REGION_MATRIX_FILE
 
@@ -46,7 +48,7 @@ def transposed(response: DataFrame) -> DataFrame:
 def load_response(spark: SparkSession, path: str, format: str = "parquet", key: str | None = None, names: tuple[str, str] | None = None) -> DataFrame:
     """A response matrix in long form. The key is the first column by default.
 
-    npy files have no names, so `names` gives the paths of the items' and the channels' index files (CSV, one column);
+    npy files (one, or a folder of shards) have no names, so `names` gives the paths of the items' and the channels' index files (CSV, one column);
     they were written with 0 for missing cells.
     """
     if format not in FORMATS:
@@ -59,15 +61,12 @@ def load_response(spark: SparkSession, path: str, format: str = "parquet", key:
 
 
 def _load_npy(spark: SparkSession, path: str, names: tuple[str, str]) -> DataFrame:
-    import io
-
-    import numpy as np
-
-    data = spark.read.format("binaryFile").load(path).first().content
-    matrix = np.load(io.BytesIO(bytes(data)))
-    items, channels = ([r[0] for r in spark.read.csv(p, header=True).collect()] for p in names)
-    rows = [(i, c, k, float(v)) for i, line in zip(items, matrix) for k, (c, v) in enumerate(zip(channels, line))]
-    return spark.createDataFrame(rows, "item string, channel string, channel_ord int, response double")
+    items = numbered(spark.read.csv(names[0], header=True)).withColumn("one", F.lit(1))
+    items = running(items, [], ["row_ord"], "one", "row").select(F.col(items.columns[0]).alias("item"), "row")
+    channels = [r[0] for r in spark.read.csv(names[1], header=True).collect()]  # a dimension: the matrix's width
+    rows = npy.registered(spark).read.format("npy").load(path).join(items, "row")
+    cells = rows.select("item", F.posexplode("vector").alias("channel_ord", "response"))
+    return cells.select("item", F.get(F.array(*map(F.lit, channels)).cast("array<string>"), F.col("channel_ord")).alias("channel"), "channel_ord", "response").filter("channel is not null")
 
 
 def load_matrix_by_channel(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

@@ -1,5 +1,6 @@
 """Responses, names, codes, doses, labels and space on small tables."""
 
+import json
 import math
 import random
 
@@ -11,7 +12,7 @@ from quillon import cli, sinks
 from quillon.functions import names, numeric, pvalues
 from quillon.operators import annotate, dose, encoding, integrate, predict, response, similarity, spatial, statistics
 from quillon.plans import protocols
-from quillon.sources import files
+from quillon.sources import files, npy
 from quillon.streaming import counts
 
 
@@ -190,7 +191,8 @@ def test_cache_and_reports(spark, table, tmp_path, capsys):
     with pytest.raises(ValueError):
         sinks.write_table(table, "x.doc")
     sinks.write_training(response.encode(table, ["Or1a", "Or2a"]), str(tmp_path / "t" / "v.npy"), "npy")
-    assert np.load(tmp_path / "t" / "v.npy").shape == (20, 2)
+    shards = [np.load(tmp_path / "t" / "v.npy" / name) for name in json.loads((tmp_path / "t" / "v.npy" / "_shards.json").read_text())]
+    assert np.concatenate(shards).shape == (20, 2)
     cli.main([f"{folder}/response", "report"])
     cli.main([f"{folder}/response", "similar", "i03", "-n", "3"])
     assert "# Response table" in capsys.readouterr().out
@@ -207,3 +209,32 @@ def test_streams(spark, tmp_path):
     query = counts.coverage(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("coverage").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r.channel: (r.n_tested, r.n_active) for r in spark.table("coverage").collect()} == {"x": (1, 1), "y": (1, 0)}
+
+
+def test_npy_source(spark, tmp_path):
+    """Ranges of rows of files in either order and of several types; shards, empty partitions, failures, and writing again."""
+    own = npy.registered(spark)
+    r = np.random.default_rng(1)
+    x = r.integers(-50, 50, (1000, 7))
+    for k, (kind, order) in enumerate((("<f4", "C"), ("<f8", "F"), (">i2", "C"), ("<i8", "F"))):
+        path = str(tmp_path / f"{k}.npy")
+        np.save(path, np.asarray(x, kind, order))
+        found = own.read.format("npy").option("rangeBytes", 999).load(path)
+        assert found.rdd.getNumPartitions() > 10
+        rows = found.orderBy("row").collect()
+        assert [a.row for a in rows] == list(range(1000)) and np.array_equal([a.vector for a in rows], x)
+    np.save(tmp_path / "one.npy", np.arange(5.0))
+    assert [a.vector for a in own.read.format("npy").load(str(tmp_path / "one.npy")).orderBy("row").collect()] == [[float(i)] for i in range(5)]
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, [float(i), i / 2]) for i in range(100)], "i long, vector array<double>")
+    for _ in range(2):  # the second one replaces the first
+        df.repartitionByRange(9, "i").sortWithinPartitions("i").select("vector").write.format("npy").option("dtype", "float64").mode("overwrite").save(out)
+        assert [a.vector[0] for a in own.read.format("npy").load(out).orderBy("row").collect()] == list(range(100))
+    df.limit(3).write.format("npy").option("dtype", "float64").mode("append").save(out)
+    assert own.read.format("npy").load(out).count() == 103 and not list((tmp_path / "out").glob("_*-*"))
+    for bad in ([(0, [1.0]), (1, [1.0, 2.0])], [(0, None)]):
+        with pytest.raises(Exception):
+            spark.createDataFrame(bad, df.schema).coalesce(1).write.format("npy").mode("append").save(out)
+    assert own.read.format("npy").load(out).count() == 103
+    with pytest.raises(Exception):
+        own.read.format("npy").load(str(tmp_path / "none.npy")).count()
