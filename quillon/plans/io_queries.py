@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import groups, names
-from ..operators import dose, encoding, graph, network, predict, response
+from ..operators import dose, encoding, graph, learning, network, predict, response
 from ..sources import config, files
 from ..sources.tables import shared_folder, written
 from . import bindings as b
@@ -416,6 +416,15 @@ def npy_shards(s: Spark, d: str) -> DataFrame:
     return rows.select("row", "item", F.posexplode("vector").alias("channel", "response"))
 
 
+@query()
+def classifier(s: Spark, d: str) -> DataFrame:
+    """Rounds of a classifier of all vectors by their labels, fitted on the first four fifths."""
+    e = b.table(s, d, "embeddings").select(F.col("vec_id").alias("item"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = learning.ordered_split(e, ["item"])
+    classes = (e.agg(F.max("label")).first()[0] or 0) + 1
+    return learning.train(rows, classes, hidden=(64, 32), rounds=6, rate=0.01)[1]
+
+
 # --- graph algorithms on the whole connection graph, which grows with the tables
 
 
