@@ -201,6 +201,14 @@ def test_cache_and_reports(spark, table, tmp_path, capsys):
         assert capsys.readouterr().out.count("\n") > 1, command
     of = spark.createDataFrame([("p", "Or1a", f"i{i:02}") for i in range(20)], "pathway string, channel string, item string")
     assert "Blocking p" in protocols.to_markdown(protocols.protocol(table, of, "p"))
+    known = {k: protocols.known_protocol(table.withColumn("channel", F.when(F.col("channel") == "Or1a", "Or47b").otherwise(F.col("channel"))).withColumn("item", F.when(F.col("item") == "i03", "1-hexanol").otherwise(F.col("item"))), k) for k in protocols.KNOWN}
+    assert [len(known[k]["steps"]) for k in (1, 2, 3, 6)] == [5, 4, 5, 4] and len({p["steps"][0]["action"] for p in known.values()}) == 4
+    assert known[6]["conditions"] == 30 and len(known[6]["steps"][0]["parameters"]["receptors"]) == 10 and len(known[1]["controls"]) == 4
+    assert all(json.loads(protocols.to_json(p))["number"] == k and p["title"] in protocols.to_markdown(p) for k, p in known.items())
+    own = protocols.own_protocol("Test", "It is needed.", ["Or92a"])
+    assert "Or92a" in protocols.to_markdown(own) and own["steps"][0]["parameters"]["receptors"] == ["Or92a"]
+    with pytest.raises(ValueError):
+        protocols.known_protocol(table, 4)
 
 
 def test_streams(spark, tmp_path):
