@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions.numeric import number
 from ..operators.network import by_strength, by_types
 from ..operators.ranges import running
-from . import npy
+from . import npy, rdata
 from .tables import written
 from ..schemas import ALIAS_FILE, PATHWAY_FILE, PATHWAY_NAMES, REGION_MATRIX_FILE
 
@@ -89,20 +89,12 @@ RDATA = {"response": ("response.matrix",), "raw": ("response.matrix_non.normaliz
 
 
 def load_rdata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The objects of an R data file by name, each a DataFrame with its row names, through the optional reader on the driver. The response matrix has to be there; the others may be absent."""
-    try:
-        import pyreadr
-    except ImportError as e:
-        raise ImportError("reading R data needs the pyreadr package; convert the file to Parquet or CSV instead") from e
-    return rdata_tables(spark, pyreadr.read_r(path), path)
-
-
-def rdata_tables(spark: SparkSession, objects: dict, path: str = "the file") -> dict[str, DataFrame]:
-    """The known ones of an R data file's pandas frames."""
+    """The known objects of an R data file by their kind, each a DataFrame with its row names. The response matrix has to be there; the others may be absent."""
+    objects = rdata.tables(spark, path)
     found = {kind: next((objects[n] for n in names if n in objects), None) for kind, names in RDATA.items()}
     if found["response"] is None:
         raise ValueError(f"{path} has no response matrix")
-    return {kind: spark.createDataFrame(frame.rename_axis("rownames").reset_index()) for kind, frame in found.items() if frame is not None}
+    return {kind: table for kind, table in found.items() if table is not None}
 
 
 def typed_csv(spark: SparkSession, path: str, schema: StructType, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -1,11 +1,13 @@
 """Work in ranges, random draws, groups of channels, and names by brute force."""
 
+import bz2
 import difflib
+import gzip
 import math
 import random
+import struct
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,12 +140,93 @@ def test_labels_of_sensilla_and_plain_names(spark):
     assert annotate.search(labels, ["(?P<x>a)", "Or\\d+"]).count() == 1  # the first is none of Java's
 
 
-def test_rdata_objects(spark):
-    frame = pd.DataFrame({"Or1a": [0.5, None]}, index=["K1", "K2"])
-    found = files.rdata_tables(spark, {"response.matrix": frame, "AL.map": frame, "unknown": frame})
-    assert sorted(found) == ["map", "response"] and found["response"].columns == ["rownames", "Or1a"] and found["response"].count() == 2
+class Encoder:
+    """Writes R's serialisation, as much of it as the tests need."""
+
+    def __init__(self, version=2):
+        self.out, self.known = bytearray(b"RDX%d\nX\n" % version), {}
+        self.int(version, 0x040100, 0x020300)
+        if version == 3:
+            self.int(5)
+            self.out += b"UTF-8"
+
+    def int(self, *values):
+        self.out += struct.pack(f">{len(values)}i", *values)
+
+    def chars(self, s):
+        self.int(9 | (64 << 12), -1 if s is None else len(s.encode()))
+        self.out += (s or "").encode()
+
+    def symbol(self, s):
+        if s in self.known:
+            self.int(255 | (self.known[s] << 8))
+        else:
+            self.known[s] = len(self.known) + 1
+            self.int(1)
+            self.chars(s)
+
+    def pairs(self, items):
+        for k, v in items.items():
+            self.int(2 | 0x400)
+            self.symbol(k)
+            v(self)
+        self.int(254)
+
+
+def vector(values, kind="real", **attributes):
+    def write(e):
+        code = {"real": 14, "int": 13, "lgl": 10, "str": 16, "list": 19}[kind]
+        e.int(code | (0x200 if attributes else 0), len(values))
+        for v in values:
+            if kind == "real":
+                e.out += struct.pack(">d", float("nan") if v is None else v)
+            elif kind in ("int", "lgl"):
+                e.int(-(2**31) if v is None else int(v))
+            elif kind == "str":
+                e.chars(v)
+            else:
+                v(e)
+        if attributes:
+            e.pairs({k.replace("_", "."): v for k, v in attributes.items()})
+
+    return write
+
+
+def sequence(n):
+    """1 to n as R keeps it, by its ends."""
+
+    def write(e):
+        e.int(238)
+        e.pairs({"class": lambda e: e.symbol("compact_intseq"), "package": lambda e: e.symbol("base"), "type": vector([13], "int")})
+        vector([n, 1, 1])(e)
+        e.int(254)
+
+    return write
+
+
+@pytest.mark.parametrize(("version", "squeeze"), [(2, gzip.compress), (3, bz2.compress), (3, bytes)])
+def test_rdata_objects(spark, tmp_path, version, squeeze):
+    frame = vector([vector([0.5, None, -2.0]), vector(["x", None, "é"], "str"), vector([2, 1, None], "int", levels=vector(["lo", "hi"], "str"), **{"class": vector(["factor"], "str")}), sequence(3), vector([1, 0, None], "lgl")],
+                   "list", names=vector(["Or1a", "Name", "Level", "n", "ok"], "str"), row_names=vector(["K1", "K2", "K3"], "str"), **{"class": vector(["data.frame"], "str")})
+    matrix = vector([1.0, 2.0, 3.0, 4.0, None, 6.0], dim=vector([3, 2], "int"), dimnames=vector([vector(["a", "b", "c"], "str"), vector(["p", "q"], "str")], "list"))
+    short = vector([vector([7.0, 8.0])], "list", names=vector(["v"], "str"), row_names=vector([None, -2], "int"))
+    e = Encoder(version)
+    e.pairs({"response.matrix": matrix, "odor": frame, "AL.map": short, "other": vector([1.5])})
+    path = str(tmp_path / "all.RData")
+    (tmp_path / "all.RData").write_bytes(squeeze(bytes(e.out)))
+    found = files.load_rdata(spark, path)
+    assert sorted(found) == ["items", "map", "response"]
+    rows = lambda df: [tuple(r) for r in df.orderBy("rownames").collect()]
+    assert found["response"].columns == ["rownames", "p", "q"] and rows(found["response"]) == [("a", 1.0, 4.0), ("b", 2.0, None), ("c", 3.0, 6.0)]
+    assert rows(found["items"]) == [("K1", 0.5, "x", "hi", 1.0, 1.0), ("K2", None, None, "lo", 2.0, 0.0), ("K3", -2.0, "é", None, 3.0, None)]
+    assert rows(found["map"]) == [("1", 7.0), ("2", 8.0)]
+    assert files.long_form(found["response"], "rownames").filter("response is not null").count() == 5
+    e = Encoder(version)
+    e.pairs({"odor": frame})
+    (tmp_path / "none.RData").write_bytes(bytes(e.out))
     with pytest.raises(ValueError):
-        files.rdata_tables(spark, {"odor": frame})
+        files.load_rdata(spark, str(tmp_path / "none.RData"))
+
 
 
 def test_running_and_grouped_quantiles(spark):
