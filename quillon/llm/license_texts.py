@@ -78,17 +78,17 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 #: Length and SHA-256 digest of the canonical form of longer licences, from the files that name them.
 DIGESTS = {
-    "Apache-2.0": (9842, "321f94593d13974b4ef0ea2320cfa9fe3afcc37f5922b1a50103f1219c86ee24"),
+    "Apache-2.0": (9892, "92ce29ea7f83a01d7d4691d8e63128e9ae5905ed8b0849c6a8526e7a2c2fe71d"),
     "Artistic-1.0-Perl": (5796, "4834e699353522cfb463bd8b374752ecf02156bb3f5dfb53d0edb502a112a651"),
-    "CC0-1.0": (6672, "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
-    "GFDL-1.2": (19525, "11b443626816c538e555b7fb60eaba9f2a83a9ecb67ad4a1663e07c118b8e550"),
-    "GFDL-1.3": (21955, "cc84a6c6a2b84e8cde0619ed37d987e1a9b39e53ddcaf34f4735e2138dfe6e4a"),
-    "GPL-1.0": (11726, "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746"),
-    "GPL-2.0": (17074, "2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee"),
-    "GPL-3.0": (33328, "3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64"),
-    "LGPL-2.0": (24069, "4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2"),
-    "LGPL-2.1": (25154, "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98"),
-    "LGPL-3.0": (7064, "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
-    "MPL-1.1": (22261, "a61d931c126f6fcbf3c1d0f0d4d3968cc623c246948091fcfd62baba957fbbfc"),
-    "MPL-2.0": (14231, "f463ab3a61bb085213d42977a6aff4447ce8bd347607d0d902494534112b9dc8"),
+    "CC0-1.0": (6626, "b786e4dcc533745dd6e8c7df7360071e558b3cc45fb201b53e8afb199f1cd374"),
+    "GFDL-1.2": (19490, "9eb5257886f577eb27d73375e51848e37a833d1a4496dbfff78bb9b6495f46e5"),
+    "GFDL-1.3": (21953, "bac5033f2b28c97eed55af6fad1d9bb58063bee913766584abb91692b71ed70c"),
+    "GPL-1.0": (11698, "3ff3667f091d1f6f62335cb7841262f2ae1d83ca0de9238dc2562f32e014c713"),
+    "GPL-2.0": (17042, "7da809d6a4e505509165e58135d5b87ae0e3a50ec4279ca279a50f0be6e22a97"),
+    "GPL-3.0": (33312, "b235a29dc9a57f07bea8a78c66f147c459375e42e0f910447fc5904d81b9dd86"),
+    "LGPL-2.0": (24033, "073eae3d0faf2e6ae5b466b518f308e4065f158b1002630af4feff44c8071e3a"),
+    "LGPL-2.1": (25114, "9c25bf3aae8585895c5325773c75a9ce311edb143b31be54e5d4cce68930c614"),
+    "LGPL-3.0": (7060, "6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0"),
+    "MPL-1.1": (22323, "859c11e6852c7be156c7a4e01d4e1cdf09a1f8c7342ccdb0df67cb116192a4a3"),
+    "MPL-2.0": (14278, "455d1371be88b79bb1f1c11b687c520bc00322618b94689dee99187a65b94269"),
 }

@@ -1,8 +1,10 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text's canonical form: lower case; copyright lines, title lines and list numbers dropped; equivalent spellings made
-one; everything but letters and digits turned into single spaces. Entire texts, and the single lines of a text, are
-licences when the digest of their canonical form is that of a known licence or notice: of a text given, of a text file
+A text's canonical form: lower case; equivalent spellings made one; a title at the start, copyright statements (a year and
+a holder's name, of up to 200 characters until a phrase that licences go on with) and list numbers dropped; everything
+but letters and digits turned into single spaces. It does not depend on where lines end, or on marks of comments at
+their start. Entire texts are licences when the digest of their canonical form is that of a known licence, single lines
+when that of their letters and digits is that of a known licence or notice: of a text given, of a text file
 in a folder given, or of a long licence whose digest is listed. Null texts are empty; the empty form matches nothing.
 Repeated rows, and rows that tie in all columns, stay apart. Columns beside the two named ones are left out. An empty
 table gives an empty one. A very long text is one row of a task, and no Python runs.
@@ -23,26 +25,44 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"), ("whilst", "while"), ("wilful", "willful"), ("https://", "http://"),
 )
 
-#: A line that names a right holder or reserves rights.
-COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(copyright\b[^\n]*[0-9]{4}|copyright +by |copyright +\(c\)|\(c\)|©|all rights reserved)[^\n]*$"
-
-#: A line that only names a licence, and a number or letter that begins a line of a list.
-TITLE_LINE = r"(?m)^[^a-z0-9\n]*(the )?(mit|isc|0bsd|zlib|bsd|new bsd|modified bsd|simplified bsd|bsd [0-4]-clause|[0-4]-clause bsd|bsd zero clause|boost software)( .new. or .revised.| .simplified.)? licen[sc]e( \((mit|isc|0bsd|zlib|bsd)\)| - version 1\.0 - august 17th, 2003)?[^a-z0-9\n]*$"
-LIST_NUMBER = r"(?m)^[^a-z0-9\n]*([0-9][0-9]?|[a-z])[.)][ \t]+"
-
-
-def canonical_lines(text: Column) -> Column:
-    """The canonical form with the text's line ends kept."""
-    x = F.lower(F.coalesce(text, F.lit("")))
-    for dropped in (COPYRIGHT_LINE, TITLE_LINE, LIST_NUMBER):
-        x = F.regexp_replace(x, F.lit(dropped), F.lit(""))
+#: What begins a line and is neither a letter, a digit nor an opening bracket: marks of comments and of lists.
+LINE_MARKS = r"(^|\n)[^\p{L}\p{N}\n(©]+"
+SPACE = r"[ \t\n\x0B\f\r]+"
+#: A word that was cut at its hyphen.
+HYPHEN = r"([a-z])- ([a-z])"
+#: A title at the start that only names a licence.
+TITLE = r"^[^a-z0-9]*(the )?(mit|isc|0bsd|zlib|bsd|new bsd|modified bsd|simplified bsd|bsd [0-4]-clause|[0-4]-clause bsd|bsd zero clause|boost software)( .new. or .revised.| .simplified.)? license( \((mit|isc|0bsd|zlib|bsd)\)| - version 1\.0 - august 17th, 2003)?[^a-z0-9]+"
+# How the known texts go on after their copyright statements.
+OPENINGS = ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "this is free and unencumbered", "licensed under the", "everyone is permitted", "released under the", "this work is licensed", "all rights reserved")
+#: A statement with a year and a holder's name, up to where the text goes on, or its end.
+STATEMENT = r"(portions )?(copyright|©|\(c\))( ?(\(c\)|©|copyright))*[ ,:]*[0-9]{4}[^\n]{0,200}?(" + "|".join(OPENINGS) + "|$)"
+RESERVED = r"all rights reserved"
+#: A number or letter of a list.
+LIST_MARK = r"(^| )\(?([0-9]{1,2}|[a-z]|[ivx]{1,4})[.)]+ "
+
+
+def _forms(lower, replace, pattern, text, group: str):
+    """(lines, whole) of a text, made by the functions of either engine; group is how it writes its groups."""
+    x = lower(text)
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.regexp_replace(x, F.lit(r"[^\p{L}\p{N}\n]+"), F.lit(" "))
+        x = replace(x, a, b)
+    lines = pattern(x, r"[^\p{L}\p{N}\n]+", " ")
+    x = pattern(pattern(x, LINE_MARKS, f"{group}1"), SPACE, " ")
+    x = pattern(x, HYPHEN, f"{group}1-{group}2")
+    for a, b in SPELLINGS:
+        if not a.isalpha():  # may have stood across a line's end
+            x = replace(x, a, b)
+    for dropped, left in ((TITLE, ""), (STATEMENT, f" {group}5"), (RESERVED, ""), (LIST_MARK, " "), (LIST_MARK, " ")):
+        x = pattern(x, dropped, left)
+    return lines, pattern(x, r"[^\p{L}\p{N}]+", " ")
 
 
-def joined(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, F.lit(r"[ \n]+"), F.lit(" ")))
+def forms(text: Column) -> tuple[Column, Column]:
+    """(lines, whole): the plain form with the text's line ends kept, for single lines; and the canonical form, which is the same wherever lines end."""
+    replace = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    pattern = lambda x, p, left: F.regexp_replace(x, F.lit(p), F.lit(left))
+    lines, whole = _forms(lambda t: F.lower(F.coalesce(t, F.lit(""))), replace, pattern, text, "$")
+    return lines, F.trim(whole)
 
 
 def digest(canonical: Column) -> Column:
@@ -57,7 +77,9 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None, folder: str
         table = spark.read.text(folder, wholetext=True).select(name.alias("license"), F.col("value").alias("text"))
     else:
         table = rows((texts or KNOWN).items(), ("license", "text"))
-    table = table.withColumn("form", joined(canonical_lines(F.col("text")))).filter("form != ''")
+    plain, whole = forms(F.col("text"))
+    one_line = F.trim(F.replace(plain, F.lit("\n"), F.lit(" ")))
+    table = table.select("license", F.explode(F.array_distinct(F.array(whole, F.regexp_replace(one_line, " +", " ")))).alias("form")).filter("form != ''")
     table = table.select("license", digest(F.col("form")).alias("digest"), F.length("form").alias("length"))
     if texts is None and folder is None:
         table = table.unionByName(rows([(k, *v) for k, v in DIGESTS.items()], ("license", "length", "digest")))
@@ -73,10 +95,11 @@ def scan(df: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_
     """
     of = known(df.sparkSession, texts, folder)
     lengths = F.array(*[F.lit(r.length) for r in of.select("length").distinct().orderBy("length").collect()])
-    own = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), canonical_lines(F.col(text_col)).alias("lines"))
+    plain, whole = forms(F.col(text_col))
+    own = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), plain.alias("lines"), whole.alias("form"))
     lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(lengths, F.length(x)))
     units = F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), joined(F.col("lines")).alias("form"))),
+        F.array(F.struct(F.lit(True).alias("whole"), F.col("form").alias("form"))),
         F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("form"))),
     )
     units = own.select("row", id_col, F.inline(units)).select("row", id_col, "whole", digest(F.col("form")).alias("digest"))
@@ -93,25 +116,21 @@ def scan(df: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_
 def scan_sql(texts: dict[str, str] | None = None, table: str = "documents") -> str:
     """scan in DuckDB's SQL."""
 
-    def lines(text: str) -> str:
-        x = f"lower(coalesce({text}, ''))"
-        for dropped in (COPYRIGHT_LINE, TITLE_LINE, LIST_NUMBER):
-            x = f"regexp_replace({x}, '{dropped}', '', 'g')"
-        for a, b in SPELLINGS:
-            x = f"replace({x}, '{a}', '{b}')"
-        return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-
+    quoted = lambda t: t.replace("'", "''")
+    replace = lambda x, a, b: f"replace({x}, '{a}', '{b}')"
+    pattern = lambda x, p, left: f"regexp_replace({x}, '{quoted(p)}', '{left}', 'g')"
+    plain, whole = _forms(lambda t: f"lower(coalesce({t}, ''))", replace, pattern, "text", "\\")
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in (texts or KNOWN).items())
     listed = ", ".join(f"('{v[1]}', '{k}')" for k, v in DIGESTS.items()) if texts is None else "(NULL, NULL)"
-    whole = "trim(regexp_replace(lines, '[ \\n]+', ' ', 'g'))"
+    one_line = f"trim(regexp_replace(replace({plain}, chr(10), ' '), ' +', ' ', 'g'))"
     return f"""
         WITH known AS (
             SELECT digest, min(license) AS license FROM (
-                SELECT sha256({whole}) AS digest, license FROM (SELECT license, {lines("text")} AS lines FROM (VALUES {values}) v(license, text)) WHERE {whole} != ''
+                SELECT sha256(form) AS digest, license FROM (SELECT license, unnest([trim({whole}), {one_line}]) AS form FROM (VALUES {values}) v(license, text)) WHERE form != ''
                 UNION ALL SELECT digest, license FROM (VALUES {listed}) d(digest, license)) GROUP BY 1),
-        own AS (SELECT row_number() OVER () AS row, doc_id, {lines("text")} AS lines FROM {table}),
+        own AS (SELECT row_number() OVER () AS row, doc_id, {plain} AS lines, trim({whole}) AS form FROM {table}),
         units AS (
-            SELECT row, doc_id, true AS whole, sha256({whole}) AS digest FROM own
+            SELECT row, doc_id, true AS whole, sha256(form) AS digest FROM own
             UNION ALL SELECT row, doc_id, false, sha256(trim(line)) FROM (SELECT row, doc_id, unnest(string_split(lines, chr(10))) AS line FROM own)),
         found AS (SELECT row, doc_id, whole, digest, license FROM units LEFT JOIN known USING (digest) WHERE whole OR license IS NOT NULL)
         SELECT doc_id, max(digest) FILTER (whole) AS digest, max(license) FILTER (whole) AS license,

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
 from pathlib import Path
 
@@ -179,6 +180,29 @@ def test_licenses_as_files_have_them(spark, tmp_path):
     assert found[1] == "Own-1.0" and found[2] is None
 
 
+def rewrapped(text):
+    """The text at five widths, with one line a paragraph, and as comments of three kinds."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text) if p.strip()]
+    out = ["\n\n".join(textwrap.fill(p, width) for p in paragraphs) for width in (50, 60, 72, 80, 100)]
+    out.append("\n\n".join(paragraphs))
+    for mark in ("# ", "// ", " * "):
+        out.append("".join(f"{mark}{line}".rstrip() + "\r\n" for line in out[2].split("\n")))
+    out[-1] = f"/*\n{out[-1]}*/"
+    return out
+
+
+def test_licenses_do_not_depend_on_lines(spark):
+    texts = {k: v for k, v in KNOWN.items() if "notice" not in k}
+    texts |= {f"{k} with holder": "The MIT License (MIT)\n\nCopyright (c) 2019-2024 A. Person <a@example.org>, B & Co.\nPortions Copyright © 2003, Others\nAll rights reserved.\n\n" + v for k, v in KNOWN.items() if k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    known_files = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts |= {name: path.read_text() for file, name in known_files.items() if (path := Path("/usr/share/common-licenses") / file).is_file()}
+    rows = [(i, t, k, 0) for i, (k, t) in enumerate((k, t) for k, v in texts.items() for t in [v, *rewrapped(v)])]
+    found = {r.doc_id: (r.license, r.digest) for r in licenses.scan(table(spark, rows)).collect()}
+    for k in texts:
+        own = {found[i] for i, _, name, _ in rows if name == k}
+        assert len(own) == 1 and own.pop()[0] == k.removesuffix(" with holder"), k
+
+
 def test_licenses(spark):
     texts = {1: "Copyright (c) 2020 Somebody\n\n" + KNOWN["MIT"].upper(), 2: "intro\n** released under the MIT licence! **\nrest", 3: KNOWN["ISC"] + "more", 4: "All rights reserved."}
     rows = {r.doc_id: (r.license, r.n_license_lines, r.line_licenses) for r in licenses.scan(table(spark, [(k, v, None, 0) for k, v in texts.items()])).collect()}
