@@ -33,7 +33,7 @@ from .suffixes import BASE, INVERSE, LETTERS, powers
 #: Labelled texts of a language to fit on; rounds of fitting; share of the counts over all languages; bytes after which probabilities are scaled.
 PER_LANGUAGE, ROUNDS, SHARED, SCALED = 5000, 3, 0.02, 12
 #: Bytes of a word up to which many words are scored at once; bytes of text that are scored at once.
-SHORT, CHUNK = 64, 3 << 20
+SHORT, CHUNK = 64, 1 << 20
 #: Bytes of a word up to which it is fitted whole; places of words that are fitted at once, beside those of short words.
 PART, PLACES = 4096, 1 << 20
 #: Places of one long word whose pieces are looked up at once.
