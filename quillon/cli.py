@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .functions import groups, names
-from .operators import annotate, encoding, graph, network, predict, response, similarity
-from .plans import protocols
+from .operators import annotate, encoding, graph, integrate, network, predict, response, similarity
+from .plans import composites, protocols
 from .sources import config, files
+from .sources.tables import written
 
 #: Commands by what TABLE is, each with its arguments.
 ON_RESPONSES = {
     "coverage": (), "report": (), "tuning": (), "items": (), "similar": ("item",), "channel": ("channel",), "group": ("group",), "extract": ("folder",), "encode": (), "codes": (), "predict": (),
     "contributors": ("item",), "compare": ("items",), "protocol": ("number",), "export": ("path",), "suggest": ("name",),
+    "train": ("folder",), "structure": ("pathways", "mapping"), "subnetwork": ("item", "pathways", "mapping"), "recommend": ("pathways", "mapping"), "unmapped": ("mapping",),
 }
-ON_LABELS = {"search": ("patterns",), "classes": (), "cells": ("channels",)}
-ON_PATHWAYS = {"paths": ("region",), "hubs": (), "network": (), "types": (), "ladder": (), "asymmetry": (), "communities": (), "graph": ("path",)}
+ON_LABELS = {"search": ("patterns",), "classes": (), "cells": ("channels",), "map": ("mapping",), "names": ()}
+ON_PATHWAYS = {"paths": ("region",), "hubs": (), "network": (), "types": (), "ladder": (), "asymmetry": (), "communities": (), "graph": ("path",), "statistics": (), "targets": ("region",)}
 MANY = ("patterns", "channels", "items")
 
 
@@ -56,6 +58,10 @@ def on_pathways(spark: SparkSession, a: argparse.Namespace) -> DataFrame | str:
         return graph.top_pairs(network.asymmetry(network.region_strengths(edges, nodes)), "asymmetry", a.n, then=("a", "b"))
     if a.command == "communities":
         return graph.communities(edges, setting.community_method).orderBy("community", "id")
+    if a.command == "statistics":
+        return sinks.statistics_report(edges, nodes, communities=setting.community_method, n=a.n)
+    if a.command == "targets":
+        return network.targets_by_region(network.two_hop(edges, nodes, region=a.region)).orderBy(F.desc("n_paths"), "target_region")
     if a.command == "graph":
         sinks.write_graph(nodes, edges, a.path)
         return f"{a.path}\n"
@@ -68,6 +74,12 @@ def on_labels(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return annotate.search(labels, a.patterns).orderBy("root_id", "pattern").limit(a.n)
     if a.command == "classes":
         return annotate.classes(labels, list(annotate.CLASSES)).groupBy("class").agg(F.count("*").alias("n")).orderBy("class")
+    if a.command == "names":
+        return annotate.names_in(labels).orderBy(F.desc("n"), "name").limit(a.n)
+    if a.command == "map":
+        known = files.load_mapping(spark, [a.mapping]).select("channel").distinct()
+        found = written(annotate.channel_cells(annotate.cells_of(labels, known)), "cells")
+        return sinks.facts_report("Mapping", annotate.mapping_statistics(found, known).first()) + "".join(f"{r.channel}: {r.n_cells}\n" for r in found.orderBy("channel").collect())
     wanted = spark.createDataFrame([(c,) for c in a.channels], "channel string")
     return annotate.channel_cells(annotate.cells_of(labels, wanted)).orderBy("channel")
 
@@ -107,6 +119,21 @@ def on_responses(spark: SparkSession, a: argparse.Namespace) -> DataFrame | str:
         return names.suggestions(spark.createDataFrame([(a.name,)], "name string"), r.select(F.lower(F.col("item").cast("string")).alias("alias")).distinct(), n=a.n)
     if a.command == "protocol":
         return protocols.to_markdown(protocols.known_protocol(r, a.number))
+    if a.command == "train":
+        return "".join(f"{k}: {v}\n" for k, v in composites.training_set(r, a.folder).items() if k != "channels")
+    if a.command == "unmapped":
+        counts = r.groupBy("channel").agg(F.count_if(F.col("response") > 0).alias("n_tested"))
+        return integrate.map_coverage(counts, files.load_mapping(spark, [a.mapping])).filter("not mapped").orderBy("priority", "channel")
+    if a.command in ("structure", "subnetwork", "recommend"):
+        rows, mapping = written(files.load_pathways(spark, a.pathways), "pathways"), files.load_mapping(spark, [a.mapping])
+        strengths = network.region_strengths(network.edges(rows), network.nodes(rows))
+        matrix = strengths.select("src_region", "dst_region", F.col("strength").alias("weight"))
+        if a.command == "structure":
+            return composites.structure_report(composites.structure_function(r, matrix, mapping).first())
+        if a.command == "recommend":
+            return integrate.recommendation_totals(integrate.recommended(integrate.by_channel(matrix, mapping), r)).orderBy(F.desc("n_pairs"), "item").limit(a.n)
+        active = response.activated(r.filter(F.col("item").cast("string") == a.item)).select("channel", "response")
+        return integrate.subnetwork(active, integrate.by_channel(matrix, mapping)).orderBy(F.desc("weight"), "c1", "c2").limit(a.n)
     found = predict.outcomes(r, predict.weights(spark))
     if a.command == "compare":
         return predict.compared(found.withColumn("item", F.col("item").cast("string")), a.items).orderBy("place")

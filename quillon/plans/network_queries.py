@@ -9,6 +9,7 @@ from ..functions.numeric import edge_width, subnetwork_edge_width
 from ..sources.tables import written
 from ..operators import annotate, graph, integrate, network, response, similarity, spatial, statistics
 from . import bindings as b
+from . import composites
 from .response_queries import student_sql
 
 QUERIES: dict = {}
@@ -358,6 +359,18 @@ def linear_fit(s: Spark, d: str) -> DataFrame:
     return statistics.linear_fit(b.table(s, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+_RANKED = "(SELECT r, weight, rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS rr, rank() OVER (ORDER BY weight) + (count(*) OVER (PARTITION BY weight) - 1) / 2.0::DOUBLE AS rw, weight > (SELECT median(weight) FROM pairs) AS g FROM pairs)"
+
+
+@query("""SELECT count(*) AS n, round(covar_pop(r, weight) / (stddev_pop(r) * stddev_pop(weight)), 8) AS r, round(covar_pop(rr, rw) / (stddev_pop(rr) * stddev_pop(rw)), 8) AS rho, round(regr_slope(weight, r), 4) AS slope, round(regr_intercept(weight, r), 4) AS intercept,
+    count(*) FILTER (g) AS n_strong, sum(rr) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u, round((avg(r) FILTER (g) - avg(r) FILTER (NOT g)) / sqrt((var_pop(r) FILTER (g) + var_pop(r) FILTER (NOT g)) / 2), 8) AS d FROM k""", **T, k=_RANKED)
+def structure_function(s: Spark, d: str) -> DataFrame:
+    """The whole analysis of all channels; its mapping leaves out those without a region."""
+    dense = b.dense(s, d).withColumn("channel", F.concat(F.lit("ch"), "channel"))
+    found = composites.structure_function(dense, _matrix(s, d), b.mapping(s, d)).drop("r_p", "rho_p", "u_p")
+    return found.withColumns({"r": F.round("r", 8), "rho": F.round("rho", 8), "slope": F.round("slope", 4), "intercept": F.round("intercept", 4), "d": F.round("d", 8)})
+
+
 @query("SELECT c_custkey AS id, c_acctbal > (SELECT median(c_acctbal) FROM customer) AS upper FROM customer")
 def median_split(s: Spark, d: str) -> DataFrame:
     return statistics.median_split(b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), "c_acctbal").select("id", "upper")

@@ -157,3 +157,18 @@ def network_report(edges: DataFrame, nodes: DataFrame, pathways: DataFrame, hub_
     out += ["", f"## Hubs at the {hub_percentile:g} % mark: {hubs.count()}", *[f"- {r.id}: {r.score:.4f}" for r in best]]
     out += ["", "## Strongest pairs", *[f"- {r.src_region} to {r.dst_region}: {r.strength} over {r.n_paths} paths" for r in pairs]]
     return "\n".join([*out, "", "## Most asymmetric pairs", *[f"- {r.a} and {r.b}: {r.asymmetry:.3f}" for r in uneven]]) + "\n"
+
+
+def statistics_report(edges: DataFrame, nodes: DataFrame, method: str = "degree", communities: str = "label_propagation", n: int = 10) -> str:
+    """A Markdown report on a graph's statistics: density, clustering, components, hubs by a centrality, communities and their modularity, motifs."""
+    d = graph.density(edges, nodes).first()
+    c = graph.clustering(edges).agg(F.avg("coefficient").alias("mean"), F.sum("triangles").alias("t")).first()
+    parts = graph.components(edges, nodes).groupBy("component").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    best = graph.hubs(edges, nodes, method=method).orderBy(F.desc("score"), "id").limit(n).collect()
+    of = written(graph.communities(edges, communities), "communities")
+    sizes = of.groupBy("community").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community").limit(n).collect()
+    q = graph.modularity(edges, of).first().q
+    shown = lambda x: "-" if x is None else f"{x:.4f}"
+    out = ["# Graph statistics", "", f"- nodes: {d.n_nodes}, edges: {d.n_edges}, density: {shown(d.density)}", f"- components: {parts.n}, the largest of {parts.most} nodes", f"- mean clustering: {shown(c['mean'])}, triangles: {(c.t or 0) // 3}"]
+    out += ["", f"## Hubs by {method}", *[f"- {r.id}: {r.score:.4f}" for r in best], "", f"## Communities by {communities}: modularity {shown(q)}", *[f"- {r.community}: {r['size']} nodes" for r in sizes]]
+    return "\n".join([*out, "", "## Open walks by edges", *[f"- {r.n_edges}: {r.n}" for r in graph.motifs(edges).orderBy("n_edges").collect()]]) + "\n"
