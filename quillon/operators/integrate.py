@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..sources.tables import written
+from .graph import components
 from .network import INHIBITORY, RELAY
 from .ranges import median
 
@@ -65,14 +66,15 @@ def subnetwork(activated: DataFrame, matrix: DataFrame, classes: DataFrame | Non
 
 
 def subnetwork_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: nodes, edges, undirected density, mean and greatest degree, hub (the first of the greatest), weights."""
+    """One row: nodes, edges, components, undirected density, mean and greatest degree, hub (the first of the greatest), weights."""
     ends = edges.select(F.col("c1").alias("channel")).unionByName(edges.select(F.col("c2").alias("channel"))).groupBy("channel").agg(F.count("*").alias("degree"))
     d = nodes.select("channel").join(ends, "channel", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     d = d.agg(F.count("*").alias("n_nodes"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"), F.min_by("channel", F.struct(-F.col("degree"), "channel")).alias("hub"))
     edges = written(edges, "edges")
     w = edges.agg(F.count("*").alias("n_edges"), F.avg("weight").alias("mean_weight"), median(edges, "weight").alias("median_weight"), F.max("weight").alias("max_weight"))
+    parts = components(edges.select(F.col("c1").alias("src"), F.col("c2").alias("dst")), nodes.select(F.col("channel").alias("id"))).agg(F.count_distinct("component").alias("n_components"))
     n = F.col("n_nodes")
-    return d.join(F.broadcast(w)).withColumn("density", ratio(F.col("n_edges") * 2.0, n * (n - 1)))
+    return d.join(F.broadcast(w)).join(F.broadcast(parts)).withColumn("density", ratio(F.col("n_edges") * 2.0, n * (n - 1)))
 
 
 def recommended(matrix: DataFrame, response: DataFrame, least: int = 10, threshold: float = 0.3) -> DataFrame:

@@ -90,8 +90,17 @@ def overlap(points: DataFrame, others: DataFrame, radius: float = 1000.0, compar
     return counts.select("n", "n_near", F.coalesce(ratio(F.col("n_near") * 1.0, F.col("n")), F.lit(0.0)).alias("overlap"))
 
 
-def heat_map(points: DataFrame, a: str = "x", b: str = "y", bins: int = 50) -> DataFrame:
-    """(bin_a, bin_b, mean_intensity, n) of the cells with points; equal bins over the data's range, the last closed on the right."""
+PLANES = (("x", "y"), ("x", "z"), ("y", "z"))
+
+
+def projections(points: DataFrame, bins: int = 50) -> DataFrame:
+    """(plane, bin_a, bin_b, mean_intensity, n): the heat maps of all three planes, with every cell; 0 where there are no points."""
+    parts = [heat_map(points, a, b, bins, whole=True).select(F.lit(a + b).alias("plane"), "*") for a, b in PLANES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def heat_map(points: DataFrame, a: str = "x", b: str = "y", bins: int = 50, whole: bool = False) -> DataFrame:
+    """(bin_a, bin_b, mean_intensity, n) of the cells with points, or with whole of all cells, 0 where there are none; equal bins over the data's range, the last closed on the right."""
     range_ = points.agg(*[f(c).alias(f"{n}_{c}") for c in (a, b) for n, f in (("lo", F.min), ("hi", F.max))])
 
     def bin_(c):
@@ -99,7 +108,12 @@ def heat_map(points: DataFrame, a: str = "x", b: str = "y", bins: int = 50) -> D
         return F.least(F.coalesce(at, F.lit(bins // 2)), F.lit(bins - 1)).cast("int").alias(f"bin_{c}")
 
     own = points.join(F.broadcast(range_)).select(bin_(a), bin_(b), "intensity")
-    return own.groupBy(F.col(f"bin_{a}").alias("bin_a"), F.col(f"bin_{b}").alias("bin_b")).agg(F.avg("intensity").alias("mean_intensity"), F.count("*").alias("n"))
+    found = own.groupBy(F.col(f"bin_{a}").alias("bin_a"), F.col(f"bin_{b}").alias("bin_b")).agg(F.avg("intensity").alias("mean_intensity"), F.count("*").alias("n"))
+    if not whole:
+        return found
+    i = F.col("id")
+    every = points.sparkSession.range(bins * bins).select((i % bins).cast("int").alias("bin_a"), F.floor(i / bins).cast("int").alias("bin_b"))
+    return every.join(found, ["bin_a", "bin_b"], "left").select("bin_a", "bin_b", F.coalesce("mean_intensity", F.lit(0.0)).alias("mean_intensity"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 METHODS = ("kmeans", "hierarchical")

@@ -350,10 +350,10 @@ def protocol_json(s: Spark, d: str) -> DataFrame:
     return s.read.json(path, multiLine=True).select(F.explode("targets").alias("t")).select("t.channel", F.round("t.expected_drop", 8).alias("expected_drop"))
 
 
-@query("""SELECT pathway, round(coalesce(avg(response), 0), 8) AS strength, rank() OVER (ORDER BY round(coalesce(avg(response), 0), 8) DESC, pathway) AS place FROM (SELECT 'of ' || channel AS pathway, channel, response FROM r WHERE item BETWEEN 1 AND 40) GROUP BY pathway""", r=b.SPARSE)
+@query("""SELECT pathway, round(coalesce(avg(response), 0), 8) AS strength, rank() OVER (ORDER BY round(coalesce(avg(response), 0), 8) DESC, pathway) AS place FROM (SELECT 'of ' || channel AS pathway, channel, response FROM r) GROUP BY pathway""", r=b.SPARSE)
 def pathway_comparison(s: Spark, d: str) -> DataFrame:
     r = b.sparse(s, d)
-    of = r.filter("item between 1 and 40").select(F.concat(F.lit("of "), "channel").alias("pathway"), "channel", "item")
+    of = r.select(F.concat(F.lit("of "), "channel").alias("pathway"), "channel", "item")
     return response.compare_pathways(response.pathway_strength(r, of))
 
 

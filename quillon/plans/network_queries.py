@@ -398,9 +398,10 @@ def subnetwork(s: Spark, d: str) -> DataFrame:
     return _sub(s, d)[1]
 
 
-@query("""SELECT n_nodes, n_edges, 2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)) AS density, mean_degree, max_degree, hub, mean_weight, median_weight, max_weight FROM
+@query("""SELECT n_nodes, n_edges, n_components, 2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)) AS density, mean_degree, max_degree, hub, mean_weight, median_weight, max_weight FROM
     (SELECT count(*) AS n_nodes, avg(k) AS mean_degree, max(k) AS max_degree, arg_min(channel, (-k, channel)) AS hub FROM (SELECT channel, (SELECT count(*) FROM sub WHERE channel IN (c1, c2)) AS k FROM act)),
-    (SELECT count(*) AS n_edges, avg(weight) AS mean_weight, median(weight) AS median_weight, max(weight) AS max_weight FROM sub)""", **T, act=_ACTIVE, sub=_SUB)
+    (SELECT count(*) AS n_edges, avg(weight) AS mean_weight, median(weight) AS median_weight, max(weight) AS max_weight FROM sub), (SELECT count(DISTINCT least_) AS n_components FROM (SELECT a, min(z) AS least_ FROM reach GROUP BY a))""",
+    **T, act=_ACTIVE, sub=_SUB, reach="(SELECT channel AS a, channel AS z FROM act UNION SELECT a, CASE WHEN c1 = z THEN c2 ELSE c1 END FROM reach JOIN sub ON z IN (c1, c2))")
 def subnetwork_statistics(s: Spark, d: str) -> DataFrame:
     active, edges = _sub(s, d)
     return integrate.subnetwork_statistics(edges, active)
@@ -507,6 +508,16 @@ def heatmap(s: Spark, d: str) -> DataFrame:
     return spatial.heat_map(b.points(s, d), bins=10).withColumn("mean_intensity", F.round("mean_intensity", 8))
 
 
+def _plane_sql(u: str, v: str) -> str:
+    cell = lambda c, name: f"least(floor(({c} - (SELECT min({c}) FROM p)) * 10 / ((SELECT max({c}) - min({c}) FROM p))), 9)::INT AS {name}"
+    return f"SELECT '{u}{v}' AS plane, i AS bin_a, j AS bin_b, coalesce(m, 0) AS mean_intensity, coalesce(k, 0) AS n FROM cells LEFT JOIN (SELECT {cell(u, 'i')}, {cell(v, 'j')}, round(avg(intensity), 8) AS m, count(*) AS k FROM p GROUP BY ALL) USING (i, j)"
+
+
+@query(" UNION ALL ".join(_plane_sql(u, v) for u, v in spatial.PLANES), p=b.POINTS, cells="(SELECT a.range::INT AS i, z.range::INT AS j FROM range(10) a, range(10) z)")
+def heatmap_projections(s: Spark, d: str) -> DataFrame:
+    return spatial.projections(b.points(s, d), bins=10).withColumn("mean_intensity", F.round("mean_intensity", 8))
+
+
 @query("SELECT item, intensity FROM p WHERE intensity >= 0.2", p=b.POINTS)
 def point_threshold(s: Spark, d: str) -> DataFrame:
     return spatial.above(b.points(s, d), 0.2).select("item", "intensity")
