@@ -46,6 +46,22 @@ def resolve(wanted: DataFrame, aliases: DataFrame, name: str = "name") -> DataFr
     return wanted.join(best, F.col(name) == F.col("found"), "left").drop("found")
 
 
+def resolved(wanted: DataFrame, aliases: DataFrame, name: str = "name", shown: int = 10, n: int = 3) -> DataFrame:
+    """wanted with the key of each name, as `resolve`; a name without one is an error, which tells the first `shown` of them with their closest aliases."""
+    found = resolve(wanted, aliases, name)
+    unknown = found.filter(F.col("key").isNull() & F.col(name).isNotNull()).select(name).distinct().orderBy(name).limit(shown)
+    if rows := unknown.collect():
+        near = suggestions(unknown, aliases.select(F.lower("alias").alias("alias")).distinct(), name, n).orderBy(F.desc("similarity"), "alias").collect()
+        told = [f"{r[0]!r}" + (f" (did you mean {', '.join(own)}?)" if (own := [x.alias for x in near if x[name] == r[0]]) else "") for r in rows]
+        raise KeyError(f"unknown names: {'; '.join(told)}")
+    return found
+
+
+def matching(aliases: DataFrame, pattern: str) -> DataFrame:
+    """(key): keys with an alias, name or synonym, that has the pattern in it, in either case."""
+    return aliases.filter(F.contains(F.lower("alias"), F.lit(pattern.lower()))).select("key").distinct()
+
+
 def suggestions(wanted: DataFrame, aliases: DataFrame, name: str = "name", n: int = 5, cutoff: float = 0.6) -> DataFrame:
     """(name, alias, similarity): the n aliases most like each wanted name in lower case, by the ratio of matching sequences; of equal ones the greater alias."""
     asked = wanted.filter(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("low", F.lower("name"))

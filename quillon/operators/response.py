@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import resolved
 from ..functions.numeric import ratio, tuning_class, tuning_kurtosis
 
 #: A response above it is active: in a coverage table; in a list of activated channels.
@@ -104,6 +105,13 @@ def encode(response: DataFrame, channels: Sequence, fill: float = 0.0) -> DataFr
     return every.select("item", F.transform(order, lambda c: F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(float(fill)))).alias("vector"))
 
 
+def encode_named(response: DataFrame, wanted: DataFrame, aliases: DataFrame, channels: Sequence, fill: float = 0.0, name: str = "name") -> DataFrame:
+    """(name, item, vector) of the wanted names, resolved by aliases (alias, key); an unknown name is an error with suggestions."""
+    own = resolved(wanted.select(name).distinct(), aliases, name).withColumnRenamed("key", "item")
+    vectors = encode(response.join(own.select("item").distinct(), "item", "left_semi"), channels, fill)
+    return own.join(vectors, "item").select(name, "item", "vector")
+
+
 def importance(response: DataFrame) -> DataFrame:
     """(channel, importance): population variance times mean magnitude, as shares of their sum."""
     r = F.col("response")

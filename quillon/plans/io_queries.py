@@ -407,6 +407,14 @@ def layered_layout(s: Spark, d: str) -> DataFrame:
     return graph.layered_positions(b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("region")), "region").select("id", "x", "y")
 
 
+@query("SELECT p_partkey AS key FROM part WHERE contains(lower(concat_ws(';', p_name, p_brand, p_type)), 'large') OR contains(lower(p_name), 'large')")
+def alias_search(s: Spark, d: str) -> DataFrame:
+    """Items with a name or a synonym that has the text in it."""
+    a = b.aliases(s, d)
+    rows = a.select(F.col("name").alias("alias"), "key").union(a.select(F.explode(F.split("synonyms", ";")), "key"))
+    return names.matching(rows, "LARGE")
+
+
 @query("SELECT dense_rank() OVER (ORDER BY item) - 1 AS row, item, channel, response FROM r", r=b.DENSE)
 def npy_shards(s: Spark, d: str) -> DataFrame:
     """Vectors written as .npy shards and read again in ranges of rows, with the items of their rows."""

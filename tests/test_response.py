@@ -246,3 +246,15 @@ def test_npy_source(spark, tmp_path):
     assert own.read.format("npy").load(out).count() == 103
     with pytest.raises(Exception):
         own.read.format("npy").load(str(tmp_path / "none.npy")).count()
+
+
+def test_encoding_by_name(spark, table):
+    aliases = spark.createDataFrame([("ethyl acetate", "i03"), ("EtOAc", "i03"), ("hexanol", "i04")], "alias string, key string")
+    own = {(r.item, r.channel): r.response for r in table.collect()}
+    wanted = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    found = {r.name: list(r.vector) for r in response.encode_named(table, wanted("Ethyl-Acetate", "etoac", "hexanol"), aliases, ["Or1a", "Or2a"]).collect()}
+    vector = lambda i: [own.get((i, c)) or 0.0 for c in ("Or1a", "Or2a")]
+    assert found == {"Ethyl-Acetate": vector("i03"), "etoac": vector("i03"), "hexanol": vector("i04")}
+    with pytest.raises(KeyError, match="hexanl.*did you mean hexanol"):
+        response.encode_named(table, wanted("hexanl", "etoac"), aliases, ["Or1a"])
+    assert {r.key for r in names.matching(aliases, "ETO").collect()} == {"i03"} and names.matching(aliases, "x").count() == 1
