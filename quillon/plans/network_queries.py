@@ -232,16 +232,27 @@ def closeness(s: Spark, d: str) -> DataFrame:
     return graph.closeness(r, graph.vertices(r)).withColumn("score", F.round("score", 8))
 
 
-@query()
+@query("SELECT v.id, coalesce(round(sum(1.0::DOUBLE / k) / any_value((n - 1) * (n - 2)), 10), 0) AS score FROM v CROSS JOIN (SELECT count(*) AS n FROM v) LEFT JOIN (SELECT unnest(path[2:len(path) - 1]) AS id, k FROM (SELECT path, count(*) OVER (PARTITION BY s, t) AS k FROM sp WHERE s != t)) USING (id) GROUP BY v.id",
+    **G, sp="(SELECT id AS s, id AS t, [id] AS path FROM v UNION ALL SELECT s, r.dst, list_append(path, r.dst) FROM sp JOIN r ON r.src = t JOIN dist a ON a.src = s AND a.node = r.dst WHERE a.dist = len(path))")
 def betweenness(s: Spark, d: str) -> DataFrame:
     r = b.regions(s, d)
-    return graph.betweenness(r, graph.vertices(r))
+    return graph.betweenness(r, graph.vertices(r)).withColumn("score", F.round("score", 10))
 
 
-@query()
+def power_sql(n: int) -> dict[str, str]:
+    """Power iteration in n rounds, one table each."""
+    out = {"x0": "(SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS x FROM v)"}
+    for k in range(n):
+        out[f"y{k}"] = f"(SELECT o.id, any_value(o.x) + coalesce(sum(i.x), 0) AS y FROM x{k} o LEFT JOIN e ON e.dst = o.id LEFT JOIN x{k} i ON i.id = e.src GROUP BY o.id)"
+        out[f"x{k + 1}"] = f"(SELECT id, y / (SELECT sqrt(sum(y * y)) FROM y{k}) AS x FROM y{k})"
+    return out
+
+
+@query("SELECT id, round(x, 10) AS score FROM x12", **G, e="(SELECT src, dst FROM r)", **power_sql(12))
 def eigenvector(s: Spark, d: str) -> DataFrame:
+    """Twelve rounds of the power iteration."""
     r = b.regions(s, d)
-    return graph.eigenvector(r, graph.vertices(r))
+    return graph.eigenvector(r, graph.vertices(r), rounds=12, tolerance=None).withColumn("score", F.round("score", 10))
 
 
 @query("SELECT id, score FROM (SELECT id, ((SELECT count(*) FROM r WHERE src = id) + (SELECT count(*) FROM r WHERE dst = id)) / ((SELECT count(*) FROM v) - 1)::DOUBLE AS score FROM v) QUALIFY score >= quantile_cont(score, 0.9) OVER ()", **G)
