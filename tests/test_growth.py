@@ -28,3 +28,21 @@ def test_the_whole_graph_comes_from_the_lines(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and edges.count() > 100
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "_name" not in plan and "p_type" not in plan
+
+
+def test_triangles_without_pairs_of_neighbours(spark):
+    """Against brute force on random graphs with hubs, each once; layers without triangles send no list at all."""
+    from quillon.operators import graph
+
+    rng = random.Random(3)
+    for n, m, hubs in ((30, 90, 2), (60, 200, 5), (5, 0, 0)):
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)} | {(h, x) for h in range(hubs) for x in range(h + 1, n)}
+        code = {p: rng.randint(1, 3) for p in pairs}
+        out = spark.createDataFrame([(*p, c) for p, c in code.items()], "u long, v long, code int")
+        want = [(a, b, c, code[a, b], code[a, c], code[b, c]) for a, b, c in itertools.combinations(range(n), 3) if {(a, b), (a, c), (b, c)} <= pairs]
+        assert sorted(map(tuple, graph.triangles(out).collect())) == want
+    layers = [(u, v) for u in range(20) for v in range(20, 40)] + [(u, v) for u in range(20, 40) for v in range(40, 60)]
+    edges = spark.createDataFrame([(f"n{u}", f"n{v}") for u, v in layers], "src string, dst string")
+    size, out = graph.numbered(graph.undirected(edges).withColumn("code", F.lit(0)))
+    assert size.count() == 60 and out.filter("u >= v").isEmpty() and out.count() == len(layers)
+    assert {r.triangles for r in graph.clustering(edges).collect()} == {0}
