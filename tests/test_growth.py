@@ -46,3 +46,25 @@ def test_triangles_without_pairs_of_neighbours(spark):
     size, out = graph.numbered(graph.undirected(edges).withColumn("code", F.lit(0)))
     assert size.count() == 60 and out.filter("u >= v").isEmpty() and out.count() == len(layers)
     assert {r.triangles for r in graph.clustering(edges).collect()} == {0}
+
+
+def test_components_shrink_their_edges(spark, monkeypatch):
+    """Chains, and a dense graph whose edges are read in full once: after a round only edges between trees are left."""
+    from quillon.operators import graph
+
+    sizes, keep = [], graph.written
+
+    def counted(df, name):
+        found = keep(df, name)
+        sizes.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(graph, "written", counted)
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(40)]
+    dense = [tuple(rng.sample(range(100, 160), 2)) for _ in range(900)]
+    edges = spark.createDataFrame(chain + dense, "src long, dst long")
+    found = {r.id: r.component for r in graph.components(edges).collect()}
+    assert {found[i] for i in range(41)} == {0} and {v for k, v in found.items() if k > 99} == {min(k for k in found if k > 99)}
+    left = [n for name, n in sizes if name == "left"]
+    assert left[0] > 500 and all(n < left[0] / 4 for n in left[1:])
