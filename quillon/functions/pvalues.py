@@ -86,6 +86,6 @@ def of_rank_sum(u: Column, n1: Column, n2: Column, ties: Column) -> Column:
     """Two-sided p of a Mann-Whitney U by the normal approximation, corrected for continuity and ties (ties: sum of t**3 - t); null for an empty side, 1 where all values are equal."""
     a, b = n1.cast("double"), n2.cast("double")
     n = a + b
-    spread = F.sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1))))
+    spread = F.sqrt(a * b / 12 * (n + 1 - ties.cast("double") / (n * (n - 1))))
     z = (F.abs(u - a * b / 2) - 0.5) / F.nullif(spread, F.lit(0.0))
     return F.when((a == 0) | (b == 0), F.lit(None)).otherwise(F.coalesce(F.least(F.lit(1.0), F.when(z <= 0, 1.0).otherwise(normal_tails(z))), F.lit(1.0)))

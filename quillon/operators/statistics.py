@@ -42,10 +42,11 @@ def median_split(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, value: str, group: Column) -> DataFrame:
-    """(n1, n2, u, ties, p): U of the rows where group is true against the others, and the sum of t**3 - t over ties."""
+    """(n1, n2, u, ties, p): U of the rows where group is true against the others, and the sum of t**3 - t over ties, as a decimal, which no long holds from some ten million rows on."""
     own = rows.filter(F.col(value).isNotNull() & group.isNotNull()).select(F.col(value).alias("v"), group.alias("g"))
     ranks = average_rank(own, "v", "rank")
-    ties = own.groupBy("v").agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).cast("long").alias("ties"))
+    t = F.col("t")
+    ties = own.groupBy("v").agg(F.count("*").cast("decimal(12,0)").alias("t")).agg(F.coalesce(F.sum(t * t * t - t), F.lit(0)).cast("decimal(38,0)").alias("ties"))
     n1, n2 = F.count_if("g"), F.count_if(~F.col("g"))
     stats = ranks.agg(n1.alias("n1"), n2.alias("n2"), F.sum(F.when(F.col("g"), F.col("rank"))).alias("r1"))
     own = stats.join(F.broadcast(ties)).select("n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"), "ties")

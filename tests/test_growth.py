@@ -68,3 +68,12 @@ def test_components_shrink_their_edges(spark, monkeypatch):
     assert {found[i] for i in range(41)} == {0} and {v for k, v in found.items() if k > 99} == {min(k for k in found if k > 99)}
     left = [n for name, n in sizes if name == "left"]
     assert left[0] > 500 and all(n < left[0] / 4 for n in left[1:])
+
+
+def test_rank_sum_with_more_ties_than_a_long_holds(spark):
+    """Three million equal values: t ** 3 - t is beyond a long."""
+    from quillon.operators import statistics
+
+    rows = spark.range(3_000_000).select(F.lit(1.0).alias("v"), (F.col("id") % 3 == 0).alias("g"))
+    found = statistics.mann_whitney(rows, "v", F.col("g")).first()
+    assert found.ties == 3_000_000**3 - 3_000_000 and (found.n1, found.n2, found.u, found.p) == (1_000_000, 2_000_000, 1e12, 1.0)
