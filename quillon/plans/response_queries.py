@@ -126,9 +126,14 @@ def encode_fill(s: Spark, d: str) -> DataFrame:
 _CORR = "CASE WHEN count(*) > 1 THEN covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) END"
 
 
-@query(f"SELECT a.item, round({_CORR.format(x='a.response', y='t.response')}, 8) AS similarity, count(*) AS n_shared FROM r a JOIN r t USING (channel) WHERE t.item = 3 AND a.item != 3 GROUP BY a.item HAVING similarity IS NOT NULL", r=b.SPARSE)
+#: Means equal as numbers but not in their last bit (0.15 / 3, 0.05) are equal, so that a constant side is known; a rounded zero has no sign.
+_MEANS = f"(SELECT item, channel, round(response, 12) AS response FROM {b.SPARSE})"
+
+
+@query(f"SELECT a.item, round({_CORR.format(x='a.response', y='t.response')}, 8) + 0.0 AS similarity, count(*) AS n_shared FROM r a JOIN r t USING (channel) WHERE t.item = 3 AND a.item != 3 GROUP BY a.item HAVING similarity IS NOT NULL", r=_MEANS)
 def similar_pearson(s: Spark, d: str) -> DataFrame:
-    return similarity.by_correlation(b.sparse(s, d), 3, k=None).withColumn("similarity", F.round("similarity", 8))
+    means = b.sparse(s, d).withColumn("response", F.round("response", 12))
+    return similarity.by_correlation(means, 3, k=None).withColumn("similarity", F.round("similarity", 8) + 0.0)
 
 
 @query("SELECT a.item, round(-sqrt(sum((a.response - t.response) ** 2)), 8) AS similarity FROM r a JOIN r t USING (channel) WHERE t.item = 3 AND a.item != 3 GROUP BY a.item", r=b.SPARSE)

@@ -77,3 +77,22 @@ def test_rank_sum_with_more_ties_than_a_long_holds(spark):
     rows = spark.range(3_000_000).select(F.lit(1.0).alias("v"), (F.col("id") % 3 == 0).alias("g"))
     found = statistics.mann_whitney(rows, "v", F.col("g")).first()
     assert found.ties == 3_000_000**3 - 3_000_000 and (found.n1, found.n2, found.u, found.p) == (1_000_000, 2_000_000, 1e12, 1.0)
+
+
+def test_similar_pearson_and_its_sql_agree_on_constants_and_zeros(spark, tmp_path):
+    """A side whose means are equal but for the last bit is constant; a correlation of zero has no sign."""
+    import duckdb
+
+    from quillon.plans import catalogue
+
+    lines = {3: [[0.01], [0.05], [0.05], [0.01]], 4: [[0.05], [0.05, 0.05, 0.05], [0.01, 0.09], [0.04, 0.05, 0.06]], 5: [[0.02], [0.02], [0.07], [0.07]], 6: [[0.01], [0.02], [0.03], [0.05]]}
+    rows = [(c, p, x) for c, parts in lines.items() for p, xs in enumerate(parts) for x in xs]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(c, c) for c in lines], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(p, f"B{p}") for p in range(4)], "p_partkey long, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.item: (str(r.similarity), r.n_shared) for r in catalogue.QUERIES["similar_pearson"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert found == {i: (str(s), n) for i, s, n in con.execute(catalogue.ORACLES["similar_pearson"]).fetchall()}
+    assert 4 not in found and found[5] == ("0.0", 4) and found.keys() == {5, 6}
