@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, ratio
 from ..functions.pvalues import of_correlation
+from ..sources.tables import written
+from .ranges import running
 
 
 def _against(response: DataFrame, target) -> DataFrame:
@@ -61,10 +67,76 @@ def by_pattern(response: DataFrame, target, threshold: float = 0.0, least: float
     return _best(scores.filter(F.col("similarity") >= least), k)
 
 
-def nearest_of_each(response: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query, item, similarity): for each item of `queries` its k most correlated items."""
-    q = response.join(queries.select(F.col("item")), "item").filter("response is not null").select(F.col("item").alias("query"), "channel", F.col("response").alias("b"))
-    pairs = response.filter("response is not null").join(q, "channel").filter("item != query")
-    scores = pairs.groupBy("query", "item").agg(correlation(F.col("response"), F.col("b")).alias("similarity")).filter("similarity is not null")
+#: How far a block's scores may be from the exact ones: products of doubles against one pass over the pairs.
+SLACK = 1e-9
+
+
+def _vectors(response: DataFrame) -> tuple[DataFrame, int]:
+    """(item, at, x): each item's responses with the numbers of their channels; and how many channels there are."""
+    r = response.filter("response is not null and channel is not null and item is not null")
+    channels = r.select("channel").distinct().withColumn("one", F.lit(1))
+    channels = written(running(channels, [], ["channel"], "one", "at").select("channel", F.col("at").cast("int").alias("at")), "channels")
+    own = r.join(channels, "channel").groupBy("item").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("response").cast("double")).alias("x"))
+    return written(own, "vectors"), channels.count()
+
+
+def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Responses less each row's first one (a constant row is exactly 0), 0 where there is none; and which there are."""
+    x, has = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+    for i, (at, values) in enumerate(zip(rows["at"], rows["x"])):
+        x[i, at], has[i, at] = values - values[0], 1.0
+    return x, has
+
+
+def _close(width: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a block of items has for a block of queries: the k best of each query, all within SLACK of them, and those that rounding leaves unsure."""
+
+    def of(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        a, has_a = _matrix(items, width)
+        names = items["item"].to_numpy()
+        with np.errstate(all="ignore"):
+            for start in range(0, len(queries), 128):
+                part = queries.iloc[start : start + 128]
+                q, has_q = _matrix(part, width)
+                n, sa, sq = has_q @ has_a.T, has_q @ a.T, q @ has_a.T
+                aa, qq = has_q @ (a * a).T, (q * q) @ has_a.T
+                va, vq = n * aa - sa * sa, n * qq - sq * sq
+                score = (n * (q @ a.T) - sa * sq) / np.sqrt(va * vq)
+                none = (n < 2) | (aa == 0) | (qq == 0) | (part["item"].to_numpy()[:, None] == names[None, :])
+                sure = ~none & np.isfinite(score) & (va > 1e-4 * n * aa) & (vq > 1e-4 * n * qq)
+                ranked = np.where(sure, score, -np.inf)
+                last = np.partition(ranked, -k, axis=1)[:, -k] if len(items) >= k else np.full(len(part), -np.inf)
+                i, j = np.nonzero((sure & (ranked >= last[:, None] - SLACK)) | (~none & ~sure))
+                out.append(pd.DataFrame({"query": part["item"].to_numpy()[i], "item": names[j], "near": score[i, j], "sure": sure[i, j]}))
+        return pd.concat(out)
+
+    return of
+
+
+def nearest_of_each(response: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """(query, item, similarity): for each item of `queries` its k most correlated items. A response has one row an item and channel.
+
+    Blocks of items meet blocks of queries as matrices in tasks, and only what may be among a query's k best leaves a
+    block; those few are correlated exactly. So what is shuffled are the vectors, once for each block of the other side.
+    """
+    vectors, width = _vectors(response)
+    asked = vectors.join(queries.select("item").distinct(), "item", "left_semi")
+    size = max(16, min(block, (1 << 22) // max(width, 1)))
+    n_items, n_asked = max(1, -(-vectors.count() // size)), max(1, -(-asked.count() // size))
+    at = lambda n: F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(at(n_items).alias("i"), every(n_asked).alias("q"), "item", "at", "x")
+    right = asked.select(every(n_items).alias("i"), at(n_asked).alias("q"), "item", "at", "x")
+    right = right.toDF("i", "q", "item", "at", "x")  # columns of its own, as both sides come from one table
+    kind = vectors.schema["item"].dataType.simpleString()
+    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(_close(width, k), f"query {kind}, item {kind}, near double, sure boolean")
+    found = written(found, "close")
+    best = Window.partitionBy("query").orderBy(F.desc("near"))
+    last = found.filter("sure").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k).select("query", F.col("near").alias("last"))
+    pairs = found.join(last, "query", "left").filter(~F.col("sure") | F.col("last").isNull() | (F.col("near") >= F.col("last") - SLACK)).select("query", "item")
+    r = response.filter("response is not null").select("item", "channel", "response")
+    q = r.toDF("query", "channel", "b")
+    scores = pairs.join(q, "query").join(r, ["item", "channel"]).groupBy("query", "item").agg(correlation(F.col("response"), F.col("b")).alias("similarity")).filter("similarity is not null")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("item"))
     return scores.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")

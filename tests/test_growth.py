@@ -96,3 +96,23 @@ def test_similar_pearson_and_its_sql_agree_on_constants_and_zeros(spark, tmp_pat
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert found == {i: (str(s), n) for i, s, n in con.execute(catalogue.ORACLES["similar_pearson"]).fetchall()}
     assert 4 not in found and found[5] == ("0.0", 4) and found.keys() == {5, 6}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_nearest_items_in_blocks(spark, block):
+    """Against every pair, with missing responses, copies, constant items and items that share one channel."""
+    from quillon.operators import similarity
+
+    rng = random.Random(9)
+    own = {i: {c: rng.random() for c in range(8) if rng.random() < 0.8} for i in range(50)}
+    own |= {50: {c: 0.1 for c in range(8)}, 51: dict(own[3]), 52: dict(own[3]), 53: {0: 1.0, 1: 1e6, 2: 1e6, 3: 1e6}, 54: {7: 2.0}}
+    rows = [(f"i{i:02d}", c, x) for i, xs in own.items() for c, x in xs.items()]
+    table = spark.createDataFrame(rows, "item string, channel int, response double")
+    asked = table.select("item").distinct().filter("item in ('i00', 'i03', 'i17', 'i50', 'i53')")
+    found = {}
+    for r in similarity.nearest_of_each(table, asked, 4, block).collect():
+        found.setdefault(r.query, set()).add((r.item, round(r.similarity, 9)))
+    for q in ("i00", "i03", "i17", "i50", "i53"):
+        scores = similarity.by_correlation(table, q, 4).collect()
+        want = {round(r.similarity, 9) for r in scores}
+        assert {s for _, s in found.get(q, set())} == want and len(found.get(q, ())) == len(scores)
