@@ -116,3 +116,16 @@ def test_nearest_items_in_blocks(spark, block):
         scores = similarity.by_correlation(table, q, 4).collect()
         want = {round(r.similarity, 9) for r in scores}
         assert {s for _, s in found.get(q, set())} == want and len(found.get(q, ())) == len(scores)
+
+
+def test_betweenness_goes_back_along_the_paths_alone(spark, monkeypatch):
+    """One source with a path to a node that many others lead to: the way back has a row for each edge of its paths, not for each edge into the node."""
+    from quillon.operators import graph
+
+    rows, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.setdefault(name, []).append(out := plain(df, name)) or out)
+    edges = spark.createDataFrame([("s", "m"), ("m", "t")] + [(f"x{i}", "t") for i in range(500)], "src string, dst string")
+    nodes = graph.vertices(edges)
+    found = {r.id: r.score for r in graph.betweenness(edges, nodes, nodes.filter("id = 's'")).collect()}
+    assert found["m"] == pytest.approx(1 / (502 * 501)) and sum(found.values()) == found["m"] and len(found) == 503
+    assert sum(t.count() for t in rows["links"]) == 2
