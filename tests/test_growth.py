@@ -129,3 +129,28 @@ def test_betweenness_goes_back_along_the_paths_alone(spark, monkeypatch):
     found = {r.id: r.score for r in graph.betweenness(edges, nodes, nodes.filter("id = 's'")).collect()}
     assert found["m"] == pytest.approx(1 / (502 * 501)) and sum(found.values()) == found["m"] and len(found) == 503
     assert sum(t.count() for t in rows["links"]) == 2
+
+
+@tables
+def test_connections_read_the_lines_once(spark, tmp_path):
+    """Pathways, the nations' graph and both hops: one scan of the lines each, nodes as numbers; weights and nodes as from the pathways, also where a customer or supplier is unknown."""
+    from quillon.operators import network
+    from quillon.plans import bindings as b
+
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet [l_orderkey")
+    assert scans(b.pathways(spark, FOLDER)) == 1 and scans(b.regions(spark, FOLDER)) == 0
+    for name in ("lineitem", "orders", "part", "nation"):
+        b.table(spark, FOLDER, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    b.table(spark, FOLDER, "supplier").filter("s_suppkey % 3 != 0").write.parquet(f"{tmp_path}/supplier.parquet")
+    b.table(spark, FOLDER, "customer").filter("c_custkey % 5 != 0").write.parquet(f"{tmp_path}/customer.parquet")
+    d = str(tmp_path)
+    rows = b.pathways(spark, d).persist()
+    steps = b.steps(spark, d)
+    assert dict(steps.dtypes)["src"] == "bigint"
+    got = lambda df: sorted(map(str, df.collect()))
+    assert got(b.named(steps)) == got(network.edges(rows).select("src", "dst", "weight", "step"))
+    assert got(b.step_nodes(spark, d, steps).withColumn("id", b.node_name("id"))) == got(network.nodes(rows))
+    source, middle, target = b.sides(spark, d)
+    every, (one, two) = source.unionByName(middle).unionByName(target), b.hops(spark, d)
+    assert got(network.region_strengths(one, every, two)) == got(network.region_strengths(network.edges(rows), network.nodes(rows)))
+    rows.unpersist()
