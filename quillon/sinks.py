@@ -67,7 +67,10 @@ def write_cells(cells: DataFrame, path: str, format: str = "json") -> None:
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """(ord, part, value): the lines of a GraphML or GEXF file of nodes (id, ...) and edges (src, dst, ...), with all attributes."""
+    """(value): the lines of a GraphML or GEXF file of nodes (id, ...) and edges (src, dst, ...), with all attributes, in partitions that follow each other.
+
+    Nodes and edges are ordered as they are, and become lines after that, so that no line is shuffled.
+    """
     node_columns, edge_columns = [c for c in nodes.columns if c != "id"], [c for c in edges.columns if c not in ("src", "dst")]
     escaped = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else escaped(p) for p in parts])
@@ -89,19 +92,18 @@ def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
         middle, foot = ["</nodes>", "<edges>"], ["</edges>", "</graph>", "</gexf>"]
     else:
         raise ValueError(f"unknown kind {kind!r}; graphml or gexf")
-    fixed = [(i, f"{k:09}", x) for i, lines in ((0, head), (2, middle), (4, foot)) for k, x in enumerate(lines)]
-    own = nodes.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("part"), F.lit(x).alias("value")) for i, k, x in fixed])))
-    rows = nodes.select(F.lit(1).alias("ord"), F.col("id").cast("string").alias("part"), node.alias("value"))
-    links = edges.select(F.lit(3).alias("ord"), F.concat_ws("|", "src", "dst").alias("part"), edge.alias("value"))
-    return own.unionByName(rows).unionByName(links)
+    fixed = lambda lines: nodes.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*map(F.lit, lines)).cast("array<string>")).alias("value"))
+    rows = nodes.orderBy(F.col("id").cast("string")).select(node.alias("value"))
+    links = edges.orderBy(F.concat_ws("|", "src", "dst")).select(edge.alias("value"))
+    return fixed(head).union(rows).union(fixed(middle)).union(links).union(fixed(foot))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A GraphML or GEXF file, by the path's ending: a folder of text parts, which in their order are the file."""
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, compression: str | None = None) -> None:
+    """A GraphML or GEXF file, by the path's ending: a folder of text parts, which in their order are the file; with compression gzip, of the gzipped file."""
     kind = path.rpartition(".")[2]
     if kind not in ("graphml", "gexf"):
         raise ValueError(f"{path} ends neither in .graphml nor in .gexf")
-    graph_lines(nodes, edges, kind).orderBy("ord", "part").select("value").write.mode("overwrite").text(path)
+    graph_lines(nodes, edges, kind).write.mode("overwrite").text(path, compression=compression)
 
 
 def write_points(points: DataFrame, path: str, format: str = "csv") -> None:

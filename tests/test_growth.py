@@ -154,3 +154,23 @@ def test_connections_read_the_lines_once(spark, tmp_path):
     every, (one, two) = source.unionByName(middle).unionByName(target), b.hops(spark, d)
     assert got(network.region_strengths(one, every, two)) == got(network.region_strengths(network.edges(rows), network.nodes(rows)))
     rows.unpersist()
+
+
+def test_graph_files_shuffle_no_line(spark, tmp_path):
+    """Head, nodes, middle, edges and foot in this order, each sorted by name over several parts; only nodes and edges are dealt, not their lines."""
+    from quillon import sinks
+
+    nodes = spark.createDataFrame([(f"n{i}", "x") for i in range(300)], "id string, class string").repartition(7)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * j % 300}", j) for i in range(300) for j in range(1, 9)], "src string, dst string, weight long").repartition(7)
+    for kind in ("graphml", "gexf"):
+        lines = sinks.graph_lines(nodes, edges, kind)
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert all("value" not in x for x in plan.splitlines() if "Sort " in x)
+        for how in (None, "gzip"):
+            path = f"{tmp_path}/{how}.{kind}"
+            sinks.write_graph(nodes, edges, path, how)
+            found = [x.value for f in sorted(os.listdir(path)) if f.startswith("part") for x in spark.read.text(f"{path}/{f}").collect()]
+            at = [i for i, x in enumerate(found) if x.startswith("<node ")], [i for i, x in enumerate(found) if x.startswith("<edge ")]
+            assert [len(x) for x in at] == [300, 2400] and at[0] == list(range(at[0][0], at[0][0] + 300)) and at[1] == list(range(at[1][0], at[1][0] + 2400)) and at[0][-1] < at[1][0]
+            ends = [x.split('"')[1] for x in found if x.startswith("<node ")]
+            assert ends == sorted(ends) and found[0].startswith("<?xml") and found[-1] in ("</graphml>", "</gexf>")
