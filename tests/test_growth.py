@@ -174,3 +174,15 @@ def test_graph_files_shuffle_no_line(spark, tmp_path):
             assert [len(x) for x in at] == [300, 2400] and at[0] == list(range(at[0][0], at[0][0] + 300)) and at[1] == list(range(at[1][0], at[1][0] + 2400)) and at[0][-1] < at[1][0]
             ends = [x.split('"')[1] for x in found if x.startswith("<node ")]
             assert ends == sorted(ends) and found[0].startswith("<?xml") and found[-1] in ("</graphml>", "</gexf>")
+
+
+def test_label_propagation_reads_the_edges_of_a_half(spark, monkeypatch):
+    """Each edge is kept once for the node that it tells, in the half that moves; labels are numbers in the order of the ids, and come back as ids."""
+    from quillon.operators import graph
+
+    rows, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.setdefault(name, []).append(out := plain(df, name)) or out)
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for k in (0, 10) for i in range(k, k + 5) for j in range(i + 1, k + 5)], "src string, dst string")
+    found = {r.id: r.community for r in graph.label_propagation(edges).collect()}
+    assert len(found) == 10 and len({found[f"n{i}"] for i in range(5)}) == 1 and len(set(found.values())) == 2 and set(found.values()) <= set(found)
+    assert sum(t.count() for t in rows["half"]) == 40 and all(dict(t.dtypes)["community"] == "bigint" for t in rows["labels"])
