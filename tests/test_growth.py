@@ -186,3 +186,19 @@ def test_label_propagation_reads_the_edges_of_a_half(spark, monkeypatch):
     found = {r.id: r.community for r in graph.label_propagation(edges).collect()}
     assert len(found) == 10 and len({found[f"n{i}"] for i in range(5)}) == 1 and len(set(found.values())) == 2 and set(found.values()) <= set(found)
     assert sum(t.count() for t in rows["half"]) == 40
+
+
+def test_closeness_sends_a_sketch_to_a_block_not_along_each_edge(spark, monkeypatch):
+    """60 hubs with 50 edges in each from 300 nodes, of several blocks: each node has a row for each block of its neighbours; scores against the exact ones."""
+    from quillon.operators import graph
+
+    rows, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.setdefault(name, []).append(out := plain(df, name)) or out)
+    rng = random.Random(4)
+    e = sorted({(1000 + i, h) for h in range(60) for i in rng.sample(range(300), 50)} | {(h, h + 1) for h in range(0, 59, 7)})
+    edges = spark.createDataFrame(e, "src long, dst long")
+    nodes = graph.vertices(edges)
+    found = {r.id: (r.r, r.s) for r in graph.reached(edges, nodes, crowd=20).collect()}
+    assert sum(t.count() for t in rows["routes"]) <= 5 * 309 < 0.6 * len(e)
+    exact = graph.distances(edges).filter("dist > 0").groupBy("node").agg(F.count("*").alias("r"), F.sum("dist").alias("s")).collect()
+    assert {k: v for k, v in found.items() if v[0]} == {r.node: (r.r, r.s) for r in exact} and len(found) == nodes.count()
