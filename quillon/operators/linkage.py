@@ -47,7 +47,7 @@ def near(clusters: DataFrame, limit: float) -> DataFrame:
     a = own.select(*on, "id", "n", *AXES)
     b = others.select(*on, F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in AXES])
     d2 = reduce(lambda s, c: s + (F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")), AXES, F.lit(0.0))
-    pairs = a.join(b, on).filter("id != other").withColumn("height", F.col("n") * F.col("m") / (F.col("n") + F.col("m")) * d2)
+    pairs = a.join(b.hint("merge"), on).filter("id != other").withColumn("height", F.col("n") * F.col("m") / (F.col("n") + F.col("m")) * d2)
     pairs = pairs.filter(F.col("height") <= limit).select("id", "other", "height")
     return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "height")).distinct()
 
@@ -84,7 +84,8 @@ def merges(clusters: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD)
 
     Ward's cost never falls when others merge, so pairs that are each other's best partner may merge at once, in any
     order, and give the same tree. Only merges below a limit are looked for, which grows fourfold when there are none.
-    The last `small` clusters merge in one task.
+    The last `small` clusters merge in one task. Joins are of sides that grow with the clusters, and shuffle both: what
+    is broadcast goes over the driver, each round anew.
     """
     left, done, limit = clusters.count(), None, None
     while left > 1:
@@ -94,7 +95,7 @@ def merges(clusters: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD)
         limit = _first_side(clusters, crowd) ** 2 / 2 if limit is None else limit
         order = F.struct("height", F.least("id", "other"), F.greatest("id", "other"))
         best = written(near(clusters, limit).groupBy("id").agg(F.min_by(F.struct("other", "height"), order).alias("best")).select("id", "best.*"), "best")
-        both = best.join(best.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_semi").filter("id < other")
+        both = best.join(best.select(F.col("other").alias("id"), F.col("id").alias("other")).hint("merge"), ["id", "other"], "left_semi").filter("id < other")
         new = written(both.select(F.col("id").alias("keep"), F.col("other").alias("gone"), "height"), "merges")
         n = new.count()
         if not n:
@@ -103,7 +104,7 @@ def merges(clusters: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD)
             limit *= 4
             continue
         done = new if done is None else done.unionByName(new)
-        named = clusters.join(new.select(F.col("gone").alias("id"), "keep"), "id", "left").withColumn("id", F.coalesce("keep", "id")).drop("keep")
+        named = clusters.join(new.select(F.col("gone").alias("id"), "keep").hint("merge"), "id", "left").withColumn("id", F.coalesce("keep", "id")).drop("keep")
         mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in AXES]
         clusters, left = written(named.groupBy("id").agg(F.sum("n").alias("m"), *mean).withColumnRenamed("m", "n"), "clusters"), left - n
     return done, left
@@ -124,4 +125,4 @@ def ward(points: DataFrame, k: int, small: int = SMALL, crowd: int = CROWD) -> D
     named = written(named, "named")
     number = named.select("component").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))  # k rows
     of = written(named.join(number, "component").select(*[F.col(f"id.{c}").alias(f"_{c}") for c in AXES], "cluster"), "clusters")
-    return points.join(of, [F.col(c).cast("double") == F.col(f"_{c}") for c in AXES], "left").drop(*[f"_{c}" for c in AXES])
+    return points.join(of.hint("merge"), [F.col(c).cast("double") == F.col(f"_{c}") for c in AXES], "left").drop(*[f"_{c}" for c in AXES])

@@ -85,3 +85,26 @@ def test_overlap_of_crowded_cells(spark):
     assert max(per) <= 256
     want = sum(any(sum((p - q) ** 2 for p, q in zip(x, y)) < 1 for y in b) for x in a)
     assert spatial.overlap(table(spark, a), table(spark, b), 1.0, 256).first().n_near == want
+
+
+def test_no_side_of_a_round_goes_over_the_driver(spark, monkeypatch):
+    """No table of a round, of Ward's linkage or of the components, is broadcast, however small."""
+    from quillon.operators import graph
+
+    plans = []
+
+    def seen(plain):
+        def keep(df, name):
+            plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+            return plain(df, name)
+
+        return keep
+
+    for module in (graph, linkage):
+        monkeypatch.setattr(module, "written", seen(module.written))
+    own = places(random.Random(5), 120)
+    found = linkage.ward(table(spark, own), 12, small=30, crowd=8)
+    assert groups(found) == brute_ward(own, 12) and "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for name, x in plans if name in ("best", "merges", "clusters", "up", "left", "components") and "Join" in x]
+    # but for the merges that are taken back and the numbers of the last clusters, of at most k rows each
+    assert len(joins) > 8 and not [x for x in joins if "Broadcast" in x and "TakeOrdered" not in x and "row_number" not in x]
