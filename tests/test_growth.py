@@ -202,3 +202,29 @@ def test_closeness_sends_a_sketch_to_a_block_not_along_each_edge(spark, monkeypa
     assert sum(t.count() for t in rows["routes"]) <= 5 * 309 < 0.6 * len(e)
     exact = graph.distances(edges).filter("dist > 0").groupBy("node").agg(F.count("*").alias("r"), F.sum("dist").alias("s")).collect()
     assert {k: v for k, v in found.items() if v[0]} == {r.node: (r.r, r.s) for r in exact} and len(found) == nodes.count()
+
+
+def test_greedy_keeps_each_pair_once(spark, monkeypatch):
+    """A round keeps a row for each pair of communities, not one for each order."""
+    from quillon.operators import graph
+
+    rows, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.setdefault(name, []).append(out := plain(df, name)) or out)
+    edges = spark.createDataFrame([(i, j) for k in (0, 10) for i in range(k, k + 5) for j in range(i + 1, k + 5)], "src long, dst long")
+    found = {r.id: r.community for r in graph.greedy_communities(edges).collect()}
+    assert len({found[i] for i in range(5)}) == 1 and len(set(found.values())) == 2
+    assert rows["around"][0].count() == 20
+
+
+def test_numbers_in_the_order_of_names(spark):
+    """Nodes' numbers by name sort as their names do, and tell them; keys that they can't hold are an error."""
+    from quillon.plans import bindings as b
+
+    keys = [0, 1, 2, 9, 10, 11, 19, 20, 99, 100, 101, 110, 1000, 123456789, 10**15, 10**16 - 1]
+    nodes = spark.createDataFrame([(k * 4 + kind,) for k in keys for kind in range(3)], "id long")
+    found = nodes.select(b.node_name("id").alias("name"), b.by_name(F.col("id")).alias("n")).withColumn("back", b.from_by_name(F.col("n"))).collect()
+    assert all(r.name == r.back for r in found)
+    assert [r.name for r in sorted(found, key=lambda r: r.n)] == sorted(r.name for r in found)
+    for k in (-1, 10**16):
+        with pytest.raises(Exception, match="no number by name"):
+            spark.createDataFrame([(k * 4,)], "id long").select(b.by_name(F.col("id"))).collect()
