@@ -46,6 +46,11 @@ def in_ranges(df: DataFrame, *keys: str, name: str = "part", n: int | None = Non
     return df.withColumn(name, number(F.struct(*keys), as_array(df, inner, *keys), len(inner))), len(inner) + 1
 
 
+def same_range(a: str, b: str) -> Column:
+    """Whether two columns have one range's number. Not by ==, from which Spark infers that what makes the number holds for the other side too, and so has put a filter on the keys there, which that side lacks."""
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def cumulated(rows: DataFrame, column: str) -> DataFrame:
     """(column, ties, below) of each value that is not null: its rows, and those of all lesser values.
 
@@ -58,7 +63,7 @@ def cumulated(rows: DataFrame, column: str) -> DataFrame:
     ahead = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
     below = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("below", F.coalesce(F.sum("ties").over(below), F.lit(0)))
-    return inside.join(F.broadcast(ahead), "part").select(column, "ties", (F.col("ahead") + F.col("below")).alias("below"))
+    return inside.join(F.broadcast(ahead.withColumnRenamed("part", "_p")), same_range("part", "_p")).select(column, "ties", (F.col("ahead") + F.col("below")).alias("below"))
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str = "ahead") -> DataFrame:
@@ -71,7 +76,7 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     between = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy("_part", *by).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(between), F.lit(0)))
-    same = reduce(and_, [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]])
+    same = reduce(and_, [same_range("_part", "_p"), *[F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]])
     sums = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "_before")
     own = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return own.join(sums, same).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_p", "_before", "_inside", *[f"_b{i}" for i in range(len(by))])

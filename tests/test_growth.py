@@ -3,6 +3,9 @@
 import itertools
 import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +231,30 @@ def test_numbers_in_the_order_of_names(spark):
     for k in (-1, 10**16):
         with pytest.raises(Exception, match="no number by name"):
             spark.createDataFrame([(k * 4,)], "id long").select(b.by_name(F.col("id"))).collect()
+
+
+@tables
+def test_numbers_of_rows_in_a_new_session(tmp_path):
+    """In a new session, whose plans count their columns from 0, shards of .npy are written; over 12 partitions."""
+    code = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from quillon.plans import catalogue
+conf = {"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "12", "spark.checkpoint.dir": "file://" + sys.argv[2]}
+s = SparkSession.builder.config(map=conf).getOrCreate()
+r = catalogue.QUERIES["npy_shards"](s, sys.argv[1]).agg(F.count("*"), F.countDistinct("row"), F.max("row")).first()
+assert tuple(r) == (32000, 500, 499), r
+"""
+    done = subprocess.run([sys.executable, "-c", code, FOLDER, str(tmp_path)], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert not done.returncode, done.stderr[-2000:]
+
+
+def test_ranges_infer_nothing_about_the_other_side(spark):
+    """A range's number is no filter on either side of the join with the sums of the ranges."""
+    from quillon.operators import ranges
+
+    rows = spark.range(1000).select("id", F.lit(1).alias("one"))
+    for df in (ranges.running(rows, [], ["id"], "one"), ranges.running(rows, ["one"], ["id"], "one"), ranges.cumulated(rows, "id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" in plan and not [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
+        assert df.agg(F.count("*")).first()[0] == 1000
