@@ -72,71 +72,112 @@ SLACK = 1e-9
 
 
 def _vectors(response: DataFrame) -> tuple[DataFrame, int]:
-    """(item, at, x): each item's responses with the numbers of their channels; and how many channels there are."""
+    """(item, at, x): each item's responses in the order of the numbers of their channels; and how many channels there are."""
     r = response.filter("response is not null and channel is not null and item is not null")
     channels = r.select("channel").distinct().withColumn("one", F.lit(1))
     channels = written(running(channels, [], ["channel"], "one", "at").select("channel", F.col("at").cast("int").alias("at")), "channels")
-    own = r.join(channels, "channel").groupBy("item").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("response").cast("double")).alias("x"))
-    return written(own, "vectors"), channels.count()
+    own = r.join(channels, "channel").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.col("response").cast("double").alias("x")))).alias("own"))
+    return written(own.select("item", "own.at", "own.x"), "vectors"), channels.count()
 
 
 def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Responses less each row's first one (a constant row is exactly 0), 0 where there is none; and which there are."""
-    x, has = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+    """Responses, 0 where there is none; and which there are."""
+    if len(rows) and set(map(len, rows["x"])) == {width}:
+        return np.concatenate(rows["x"].to_numpy()).reshape(-1, width), np.ones((len(rows), width), bool)
+    x, has = np.zeros((len(rows), width)), np.zeros((len(rows), width), bool)
     for i, (at, values) in enumerate(zip(rows["at"], rows["x"])):
-        x[i, at], has[i, at] = values - values[0], 1.0
+        x[i, at], has[i, at] = values, True
     return x, has
 
 
+def _shifted(x: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Rows less their first responses, so that a constant row is exactly 0."""
+    first = np.take_along_axis(x, has.argmax(axis=1)[:, None], axis=1)
+    return np.where(has, x - first, 0.0)
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows without gaps less their means and of length 1; which are constant; and whose length is sure."""
+    x = x - x[:, :1]
+    size = (x * x).sum(axis=1)
+    x -= x.mean(axis=1, keepdims=True)
+    own = (x * x).sum(axis=1)
+    return x / np.sqrt(own)[:, None], size == 0, np.isfinite(own) & (own > 1e-4 * size)
+
+
+def _correlated(x: np.ndarray, y: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The correlation of each row of x with that of y over what both have; nan below two, and where a side is constant."""
+    n = has.sum(axis=1, keepdims=True)
+    x, y = (np.where(has, v - v.sum(axis=1, keepdims=True) / n, 0.0) for v in (_shifted(x, has), _shifted(y, has)))
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    return np.where((n[:, 0] > 1) & (xx > 0) & (yy > 0), (x * y).sum(axis=1) / np.sqrt(xx * yy), np.nan)
+
+
 def _close(width: int, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """What a block of items has for a block of queries: the k best of each query, all within SLACK of them, and those that rounding leaves unsure."""
+    """The k best of a block of items for each of a block of queries: those of products of matrices within SLACK of the k best, and those that rounding leaves unsure, are correlated exactly."""
 
     def of(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        a, has_a = _matrix(items, width)
-        names = items["item"].to_numpy()
+        out = [pd.DataFrame({"query": queries["item"][:0], "item": items["item"][:0], "similarity": np.empty(0)})]
+        (a, has_a), (q, has_q) = _matrix(items, width), _matrix(queries, width)
+        names, full, place = items["item"].to_numpy(), bool(has_a.all() and has_q.all()), pd.Index(items["item"])
+        step = max(1, (1 << 20) // max(len(items), 1))
         with np.errstate(all="ignore"):
-            for start in range(0, len(queries), 128):
-                part = queries.iloc[start : start + 128]
-                q, has_q = _matrix(part, width)
-                n, sa, sq = has_q @ has_a.T, has_q @ a.T, q @ has_a.T
-                aa, qq = has_q @ (a * a).T, (q * q) @ has_a.T
-                va, vq = n * aa - sa * sa, n * qq - sq * sq
-                score = (n * (q @ a.T) - sa * sq) / np.sqrt(va * vq)
-                none = (n < 2) | (aa == 0) | (qq == 0) | (part["item"].to_numpy()[:, None] == names[None, :])
-                sure = ~none & np.isfinite(score) & (va > 1e-4 * n * aa) & (vq > 1e-4 * n * qq)
-                ranked = np.where(sure, score, -np.inf)
-                last = np.partition(ranked, -k, axis=1)[:, -k] if len(items) >= k else np.full(len(part), -np.inf)
-                i, j = np.nonzero((sure & (ranked >= last[:, None] - SLACK)) | (~none & ~sure))
-                out.append(pd.DataFrame({"query": part["item"].to_numpy()[i], "item": names[j], "near": score[i, j], "sure": sure[i, j]}))
+            if full:
+                (ua, same_a, sure_a), (uq, same_q, sure_q) = _units(a), _units(q)
+            else:
+                ca, cq, one_a, one_q = _shifted(a, has_a), _shifted(q, has_q), has_a.astype(float), has_q.astype(float)
+            for start in range(0, len(queries) if len(items) else 0, step):
+                own = slice(start, start + step)
+                if full:
+                    score, unsure = uq[own] @ ua.T, np.flatnonzero(~sure_a & ~same_a)
+                    none = same_q[own][:, None] | same_a[None, :] if same_q[own].any() or same_a.any() else None
+                    sure = None if sure_q[own].all() and not len(unsure) else sure_q[own][:, None] & sure_a[None, :]
+                else:
+                    n, sa, sq = one_q[own] @ one_a.T, one_q[own] @ ca.T, cq[own] @ one_a.T
+                    aa, qq = one_q[own] @ (ca * ca).T, (cq[own] * cq[own]) @ one_a.T
+                    va, vq = n * aa - sa * sa, n * qq - sq * sq
+                    score = (n * (cq[own] @ ca.T) - sa * sq) / np.sqrt(va * vq)
+                    none = (n < 2) | (aa == 0) | (qq == 0)
+                    sure = np.isfinite(score) & (va > 1e-4 * n * aa) & (vq > 1e-4 * n * qq)
+                if sure is not None:
+                    score = np.where(sure, score, np.inf)
+                if none is not None:
+                    score[none] = -np.inf
+                there = place.get_indexer(queries["item"].iloc[own])
+                score[np.flatnonzero(there >= 0), there[there >= 0]] = -np.inf  # itself
+                # what is unsure may not raise the bar
+                bar = score if sure is None else np.where(np.isposinf(score), -np.inf, score)
+                last = np.partition(bar, -k, axis=1)[:, -k] if len(items) >= k else np.full(len(bar), -np.inf)
+                i, j = np.nonzero((score >= last[:, None] - SLACK) & (score > -np.inf))
+                piece = max(1, (1 << 20) // max(width, 1))
+                exact = np.empty(len(i))
+                for p in range(0, len(i), piece):
+                    x, y = j[p : p + piece], i[p : p + piece] + start
+                    exact[p : p + piece] = _correlated(a[x], q[y], has_a[x] & has_q[y])
+                found = pd.DataFrame({"at": i, "item": names[j], "similarity": exact}).dropna(subset=["similarity"])
+                found = found.sort_values(["at", "similarity", "item"], ascending=[True, False, True]).groupby("at").head(k)
+                out.append(pd.DataFrame({"query": queries["item"].to_numpy()[found["at"] + start], "item": found["item"], "similarity": found["similarity"]}))
         return pd.concat(out)
 
     return of
 
 
-def nearest_of_each(response: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
-    """(query, item, similarity): for each item of `queries` its k most correlated items. A response has one row an item and channel.
+def nearest_of_each(response: DataFrame, queries: DataFrame | None = None, k: int = 5, block: int = 8192) -> DataFrame:
+    """(query, item, similarity): for each item (or only those of `queries`) its k most correlated items. A response has one row an item and channel.
 
-    Blocks of items meet blocks of queries as matrices in tasks, and only what may be among a query's k best leaves a
-    block; those few are correlated exactly. So what is shuffled are the vectors, once for each block of the other side.
+    Blocks of items meet blocks of queries as matrices in tasks, and only a query's k best leave a block. So what is
+    shuffled are the vectors, once for each block of the other side; all pairs are compared, in memory of one pair of blocks.
     """
     vectors, width = _vectors(response)
-    asked = vectors.join(queries.select("item").distinct(), "item", "left_semi")
+    asked = vectors if queries is None else vectors.join(queries.select("item").distinct(), "item", "left_semi")
     size = max(16, min(block, (1 << 22) // max(width, 1)))
-    n_items, n_asked = max(1, -(-vectors.count() // size)), max(1, -(-asked.count() // size))
+    n_items, n_asked = (max(1, -(-df.count() // size)) for df in (vectors, asked))
     at = lambda n: F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select(at(n_items).alias("i"), every(n_asked).alias("q"), "item", "at", "x")
     right = asked.select(every(n_items).alias("i"), at(n_asked).alias("q"), "item", "at", "x")
     right = right.toDF("i", "q", "item", "at", "x")  # columns of its own, as both sides come from one table
     kind = vectors.schema["item"].dataType.simpleString()
-    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(_close(width, k), f"query {kind}, item {kind}, near double, sure boolean")
-    found = written(found, "close")
-    best = Window.partitionBy("query").orderBy(F.desc("near"))
-    last = found.filter("sure").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k).select("query", F.col("near").alias("last"))
-    pairs = found.join(last, "query", "left").filter(~F.col("sure") | F.col("last").isNull() | (F.col("near") >= F.col("last") - SLACK)).select("query", "item")
-    r = response.filter("response is not null").select("item", "channel", "response")
-    q = r.toDF("query", "channel", "b")
-    scores = pairs.join(q, "query").join(r, ["item", "channel"]).groupBy("query", "item").agg(correlation(F.col("response"), F.col("b")).alias("similarity")).filter("similarity is not null")
+    found = left.groupBy("i", "q").cogroup(right.groupBy("i", "q")).applyInPandas(_close(width, k), f"query {kind}, item {kind}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc("item"))
-    return scores.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("nth")

@@ -155,11 +155,11 @@ def channel_corr_matrix(s: Spark, d: str) -> DataFrame:
     return similarity.channel_correlations(b.sparse(s, d)).withColumns({"r": F.round("r", 8), "p": F.round("p", 8) + 0.0})
 
 
-@query(f"""SELECT query, item, round(similarity, 8) AS similarity FROM (SELECT t.item AS query, a.item, {_CORR.format(x='a.response', y='t.response')} AS similarity FROM r a JOIN r t USING (channel) WHERE t.item % 20 = 0 AND a.item != t.item GROUP BY ALL)
+@query(f"""SELECT query, item, round(similarity, 8) AS similarity FROM (SELECT t.item AS query, a.item, {_CORR.format(x='a.response', y='t.response')} AS similarity FROM r a JOIN r t USING (channel) WHERE a.item != t.item GROUP BY ALL)
     WHERE similarity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) <= 5""", r=b.DENSE)
 def nearest_items(s: Spark, d: str) -> DataFrame:
-    r = b.dense(s, d).select("item", "channel", "response")
-    return similarity.nearest_of_each(r, r.select("item").distinct().filter("item % 20 = 0")).withColumn("similarity", F.round("similarity", 8))
+    """The five nearest of every item."""
+    return similarity.nearest_of_each(b.dense(s, d).select("item", "channel", "response")).withColumn("similarity", F.round("similarity", 8))
 
 
 @query("""SELECT a.item, round(sum(a.response * t.response) / nullif(any_value(na.n) * any_value(nt.n), 0), 8) AS similarity FROM k a JOIN k t USING (channel) JOIN norms na ON a.item = na.item JOIN norms nt ON t.item = nt.item

@@ -258,3 +258,36 @@ def test_ranges_infer_nothing_about_the_other_side(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "aggregate(" in plan and not [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
         assert df.agg(F.count("*")).first()[0] == 1000
+
+
+@tables
+def test_nearest_items_of_every_item(spark):
+    """As many items as the table has are asked for, and the results are those of the SQL, which has no cut either."""
+    import duckdb
+
+    from quillon.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{FOLDER}/embeddings.parquet')")
+    want = con.execute(catalogue.ORACLES["nearest_items"]).fetchall()
+    found = [tuple(r) for r in catalogue.QUERIES["nearest_items"](spark, FOLDER).collect()]
+    assert sorted(found) == sorted(want) and {q for q, _, _ in found} == {x for (x,) in con.execute("SELECT vec_id FROM embeddings").fetchall()}
+
+
+def test_nearest_items_among_copies_and_unsure_scores(spark):
+    """Copies, scaled copies, constant items, gaps, and items whose spread is far below their size: against every pair."""
+    from quillon.operators import similarity
+
+    rng = random.Random(4)
+    own = {i: [rng.random() for _ in range(6)] for i in range(40)}
+    own |= {i: own[0] for i in range(40, 60)} | {i: [2 * x for x in own[0]] for i in range(60, 64)} | {64: [0.1] * 6, 65: [0.1] * 6, 66: [1e6, 1, 2, 3, 4, 5], 67: [1e6, 2, 3, 5, 4, 6]}
+    for gaps in (False, True):
+        rows = [(i, c, float(x)) for i, xs in own.items() for c, x in enumerate(xs) if not gaps or (i + c) % 7]
+        table = spark.createDataFrame(rows, "item long, channel int, response double")
+        found = {}
+        for r in similarity.nearest_of_each(table, k=3, block=16).collect():
+            found.setdefault(r.query, []).append((-round(r.similarity, 9), r.item))
+        assert found.keys() == own.keys() - {64, 65}
+        for q in (0, 5, 41, 61, 66):
+            want = sorted((-round(r.similarity, 9), r.item) for r in similarity.by_correlation(table, q, None).collect())[:3]
+            assert [s for s, _ in sorted(found[q])] == [s for s, _ in want] and (gaps or q > 59 or sorted(found[q]) == want)
