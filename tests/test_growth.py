@@ -291,3 +291,23 @@ def test_nearest_items_among_copies_and_unsure_scores(spark):
         for q in (0, 5, 41, 61, 66):
             want = sorted((-round(r.similarity, 9), r.item) for r in similarity.by_correlation(table, q, None).collect())[:3]
             assert [s for s, _ in sorted(found[q])] == [s for s, _ in want] and (gaps or q > 59 or sorted(found[q]) == want)
+
+
+def test_closeness_in_slices_of_registers(spark):
+    """Sketches in 8 slices tell what whole ones do, for small and large sets; no sketch of an earlier round or slice is left on the disk, and no shuffle file."""
+    from quillon.operators import graph
+    from quillon.sources.tables import shared_folder
+
+    r = random.Random(2)
+    e = {(i, 2000 + r.randrange(60)) for i in range(1500) for _ in range(2)} | {(2000 + i, 3000 + r.randrange(15)) for i in range(60) for _ in range(4)} | {(3000, 2000)}
+    edges = spark.createDataFrame(sorted(e), "src long, dst long")
+    nodes, folder = graph.vertices(edges), shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = {x.id: (x.r, x.s) for x in graph.reached(edges, nodes, room=(len({b for _, b in e}) * 4096 - 1).bit_length() - 3).collect()}
+    new = [x for x in os.listdir(folder) if x not in before]
+    assert not [x for x in new if x.startswith("sketches")] and len([x for x in new if x.startswith("grown")]) == 8
+    whole = {x.id: (x.r, x.s) for x in graph.reached(edges, nodes).collect()}
+    assert found.keys() == whole.keys()
+    for k, (n, s) in whole.items():  # up to a few hundred are counted by either, between by one of them
+        assert found[k] == (n, s) if n < 200 else found[k] == pytest.approx((n, s), rel=0.08) and (n < 700 or found[k][0] == pytest.approx(n, rel=1e-9))
+    assert any(x[0] > 700 for x in whole.values()) and any(0 < x[0] < 200 for x in whole.values())
