@@ -311,3 +311,45 @@ def test_closeness_in_slices_of_registers(spark):
     for k, (n, s) in whole.items():  # up to a few hundred are counted by either, between by one of them
         assert found[k] == (n, s) if n < 200 else found[k] == pytest.approx((n, s), rel=0.08) and (n < 700 or found[k][0] == pytest.approx(n, rel=1e-9))
     assert any(x[0] > 700 for x in whole.values()) and any(0 < x[0] < 200 for x in whole.values())
+
+
+def test_label_propagation_in_blocks(spark, monkeypatch):
+    """Against the rule on dictionaries, over many blocks and for names; a round sends a label once to each block of neighbours, not along each edge."""
+    from quillon.operators import graph
+
+    rng = random.Random(6)
+    weight = {}
+    for _ in range(400):
+        a, b = rng.sample(range(60), 2)
+        weight[a, b] = weight.get((a, b), 0) + rng.randint(1, 9)
+    rows = [(f"n{a}", f"n{b}", w) for (a, b), w in weight.items()] + [("alone", "alone", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+    near, half = {}, {r.id: r.h for r in graph.vertices(edges).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("h")).collect()}
+    for a, b, w in rows[:-1]:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = near.get(x, {}).get(y, 0) + w
+    want = {x: x for x in half}
+    for k in range(20):
+        new = dict(want)
+        for x in near:
+            if half[x] == k % 2:
+                sums = {}
+                for y, w in near[x].items():
+                    sums[want[y]] = sums.get(want[y], 0) + w
+                new[x] = min(sums, key=lambda c: (-sums[c], c))
+        still, want = new == want, new
+        if k % 2 and still:
+            break
+    plain, sent = graph.written, {}
+    monkeypatch.setattr(graph, "written", lambda df, name: sent.setdefault(name, []).append(out := plain(df, name)) or out)
+    for block in (1 << 20, 40):
+        sent.clear()
+        assert {r.id: r.community for r in graph.label_propagation(edges, block=block).collect()} == want
+    monkeypatch.undo()
+    # 200 nodes that all lead to the same 20: a head for each node and block, of 8,000 edges
+    star = spark.range(4000).selectExpr("id div 20 as src", "1000 + id % 20 as dst")
+    monkeypatch.setattr(graph, "written", lambda df, name: sent.setdefault(name, []).append(out := plain(df, name)) or out)
+    sent.clear()
+    graph.label_propagation(star, rounds=1).collect()
+    heads, links = (sum(t.filter(f"part = {p}").agg(F.sum(x)).first()[0] for t in sent["packs"]) for p, x in ((1, F.lit(1)), (2, F.length("links") / 16)))
+    assert links == 8000 and heads <= 2 * 220
