@@ -353,3 +353,16 @@ def test_label_propagation_in_blocks(spark, monkeypatch):
     graph.label_propagation(star, rounds=1).collect()
     heads, links = (sum(t.filter(f"part = {p}").agg(F.sum(x)).first()[0] for t in sent["packs"]) for p, x in ((1, F.lit(1)), (2, F.length("links") / 16)))
     assert links == 8000 and heads <= 2 * 220
+
+
+def test_greedy_keeps_the_tables_of_one_round(spark):
+    """Many rounds on a chain of cliques: of the rounds before, only the first pairs are left on the disk."""
+    from quillon.operators import graph
+    from quillon.sources.tables import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    edges = spark.createDataFrame([(i, j) for k in range(0, 40, 5) for i in range(k, k + 5) for j in range(i + 1, k + 5)] + [(k, k + 5) for k in range(0, 35, 5)], "src long, dst long")
+    assert len({r.community for r in graph.greedy_communities(edges).collect()}) > 1
+    left = [x.partition("-")[0] for x in os.listdir(folder) if x not in before]
+    assert all(left.count(x) <= n for x, n in {"around": 2, "degree": 1, "communities": 1, "asks": 1, "roots": 0, "into": 0}.items()), left
