@@ -366,3 +366,22 @@ def test_greedy_keeps_the_tables_of_one_round(spark):
     assert len({r.community for r in graph.greedy_communities(edges).collect()}) > 1
     left = [x.partition("-")[0] for x in os.listdir(folder) if x not in before]
     assert all(left.count(x) <= n for x, n in {"around": 2, "degree": 1, "communities": 1, "asks": 1, "roots": 0, "into": 0}.items()), left
+
+
+def test_clustering_sends_numbers_alone(spark, monkeypatch):
+    """Lists of neighbours as short numbers without codes, and the written edges go once the lists are there; counts against brute force."""
+    from quillon.operators import graph
+    from quillon.sources.tables import shared_folder
+
+    kept, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.setdefault(name, out := plain(df, name)) and out)
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(120)}
+    found = {r.id: r.triangles for r in graph.clustering(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+    want = dict.fromkeys(found, 0)
+    for t in itertools.combinations(range(25), 3):
+        if {(t[0], t[1]), (t[0], t[2]), (t[1], t[2])} <= pairs:
+            want.update({x: want[x] + 1 for x in t})
+    assert found == want and any(want.values())
+    assert dict(kept["lists"].dtypes)["near"] == "array<int>" and "codes" not in kept["lists"].columns
+    assert not os.path.exists(kept["out"].written_at.removeprefix("file://")) and os.path.isdir(shared_folder(spark).removeprefix("file://"))
